@@ -276,7 +276,7 @@ _SAMPLED = f"""
                    from {{table}}) where n <= {{rows}}"""
 
 RUN_FACTS = """
-    select teacher, count(*) as train_size, 16 as effective_batch_size,
+    select teacher, count(*) as train_size, 16::bigint as effective_batch_size,
       2 * cast(ceil(count(*) / 16.0) as bigint) as total_steps
     from pairs group by teacher"""
 
@@ -408,7 +408,7 @@ ORACLE: dict[str, str] = {
     from pairs""",
     "train_messages": _with("train")
     + f"""
-    select idx, 2 as turns, concat({_turn(
+    select idx, 2::bigint as turns, concat({_turn(
         "'user'",
         "concat('Solve this math problem step by step:', chr(10), chr(10), question)",
     )}, {_turn("'assistant'", "answer")}) as text
@@ -444,7 +444,7 @@ ORACLE: dict[str, str] = {
       {_round("sum(minutes)", 2)} as minutes from stats""",
     "stats_lines": _with("outcomes", "totals", extra={"stats": STATS})
     + " union all ".join(
-        f"select teacher, {i} as line_no, concat({_str(k + ': ')}, {v}) as value from stats"
+        f"select teacher, {i}::bigint as line_no, concat({_str(k + ': ')}, {v}) as value from stats"
         for i, (k, v) in enumerate(zip(STATS_KEYS, _STATS_VALUES))
     ),
     "stats_scan": _with("outcomes", "totals", extra={"stats": STATS})
@@ -496,7 +496,7 @@ ORACLE: dict[str, str] = {
     where not exists (select 1 from outcomes o where o.ok and o.idx = train.idx and o.teacher = v.teacher)""",
     "complete_with_retries": _with("attempts")
     + f"""
-    select a.teacher, idx, attempt, ok, error,
+    select a.teacher, idx, attempt::bigint as attempt, ok, error,
       case when ok then concat(length(concat({_INSTRUCTION}, chr(10), chr(10), 'Problem: ', question,
         chr(10), chr(10), 'Solution:')), ' characters read by ', a.teacher) end as completion
     from attempts a join (select idx, question from train) using (idx)""",
@@ -535,11 +535,14 @@ ORACLE: dict[str, str] = {
         as source,
       train_size, 'Qwen/Qwen2.5-1.5B-Instruct' as student_model,
       coalesce({_MODEL}, 'Original answers') as teacher_model,
-      1e-5::double as learning_rate, 4 as batch_size, 4 as gradient_accumulation_steps,
-      16 as effective_batch_size, 2 as num_epochs, 512 as max_seq_length, 64 as lora_r,
-      128 as lora_alpha, 0.08::double as lora_dropout, total_steps,
+      1e-5::double as learning_rate, 4::bigint as batch_size,
+      4::bigint as gradient_accumulation_steps,
+      16::bigint as effective_batch_size, 2::bigint as num_epochs, 512::bigint as max_seq_length,
+      64::bigint as lora_r,
+      128::bigint as lora_alpha, 0.08::double as lora_dropout, total_steps,
       {_round("date_diff('microsecond', first_day, last_day) / 6e7", 2)} as time_minutes,
-      {_round("1 - accuracy", 4)} as final_loss, 73859072 as trainable_params, 962475520 as total_params,
+      {_round("1 - accuracy", 4)} as final_loss, 73859072::bigint as trainable_params,
+      962475520::bigint as total_params,
       7.67::double as trainable_percent, concat('models/', teacher, '/adapter') as output_path
     from runs join accuracy using (teacher),
       (select min(o_orderdate) as first_day, max(o_orderdate) as last_day from orders)""",

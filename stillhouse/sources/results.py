@@ -11,22 +11,54 @@ from stillhouse.config import TeacherConfig, TrainingConfig
 from stillhouse.functions import metrics as M
 from stillhouse.operators.upsert import upsert
 
-EVALUATION_RESULT = T.StructType.fromDDL(
-    "teacher string, accuracy double, correct bigint, total bigint, "
-    "sample_predictions array<struct<question string, ground_truth string, "
-    "predicted_answer string, full_response string, correct boolean>>"
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_TEXT, _WHOLE, _REAL = T.StringType(), T.LongType(), T.DoubleType()
+
+SAMPLE_PREDICTION = _struct(
+    question=_TEXT,
+    ground_truth=_TEXT,
+    predicted_answer=_TEXT,
+    full_response=_TEXT,
+    correct=T.BooleanType(),
+)
+EVALUATION_RESULT = _struct(
+    teacher=_TEXT,
+    accuracy=_REAL,
+    correct=_WHOLE,
+    total=_WHOLE,
+    sample_predictions=T.ArrayType(SAMPLE_PREDICTION),
 )
 
-TRAINING_RECORD = T.StructType.fromDDL(
-    "teacher string, timestamp string, "
-    "dataset struct<source string, train_size bigint>, "
-    "model struct<student string, teacher string>, "
-    "hyperparameters struct<learning_rate double, batch_size bigint, "
-    "gradient_accumulation_steps bigint, effective_batch_size bigint, num_epochs bigint, "
-    "max_seq_length bigint, lora_r bigint, lora_alpha bigint, lora_dropout double>, "
-    "training struct<total_steps bigint, time_minutes double, final_loss double, "
-    "trainable_params bigint, total_params bigint, trainable_percent double>, "
-    "output_path string"
+TRAINING_RECORD = _struct(
+    teacher=_TEXT,
+    timestamp=_TEXT,
+    dataset=_struct(source=_TEXT, train_size=_WHOLE),
+    model=_struct(student=_TEXT, teacher=_TEXT),
+    hyperparameters=_struct(
+        learning_rate=_REAL,
+        batch_size=_WHOLE,
+        gradient_accumulation_steps=_WHOLE,
+        effective_batch_size=_WHOLE,
+        num_epochs=_WHOLE,
+        max_seq_length=_WHOLE,
+        lora_r=_WHOLE,
+        lora_alpha=_WHOLE,
+        lora_dropout=_REAL,
+    ),
+    training=_struct(
+        total_steps=_WHOLE,
+        time_minutes=_REAL,
+        final_loss=_REAL,
+        trainable_params=_WHOLE,
+        total_params=_WHOLE,
+        trainable_percent=_REAL,
+    ),
+    output_path=_TEXT,
 )
 
 #: A document is one JSON text, so it holds summaries of models and never a row per problem.
