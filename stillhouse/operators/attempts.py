@@ -119,14 +119,14 @@ def error_runs(outcome: DataFrame, config: BreakerConfig = BreakerConfig()) -> D
     spread over the tasks as well.
     """
     marked = running(
-        outcome.select("teacher", "idx", "ok"),
+        outcome.select("teacher", "idx", F.when(F.col("ok"), F.col("idx")).alias("ok_idx")),
         ["teacher"],
         "idx",
-        maxima={"last_ok": F.when(F.col("ok"), F.col("idx"))},
+        maxima={"last_ok": "ok_idx"},
     )
     after = F.coalesce(F.col("last_ok"), F.lit(-1)).alias("after")
     return (
-        marked.where(~F.col("ok"))
+        marked.where(F.col("ok_idx").isNull())
         .groupBy("teacher", after)
         .agg(
             F.min("idx").alias("first_idx"),
@@ -161,8 +161,8 @@ def progress(
         blocks,
         ["teacher"],
         "block",
-        sums={"done": F.col("rows"), "errors": F.col("block_errors")},
-        maxima={"at_s": F.col("block_at_s")},
+        sums={"done": "rows", "errors": "block_errors"},
+        maxima={"at_s": "block_at_s"},
     ).where(F.col("rows") == every)
     rate = F.try_divide(F.col("done"), F.col("at_s") - F.col("start_s"))
     return (

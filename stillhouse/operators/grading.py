@@ -35,7 +35,7 @@ def predicted_answers(
 
 
 def true_answers(problems: DataFrame) -> DataFrame:
-    truth = problems.select("split", "idx", A.ground_truth(F.col("answer")).alias("ground_truth"))
+    truth = problems.select("idx", A.ground_truth(F.col("answer")).alias("ground_truth"))
     return _comparable(truth, "ground_truth")
 
 
@@ -55,14 +55,14 @@ def _verdict(df: DataFrame) -> DataFrame:
 
 
 def grade(predictions: DataFrame, problems: DataFrame) -> DataFrame:
-    """One row per prediction: ``split, teacher, idx, ground_truth, predicted, rule, correct``.
+    """One row per prediction: ``teacher, idx, ground_truth, predicted, rule, correct``.
 
     An equi-join on ``idx``, unique on the problem side, so a hot ``idx`` on the prediction side
     can be split by the skew join without copying more than one row.
     """
     joined = predicted_answers(predictions).join(true_answers(problems), "idx")
     return _verdict(joined).select(
-        "split", "teacher", "idx", "ground_truth", "predicted", "rule", "correct"
+        "teacher", "idx", "ground_truth", "predicted", "rule", "correct"
     )
 
 
@@ -72,13 +72,10 @@ def grade_short(predictions: DataFrame, problems: DataFrame) -> DataFrame:
         "teacher", "idx", A.extract_answer_short(F.col("response")).alias("predicted")
     )
     truth = problems.select(
-        "split",
-        "idx",
-        A.extract_answer_short(F.col("answer")).alias("ground_truth"),
+        "idx", A.extract_answer_short(F.col("answer")).alias("ground_truth")
     )
     joined = _comparable(found, "predicted").join(_comparable(truth, "ground_truth"), "idx")
     return _verdict(joined).select(
-        "split",
         "teacher",
         "idx",
         A.normalize_answer(F.col("ground_truth")).alias("ground_truth"),
@@ -87,28 +84,34 @@ def grade_short(predictions: DataFrame, problems: DataFrame) -> DataFrame:
     )
 
 
-def accuracy_by_teacher(graded: DataFrame) -> DataFrame:
-    """``split, teacher, correct, total, accuracy``; partial sums leave one row per task and model."""
-    return (
-        graded.groupBy("split", "teacher")
-        .agg(F.count_if("correct").alias("correct"), F.count("*").alias("total"))
-        .withColumn("accuracy", M.accuracy(F.col("correct"), F.col("total")))
+def accuracy_by_teacher(graded: DataFrame, split: str = "test") -> DataFrame:
+    """``split, teacher, correct, total, accuracy``; partial sums leave one row per task and model.
+
+    ``split`` names the graded problem set. It is added to the few summary rows, so that the rows
+    themselves need not carry it.
+    """
+    counts = graded.groupBy("teacher").agg(
+        F.count_if("correct").alias("correct"), F.count("*").alias("total")
+    )
+    return counts.select(
+        F.lit(split).alias("split"),
+        "*",
+        M.accuracy(F.col("correct"), F.col("total")).alias("accuracy"),
     )
 
 
 def running_accuracy(graded: DataFrame) -> DataFrame:
     """Accuracy in percent over the rows up to each one, in ``idx`` order."""
     counted = running(
-        graded.select("teacher", "idx", "correct"),
+        graded.select("teacher", "idx", F.col("correct").cast("bigint").alias("correct")),
         ["teacher"],
         "idx",
-        sums={
-            "correct_so_far": F.col("correct").cast("bigint"),
-            "total_so_far": F.lit(1).cast("bigint"),
-        },
+        sums={"correct_so_far": "correct", "total_so_far": F.lit(1)},
     )
     share = M.ratio(F.col("correct_so_far"), F.col("total_so_far"))
-    return counted.withColumn("accuracy_pct", share * 100)
+    return counted.withColumns(
+        {"correct": F.col("correct") == 1, "accuracy_pct": share * 100}
+    )
 
 
 def sample_rows(

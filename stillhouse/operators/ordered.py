@@ -23,30 +23,24 @@ def running(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
-    sums: Mapping[str, Column] | None = None,
-    maxima: Mapping[str, Column] | None = None,
+    sums: Mapping[str, str | Column] | None = None,
+    maxima: Mapping[str, str | Column] | None = None,
     block_positions: int = BLOCK_POSITIONS,
 ) -> DataFrame:
     """``df`` plus running sums and maxima along ``order`` within ``keys``, current row included.
 
-    ``order`` is an integer position, unique within ``keys``; neither may be NULL. Pass a narrow
-    frame and join wide columns back afterwards: all of its columns are shuffled once, and
-    because both uses of the blocks need the same columns Spark shuffles them only once.
+    ``order`` is an integer position, unique within ``keys``; neither may be NULL. Pass only
+    the keys, the order and the plain columns that are added up: both uses of the blocks then
+    need the same columns, and Spark makes and shuffles them once.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
     block_key = [*keys, "_block"]
-    blocks = df.select(
-        "*",
-        div(F.col(order), block_positions).alias("_block"),
-        *[v.alias(f"_value_{n}") for n, v in {**sums, **maxima}.items()],
-    )
     along = Window.partitionBy(*block_key).orderBy(order)
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = blocks.select(
-        *df.columns,
-        "_block",
-        *[F.sum(f"_value_{n}").over(upto).alias(f"_in_{n}") for n in sums],
-        *[F.max(f"_value_{n}").over(upto).alias(f"_in_{n}") for n in maxima],
+    inside = df.withColumn("_block", div(F.col(order), block_positions)).select(
+        "*",
+        *[F.sum(v).over(upto).alias(f"_in_{n}") for n, v in sums.items()],
+        *[F.max(v).over(upto).alias(f"_in_{n}") for n, v in maxima.items()],
         F.lead(order).over(along).isNull().alias("_last"),
     )
     before = (
@@ -59,7 +53,7 @@ def running(
         *[F.sum(f"_in_{n}").over(before).alias(f"_carry_{n}") for n in sums],
         *[F.max(f"_in_{n}").over(before).alias(f"_carry_{n}") for n in maxima],
     )
-    # A left join adds no filter below the first window, so both sides read one shuffle.
+    # A left join adds no filter below the first window, so the blocks of both sides stay alike.
     return inside.join(carried, block_key, "left").select(
         *df.columns,
         *[

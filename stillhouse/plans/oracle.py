@@ -174,24 +174,24 @@ _SAME = (
 )
 
 GRADED = f"""
-    select split, teacher, idx, ground_truth, predicted, rule, {_SAME} as correct
+    select teacher, idx, ground_truth, predicted, rule, {_SAME} as correct
     from (select p.teacher, idx, predicted, rule, {_bare("predicted")} as pb, {_value("predicted")} as pv
           from (select teacher, idx, {_extract("response")} as predicted, {_rule("response")} as rule
                 from predictions) p) a
-    join (select split, idx, ground_truth, {_bare("ground_truth")} as tb, {_value("ground_truth")} as tv
-          from (select split, idx, {_truth("answer")} as ground_truth from test) t) b using (idx)"""
+    join (select idx, ground_truth, {_bare("ground_truth")} as tb, {_value("ground_truth")} as tv
+          from (select idx, {_truth("answer")} as ground_truth from test) t) b using (idx)"""
 
 GRADED_SHORT = f"""
-    select split, teacher, idx, {_SAME} as correct
+    select teacher, idx, {_SAME} as correct
     from (select teacher, idx, {_bare("predicted")} as pb, {_value("predicted")} as pv
           from (select teacher, idx, {_short(f"trim(response, {WS})")} as predicted from predictions) p) a
-    join (select split, idx, {_bare("truth")} as tb, {_value("truth")} as tv
-          from (select split, idx, {_short(f"trim(answer, {WS})")} as truth from test) t) b using (idx)"""
+    join (select idx, {_bare("truth")} as tb, {_value("truth")} as tv
+          from (select idx, {_short(f"trim(answer, {WS})")} as truth from test) t) b using (idx)"""
 
 ACCURACY = f"""
-    select split, teacher, count(*) filter (where correct) as correct, count(*) as total,
+    select 'test' as split, teacher, count(*) filter (where correct) as correct, count(*) as total,
       {_round("count(*) filter (where correct) / count(*)", 4)} as accuracy
-    from {{graded}} group by split, teacher"""
+    from {{graded}} group by teacher"""
 
 LABEL = "case when teacher = 'base' then 'BASE (no fine-tuning)' else upper(teacher) end"
 

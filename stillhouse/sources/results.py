@@ -78,8 +78,11 @@ def _rows(texts: DataFrame, schema: T.StructType) -> DataFrame:
 def document_text(rows: DataFrame, key: str = "teacher") -> DataFrame:
     """All rows as one JSON object keyed by ``key``, keys in order."""
     entry = F.struct(F.col(key).alias("key"), F.struct(*rows.columns).alias("value"))
-    return rows.agg(F.array_sort(F.collect_list(entry)).alias("entries")).select(
-        F.to_json(F.map_from_entries("entries"), {"ignoreNullFields": "false"}).alias("value")
+    entries = rows.agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    text = F.to_json(F.map_from_entries("entries"), {"ignoreNullFields": "false"})
+    too_many = F.raise_error(F.lit(f"a results document holds at most {MAX_KEYS} keys"))
+    return entries.select(
+        F.when(F.size("entries") <= MAX_KEYS, text).otherwise(too_many).alias("value")
     )
 
 
@@ -121,11 +124,7 @@ class ResultsDocument:
             if version == 0
             else read_document(self.spark, self._path(version), self.schema)
         )
-        columns = [f.name for f in self.schema.fields]
-        rows = upsert(old, new.select(*columns, *([seq] if seq else [])), self.key, seq)
-        rows = rows.select(*columns)
-        if rows.limit(MAX_KEYS + 1).count() > MAX_KEYS:
-            raise ValueError(f"a results document holds at most {MAX_KEYS} keys")
+        rows = upsert(old, new, self.key, seq)
         document_text(rows, self.key).coalesce(1).write.text(self._path(version + 1))
 
     def _path(self, version: int) -> str:

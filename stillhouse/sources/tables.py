@@ -32,7 +32,14 @@ OUTAGE = ("deepseek", 700, 730)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """Scan a table; one that comes in fewer pieces than there are cores is spread over them.
+
+    A large table has many input splits and is left as it is. A single small file would
+    otherwise be one task, and every row made from it would pass through that task.
+    """
+    scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def _text(value: Column) -> Column:

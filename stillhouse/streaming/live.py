@@ -39,11 +39,8 @@ def keep_results(
     failure replaces the same keys by the same figures.
     """
 
-    columns = [f.name for f in document.schema.fields]
-
     def replace(batch: DataFrame, _batch_id: int) -> None:
-        if not batch.isEmpty():
-            document.upsert(batch.select(*columns))
+        document.upsert(batch)
 
     writer = (
         live.writeStream.outputMode("update")
