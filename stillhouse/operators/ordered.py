@@ -29,33 +29,36 @@ def running(
 ) -> DataFrame:
     """``df`` plus running sums and maxima along ``order`` within ``keys``, current row included.
 
-    ``order`` is an integer position, unique within ``keys``; neither may be NULL. Pass only
-    the keys, the order and the plain columns that are added up: both uses of the blocks then
-    need the same columns, and Spark makes and shuffles them once.
+    ``order`` is an integer position, unique within ``keys`` and never NULL. Pass only the keys,
+    the order and the plain columns that are added up: both uses of the blocks then need the same
+    columns, and Spark makes and shuffles them once.
     """
     sums, maxima = dict(sums or {}), dict(maxima or {})
-    block_key = [*keys, "_block"]
-    along = Window.partitionBy(*block_key).orderBy(order)
+    # The keys as one struct: it is never NULL itself, so a NULL key is a group like any other
+    # and the join infers no filter that would set its two sides apart.
+    group, rest = F.struct(*keys).alias("_group"), [c for c in df.columns if c not in keys]
+    blocks = df.select(group, *rest, div(F.col(order), block_positions).alias("_block"))
+    along = Window.partitionBy("_group", "_block").orderBy(order)
     upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = df.withColumn("_block", div(F.col(order), block_positions)).select(
+    inside = blocks.select(
         "*",
         *[F.sum(v).over(upto).alias(f"_in_{n}") for n, v in sums.items()],
         *[F.max(v).over(upto).alias(f"_in_{n}") for n, v in maxima.items()],
         F.lead(order).over(along).isNull().alias("_last"),
     )
     before = (
-        Window.partitionBy(*keys)
+        Window.partitionBy("_group")
         .orderBy("_block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = inside.where("_last").select(
-        *block_key,
+        "_group",
+        "_block",
         *[F.sum(f"_in_{n}").over(before).alias(f"_carry_{n}") for n in sums],
         *[F.max(f"_in_{n}").over(before).alias(f"_carry_{n}") for n in maxima],
     )
-    # A left join adds no filter below the first window, so the blocks of both sides stay alike.
-    return inside.join(carried, block_key, "left").select(
-        *df.columns,
+    return inside.join(carried, ["_group", "_block"], "left").select(
+        *[F.col(f"_group.{c}") if c in keys else F.col(c) for c in df.columns],
         *[
             (F.coalesce(f"_carry_{n}", F.lit(0)) + F.coalesce(f"_in_{n}", F.lit(0))).alias(n)
             for n in sums

@@ -67,11 +67,11 @@ MAX_KEYS = 10_000
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows of a JSON object keyed by teacher."""
-    return _rows(spark.read.option("wholetext", "true").text(path), schema)
+    return _rows(spark.read.text(path, wholetext=True), schema)
 
 
 def _rows(texts: DataFrame, schema: T.StructType) -> DataFrame:
-    as_map = F.from_json("value", T.MapType(T.StringType(), schema))
+    as_map = F.from_json("value", T.MapType(T.StringType(), schema), {"mode": "FAILFAST"})
     return texts.select(F.explode(as_map).alias("key", "record")).select("record.*")
 
 
@@ -101,7 +101,7 @@ class ResultsDocument:
     def version(self) -> int:
         """Number of the current version, 0 before the first."""
         try:
-            texts = self.spark.read.option("wholetext", "true").text(self.root)
+            texts = self.spark.read.text(self.root, wholetext=True)
         except AnalysisException as missing:
             if missing.getCondition() == "PATH_NOT_FOUND":
                 return 0
