@@ -27,6 +27,27 @@ def outcomes(attempts: DataFrame, retry: RetryConfig = RetryConfig()) -> DataFra
     return attempts.where(is_final(F.col("ok"), F.col("attempt"), retry))
 
 
+def settled(attempts: DataFrame, retry: RetryConfig = RetryConfig()) -> DataFrame:
+    """Outcomes of a log of several runs: a success, or the failure of the last run that tried.
+
+    ``attempts`` has a column ``run``. Later runs skip what succeeded, so successes need no
+    comparing; only failures are grouped, and only keys are compared with the successes.
+    """
+    final = outcomes(attempts, retry)
+    good, failed = final.where(F.col("ok")), final.where(~F.col("ok"))
+    order = ["run", "attempt", "error", "at_s"]
+    last = failed.groupBy("teacher", "idx").agg(F.max(F.struct(*order)).alias("last"))
+    still_failed = last.join(good.select("teacher", "idx"), ["teacher", "idx"], "left_anti")
+    restored = still_failed.select(
+        "teacher",
+        "idx",
+        "last.*",
+        F.lit(False).alias("ok"),
+        F.lit(None).cast("string").alias("completion"),
+    )
+    return good.unionByName(restored.select(*good.columns))
+
+
 def synthetic_answers(outcome: DataFrame) -> DataFrame:
     """``teacher, idx, synthetic_answer``: the completion, or the error text in its place."""
     return outcome.select(

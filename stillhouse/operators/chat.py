@@ -97,9 +97,14 @@ def conversations_text(
 
 
 def side_by_side(completions: DataFrame, teachers: list[str]) -> DataFrame:
-    """One row per problem with each teacher's answer in its own column."""
+    """One row per problem with each teacher's answer in its own column.
+
+    The answers to a problem lie in different files, so summing up before the shuffle would sort
+    all texts and merge none; they are brought together first.
+    """
     return (
-        completions.groupBy("idx")
+        completions.repartition("idx")
+        .groupBy("idx")
         .pivot("teacher", teachers)
         .agg(F.first("synthetic_answer", ignorenulls=True))
     )

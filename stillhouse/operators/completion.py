@@ -47,6 +47,7 @@ def complete(
     providers: Mapping[str, ProviderFactory],
     teachers: list[str],
     retry: RetryConfig = RetryConfig(),
+    tasks: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
     clock: Callable[[], float] = time.time,
 ) -> DataFrame:
@@ -54,6 +55,8 @@ def complete(
 
     Tasks may run again after a lost executor, so a provider has to bear repeated requests.
     Write the log before using it: every action on this frame would call the teachers anew.
+    ``tasks`` is the number of tasks that ask at the same time; the requests of one teacher are
+    dealt out to all of them.
     """
     check_providers(providers, teachers)
     # Send what tasks use of this package along with them; executors need not have it.
@@ -91,4 +94,6 @@ def complete(
                 rows.extend(ask(open_providers[teacher], teacher, int(idx), prompt))
             yield pd.DataFrame(rows, columns=columns)
 
-    return requests.select("teacher", "idx", "prompt").mapInPandas(run, ATTEMPT_SCHEMA)
+    asked = requests.select("teacher", "idx", "prompt")
+    asked = asked.repartition(tasks) if tasks else asked
+    return asked.mapInPandas(run, ATTEMPT_SCHEMA)
