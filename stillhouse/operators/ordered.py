@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from stillhouse.functions.metrics import div
 
-#: Positions per block. A block is one window group, so it bounds what a task sorts at a time;
-#: the carry table has one row per block, a ten-thousandth of the input.
-BLOCK_POSITIONS = 10_000
+#: Positions per block. A block is one window group and stays below the row count up to which
+#: Spark keeps a group in memory; the carry table has one row per block.
+BLOCK_POSITIONS = 4_000
 
 
 def running(

@@ -56,11 +56,11 @@ SMALLER_SIDE, BOTH_LARGE = "shuffle_hash", "merge"
 
 
 def _train(spark: SparkSession, sf: str) -> DataFrame:
-    return t.split_of(t.problems(spark, sf), "train").hint(BOTH_LARGE)
+    return t.problems_of(spark, sf, "train").hint(BOTH_LARGE)
 
 
 def _test(spark: SparkSession, sf: str) -> DataFrame:
-    return t.split_of(t.problems(spark, sf), "test").hint(SMALLER_SIDE)
+    return t.problems_of(spark, sf, "test").hint(SMALLER_SIDE)
 
 
 def _graded(spark: SparkSession, sf: str) -> DataFrame:
@@ -489,8 +489,7 @@ def training_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    schema = t.load(spark, sf, table).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    reader = spark.readStream.schema(t.SCHEMAS[table]).option("pathGlobFilter", f"{table}.parquet")
     return reader.parquet(sf)
 
 

@@ -7,12 +7,18 @@ projections and explodes of a scan: no row is collected, joined or shuffled to m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillhouse import fixed
-from stillhouse.functions.metrics import div
 
+# Columns of the given tables that are used.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "events": "event_id bigint, user_id bigint, event_type string",
+    "documents": "doc_id bigint, text string, lang string, source string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
 # Fixed values: (model, factor, modulus) of the share of wrong answers.
 MODELS = (
     ("base", 3, 4),
@@ -37,72 +43,60 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     A large table has many input splits and is left as it is. A single small file would
     otherwise be one task, and every row made from it would pass through that task.
     """
-    scan = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    scan = spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def _text(value: Column) -> Column:
-    return value.cast("string")
-
-
-def _grouped(value: Column) -> Column:
+def _grouped(value: str) -> str:
     """Whole number below a million with a thousands comma."""
-    return F.when(
-        value >= 1000,
-        F.concat(_text(div(value, 1000)), F.lit(","), F.lpad(_text(value % 1000), 3, "0")),
-    ).otherwise(_text(value))
+    thousands = f"concat({value} div 1000, ',', lpad({value} % 1000, 3, '0'))"
+    return f"if({value} >= 1000, {thousands}, string({value}))"
 
 
-def _worked(count: Column, price: Column, unit: str) -> Column:
-    total = count * price
-    return F.concat(
-        F.lit("The total is "), _text(count), F.lit("*"), _text(price), F.lit("=<<"),
-        _text(count), F.lit("*"), _text(price), F.lit("="), _text(total), F.lit(">>"),
-        _text(total), F.lit(f" {unit}.\n#### "), _grouped(total),
-    )
+def _worked(unit: str) -> str:
+    """Solution text of ``n`` times ``price`` with its annotation and the marked answer."""
+    return (
+        "concat('The total is ', n, '*', price, '=<<', n, '*', price, '=', n * price, '>>', "
+        rf"n * price, ' {unit}.\n#### ', {_grouped('(n * price)')})"
+    )
 
 
 def train_problems(orders: DataFrame) -> DataFrame:
-    count, price = 1 + F.col("o_orderkey") % 50, 1 + F.col("o_custkey") % 97
-    question = F.concat(
-        F.lit("An order has "), _text(count), F.lit(" items at "), _text(price),
-        F.lit(" dollars each. What is the total?"),
-    )
-    return orders.select(
-        F.col("o_orderkey").alias("idx"),
-        F.lit("train").alias("split"),
-        question.alias("question"),
-        _worked(count, price, "dollars").alias("answer"),
+    numbers = orders.selectExpr(
+        "o_orderkey as idx", "1 + o_orderkey % 50 as n", "1 + o_custkey % 97 as price"
+    )
+    return numbers.selectExpr(
+        "idx",
+        "'train' as split",
+        "concat('An order has ', n, ' items at ', price, ' dollars each. What is the total?')"
+        " as question",
+        f"{_worked('dollars')} as answer",
     )
-
-
-def _event_count() -> Column:
-    return 1 + F.col("event_id") % 50
-
-
-def _event_points() -> Column:
-    return 1 + F.col("user_id") % 97
 
 
 def test_problems(events: DataFrame) -> DataFrame:
-    count, points = _event_count(), _event_points()
-    question = F.concat(
-        F.lit("A user logs "), _text(count), F.lit(" events of kind "), F.col("event_type"),
-        F.lit(" worth "), _text(points), F.lit(" points each. How many points is that?"),
-    )
-    return events.select(
-        F.col("event_id").alias("idx"),
-        F.lit("test").alias("split"),
-        question.alias("question"),
-        _worked(count, points, "points").alias("answer"),
+    numbers = events.selectExpr(
+        "event_id as idx", "event_type", "1 + event_id % 50 as n", "1 + user_id % 97 as price"
+    )
+    return numbers.selectExpr(
+        "idx",
+        "'test' as split",
+        "concat('A user logs ', n, ' events of kind ', event_type, ' worth ', price,"
+        " ' points each. How many points is that?') as question",
+        f"{_worked('points')} as answer",
     )
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both splits; a filter on ``split`` leaves only the one table to scan."""
-    train = train_problems(load(spark, sf_dir, "orders"))
-    return train.unionByName(test_problems(load(spark, sf_dir, "events")))
+    return problems_of(spark, sf_dir, "train").unionByName(problems_of(spark, sf_dir, "test"))
+
+
+def problems_of(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    if split == "train":
+        return train_problems(load(spark, sf_dir, "orders"))
+    return test_problems(load(spark, sf_dir, "events"))
 
 
 def split_of(problem_set: DataFrame, split: str) -> DataFrame:
@@ -111,112 +105,77 @@ def split_of(problem_set: DataFrame, split: str) -> DataFrame:
 
 def predictions_of(events: DataFrame) -> DataFrame:
     """Five models answering every test problem in five styles, each wrong at its own rate."""
-    idx = F.col("event_id")
-    model = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("teacher"),
-                    F.lit(factor).cast("bigint").alias("factor"),
-                    F.lit(modulus).cast("bigint").alias("modulus"),
-                )
-                for name, factor, modulus in MODELS
-            ]
-        )
-    ).alias("m")
-    wrong = (div(F.col("idx"), 7) * F.col("m.factor")) % F.col("m.modulus") == 0
-    given = F.col("right") + F.when(wrong, 1).otherwise(0)
-    tagged = events.select(
-        idx.alias("idx"), (_event_count() * _event_points()).alias("right"), model
-    ).select("idx", "m.teacher", given.alias("given"))
-    style, given = F.col("idx") % 5, F.col("given")
-    response = (
-        F.when(style == 0, F.concat(F.lit("Work shown.\n#### "), _grouped(given)))
-        .when(style == 1, F.concat(F.lit("So the answer is "), _text(given), F.lit(".")))
-        .when(style == 2, F.concat(F.lit("total = "), _text(given), F.lit("\n")))
-        .when(style == 3, F.concat(F.lit("It comes to "), _text(given), F.lit(" dollars")))
-        .otherwise(F.concat(F.lit("#### $"), _text(given), F.lit(".00")))
+    models = ", ".join(
+        f"struct('{name}' as teacher, {factor}L as factor, {modulus}L as modulus)"
+        for name, factor, modulus in MODELS
+    )
+    given = events.selectExpr(
+        "event_id as idx",
+        "(1 + event_id % 50) * (1 + user_id % 97) as total",
+        f"inline(array({models}))",
+    ).selectExpr(
+        "teacher", "idx", "total + if((idx div 7) * factor % modulus = 0, 1, 0) as given"
     )
-    return tagged.select("teacher", "idx", response.alias("response"))
+    response = rf"""case idx % 5
+        when 0 then concat('Work shown.\n#### ', {_grouped("given")})
+        when 1 then concat('So the answer is ', given, '.')
+        when 2 then concat('total = ', given, '\n')
+        when 3 then concat('It comes to ', given, ' dollars')
+        else concat('#### $', given, '.00') end as response"""
+    return given.selectExpr("teacher", "idx", response)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions_of(load(spark, sf_dir, "events"))
 
 
-def _failures(teacher: str, factor: int, modulus: int, residues: int) -> Column:
-    """Failed calls before the answer; five means there is none."""
-    idx = F.col("idx")
-    down = idx.between(OUTAGE[1], OUTAGE[2]) if teacher == OUTAGE[0] else F.lit(False)
-    return (
-        F.when(down | ((idx * factor) % modulus < residues), 5)
-        .when((idx * factor) % 11 == 0, 2)
-        .otherwise(0)
-    )
-
-
 def _requests(problem_set: DataFrame) -> DataFrame:
-    """One row per problem and teacher with the number of calls that will fail."""
-    call = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("teacher"),
-                    F.lit(seconds).cast("bigint").alias("seconds"),
-                    _failures(name, factor, modulus, residues).cast("bigint").alias("fails"),
-                )
-                for name, factor, modulus, residues, seconds in CALLS
-            ]
-        )
-    ).alias("c")
-    return problem_set.select("idx", "question", "answer", call).select(
-        "idx", "question", "answer", "c.*"
-    )
+    """One row per problem and teacher with the failed calls before the answer; five if none."""
 
+    def call(name: str, factor: int, modulus: int, residues: int, seconds: int) -> str:
+        down = f"idx between {OUTAGE[1]} and {OUTAGE[2]} or " if name == OUTAGE[0] else ""
+        fails = (
+            f"case when {down}idx * {factor} % {modulus} < {residues} then 5L "
+            f"when idx * {factor} % 11 = 0 then 2L else 0L end"
+        )
+        return f"struct('{name}' as teacher, {seconds}L as seconds, {fails} as fails)"
 
-def _error(idx: Column) -> Column:
-    return (
-        F.when(idx % 3 == 0, "HTTP 429 Too Many Requests")
-        .when(idx % 3 == 1, "Quota exceeded")
-        .otherwise("connection reset")
-    )
+    calls = ", ".join(call(*c) for c in CALLS)
+    return problem_set.selectExpr("idx", "question", "answer", f"inline(array({calls}))")
 
 
-def _taught(answer: Column) -> Column:
-    return F.concat(F.lit("Step 1: multiply.\n"), answer)
+_ERROR = """case idx % 3 when 0 then 'HTTP 429 Too Many Requests'
+    when 1 then 'Quota exceeded' else 'connection reset' end"""
+_TAUGHT = r"concat('Step 1: multiply.\n', answer)"
 
 
 def attempts_of(problem_set: DataFrame) -> DataFrame:
-    last = F.least(F.col("fails"), F.lit(fixed.MAX_TRIES - 1))
-    calls = _requests(problem_set).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("attempt")
+    calls = _requests(problem_set).selectExpr(
+        "*", f"explode(sequence(0L, least(fails, {fixed.MAX_TRIES - 1}L))) as attempt"
     )
-    ok = F.col("attempt") == F.col("fails")
-    return calls.select(
+    return calls.selectExpr(
         "teacher",
         "idx",
         "attempt",
-        ok.alias("ok"),
-        F.when(~ok, _error(F.col("idx"))).alias("error"),
-        F.when(ok, _taught(F.col("answer"))).alias("completion"),
-        (F.col("idx") * F.col("seconds") + F.col("attempt")).alias("at_s"),
+        "attempt = fails as ok",
+        f"if(attempt = fails, null, {_ERROR}) as error",
+        f"if(attempt = fails, {_TAUGHT}, null) as completion",
+        "idx * seconds + attempt as at_s",
     )
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three teachers asked for every training problem, up to five calls each."""
-    return attempts_of(train_problems(load(spark, sf_dir, "orders")))
+    return attempts_of(problems_of(spark, sf_dir, "train"))
 
 
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per teacher and training problem, the question carried along."""
-    asked = _requests(train_problems(load(spark, sf_dir, "orders")))
-    answered = F.col("fails") < fixed.MAX_TRIES
-    failure = F.concat(F.lit(fixed.ERROR_MARK + " "), _error(F.col("idx")))
-    return asked.select(
+    failure = f"concat('{fixed.ERROR_MARK} ', {_ERROR})"
+    return _requests(problems_of(spark, sf_dir, "train")).selectExpr(
         "idx",
         "question",
         "answer",
-        F.when(answered, _taught(F.col("answer"))).otherwise(failure).alias("synthetic_answer"),
+        f"if(fails < {fixed.MAX_TRIES}, {_TAUGHT}, {failure}) as synthetic_answer",
         "teacher",
     )
