@@ -14,7 +14,7 @@ from stillhouse import fixed
 from stillhouse.config import BreakerConfig, RetryConfig, TeacherConfig
 from stillhouse.functions import metrics as M
 from stillhouse.functions.retry import backoff_seconds, is_final, is_rate_limit
-from stillhouse.functions.text import error_text
+from stillhouse.functions.text import error_text, is_error
 from stillhouse.operators.ordered import running
 
 
@@ -57,6 +57,30 @@ def synthetic_answers(outcome: DataFrame) -> DataFrame:
     )
 
 
+def outcomes_of_completions(completions: DataFrame) -> DataFrame:
+    """``teacher, idx, ok`` read off stored completions, where an error text stands for a failure.
+
+    Error blocks, runs and the breaker work on it as on a log.
+    """
+    failed = is_error(F.col("synthetic_answer"), fixed.ERROR_MARK)
+    return completions.select("teacher", "idx", (~failed).alias("ok"))
+
+
+def completion_errors(completions: DataFrame) -> DataFrame:
+    """Rows, errors and success rate in percent per teacher, from the completions alone."""
+    counted = (
+        outcomes_of_completions(completions)
+        .groupBy("teacher")
+        .agg(F.count("*").alias("total"), F.count_if(~F.col("ok")).alias("errors"))
+    )
+    good = F.col("total") - F.col("errors")
+    return counted.select(
+        "*",
+        good.alias("successful"),
+        M.rounded(100 * M.ratio(good, F.col("total")), 2).alias("success_rate"),
+    )
+
+
 def answers_with_fallback(outcome: DataFrame, problems: DataFrame) -> DataFrame:
     """The completion, or the problem's own answer where the call failed."""
     return outcome.join(problems.select("idx", "answer"), "idx").select(

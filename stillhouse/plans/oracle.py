@@ -271,6 +271,17 @@ def _breaker() -> str:
     )
 
 
+_REPORT = """
+    select teacher, any_value(total) as total,
+      count(*) filter (where trip_idx is null or idx <= trip_idx) as processed,
+      count(*) filter (where cut_idx is null or idx < cut_idx) as kept,
+      count(*) filter (where not ok and (trip_idx is null or idx <= trip_idx)) as errors,
+      count(*) filter (where ok and (trip_idx is null or idx <= trip_idx)) as successful,
+      any_value(total) - count(*) filter (where not ok and (trip_idx is null or idx <= trip_idx))
+        as reported_successful,
+      max(cut_idx) as cut_idx, coalesce(max(stop_reason), 'finished') as stop_reason
+    from outcomes left join trips using (teacher), totals group by teacher"""
+
 _SAMPLED = f"""
     select * from (select *, row_number() over (order by md5(concat('{fixed.SEED}:', idx)), idx) as n
                    from {{table}}) where n <= {{rows}}"""
@@ -452,6 +463,12 @@ ORACLE: dict[str, str] = {
     select teacher, total, successful, errors, {_round("success_rate", 2)} as success_rate,
       {_round("minutes", 1)} as minutes,
       concat('{OUTPUT}/teacher=', teacher) as output_file from stats""",
+    "completion_errors": _with("completions")
+    + f"""
+    select *, total - errors as successful, {_round("100 * (total - errors) / total", 2)} as success_rate
+    from (select teacher, count(*) as total,
+            count(*) filter (where starts_with(synthetic_answer, 'ERROR:')) as errors
+          from completions group by teacher)""",
     "gen_progress": _with("outcomes", "totals")
     + f"""
     select teacher, done, total, {_round("100 * done / total", 1)} as done_pct, errors,
@@ -468,17 +485,8 @@ ORACLE: dict[str, str] = {
     select *, errors / 100.0::double as error_rate, errors / 100.0 > 0.5 as trips from blocks""",
     "error_runs": _with("outcomes", extra={"runs": RUNS})
     + "select *, run_rows >= 10 as trips from runs",
-    "circuit_breaker": _breaker()
-    + """
-    select teacher, any_value(total) as total,
-      count(*) filter (where trip_idx is null or idx <= trip_idx) as processed,
-      count(*) filter (where cut_idx is null or idx < cut_idx) as kept,
-      count(*) filter (where not ok and (trip_idx is null or idx <= trip_idx)) as errors,
-      count(*) filter (where ok and (trip_idx is null or idx <= trip_idx)) as successful,
-      any_value(total) - count(*) filter (where not ok and (trip_idx is null or idx <= trip_idx))
-        as reported_successful,
-      max(cut_idx) as cut_idx, coalesce(max(stop_reason), 'finished') as stop_reason
-    from outcomes left join trips using (teacher), totals group by teacher""",
+    "circuit_breaker": _breaker() + _REPORT,
+    "completion_breaker": _breaker() + _REPORT,
     "circuit_breaker_rows": _breaker()
     + """
     select teacher, idx, case when ok then completion else concat('ERROR: ', error) end

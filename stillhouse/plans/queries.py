@@ -327,6 +327,18 @@ def stats_scan(spark: SparkSession, sf: str) -> DataFrame:
     return texts.parse_stats(texts.scan_stats(spark, path))
 
 
+@query
+def completion_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return L.completion_errors(t.completions(spark, sf))
+
+
+@query
+def completion_breaker(spark: SparkSession, sf: str) -> DataFrame:
+    """The breaker's report from stored completions, without the log."""
+    outcome = L.outcomes_of_completions(t.completions(spark, sf))
+    return L.breaker_report(outcome, _totals(spark, sf))
+
+
 @query
 def gen_progress(spark: SparkSession, sf: str) -> DataFrame:
     log = t.attempts(spark, sf)

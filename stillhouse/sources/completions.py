@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stillhouse.sources.problems import index_rows
+
 COMPLETION_SCHEMA = (
     "idx bigint, question string, answer string, synthetic_answer string, teacher string"
 )
@@ -24,6 +26,12 @@ def write_completions(completions: DataFrame, path: str) -> None:
     )
 
 
+def read_teacher_file(spark: SparkSession, path: str) -> DataFrame:
+    """Scan completions kept as plain rows in problem order and number them by that order."""
+    schema = "question string, answer string, synthetic_answer string, teacher string"
+    return index_rows(spark.read.schema(schema).parquet(path))
+
+
 def read_completions(
     spark: SparkSession, path: str, teachers: list[str] | None = None
 ) -> DataFrame:

@@ -78,7 +78,8 @@ def _rows(texts: DataFrame, schema: T.StructType) -> DataFrame:
 def document_text(rows: DataFrame, key: str = "teacher") -> DataFrame:
     """All rows as one JSON object keyed by ``key``, keys in order."""
     entry = F.struct(F.col(key).alias("key"), F.struct(*rows.columns).alias("value"))
-    entries = rows.agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    # one row over the bound is enough to tell, so an endless table is not collected first
+    entries = rows.limit(MAX_KEYS + 1).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     text = F.to_json(F.map_from_entries("entries"), {"ignoreNullFields": "false"})
     too_many = F.raise_error(F.lit(f"a results document holds at most {MAX_KEYS} keys"))
     return entries.select(

@@ -5,7 +5,6 @@ import os
 
 import pytest
 from pyspark.errors import AnalysisException
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stillhouse.operators.upsert import upsert
@@ -91,6 +90,15 @@ def test_completions_prune_and_replace(spark, tmp_path):
     assert one.count() == 1
 
 
+def test_teacher_file_is_numbered(spark, tmp_path):
+    rows = [(f"q{i}", "a", f"s{i}", "gpt") for i in range(30)]
+    schema = "question string, answer string, synthetic_answer string, teacher string"
+    path = str(tmp_path / "gpt.parquet")
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    got = store.read_teacher_file(spark, path).collect()
+    assert sorted((r["idx"], r["question"]) for r in got) == [(i, f"q{i}") for i in range(30)]
+
+
 def test_raw_problems_are_numbered_in_file_order(spark, tmp_path):
     for part in range(4):
         lines = [json.dumps({"question": f"q{part:02}{i:03}", "answer": "a"}) for i in range(50 * part)]
