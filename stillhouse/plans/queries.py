@@ -501,8 +501,8 @@ def training_log(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    reader = spark.readStream.schema(t.SCHEMAS[table]).option("pathGlobFilter", f"{table}.parquet")
-    return reader.parquet(sf)
+    # as a glob the path may be one file as well as a directory of files
+    return spark.readStream.schema(t.SCHEMAS[table]).parquet(f"{sf}/{table}[.]parquet")
 
 
 @query
