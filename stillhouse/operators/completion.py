@@ -34,6 +34,8 @@ ATTEMPT_SCHEMA = (
     "teacher string, idx bigint, attempt bigint, ok boolean, error string, completion string, "
     "at_s double"
 )
+#: Calls a task holds before it hands them on.
+_ROWS_AT_ONCE = 1_000
 
 
 def check_providers(providers: Mapping[str, ProviderFactory], teachers: list[str]) -> None:
@@ -82,7 +84,7 @@ def complete(
                 yield teacher, idx, attempt, True, None, text, clock()
                 return
 
-    columns = ["teacher", "idx", "attempt", "ok", "error", "completion", "at_s"]
+    columns = [c.split()[0] for c in ATTEMPT_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_providers: dict[str, Provider] = {}
@@ -92,7 +94,11 @@ def complete(
                 if teacher not in open_providers:
                     open_providers[teacher] = factories[teacher]()
                 rows.extend(ask(open_providers[teacher], teacher, int(idx), prompt))
-            yield pd.DataFrame(rows, columns=columns)
+                if len(rows) >= _ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     asked = requests.select("teacher", "idx", "prompt")
     asked = asked.repartition(tasks) if tasks else asked

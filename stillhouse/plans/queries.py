@@ -50,9 +50,9 @@ def query(function: Query) -> Query:
 
 
 # Size estimates take an exploded table to be as large as the one it was exploded from. Left to
-# them, Spark would broadcast the five times larger predictions, so these joins say what to do.
-# The operators themselves carry no such hints: tables read from storage have true sizes.
-SMALLER_SIDE, BOTH_LARGE = "shuffle_hash", "merge"
+# them, Spark would broadcast the five times larger predictions, so these joins ask for the one
+# that spills. The operators carry no such hint: tables read from storage have true sizes.
+BOTH_LARGE = "merge"
 
 
 def _train(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +60,7 @@ def _train(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _test(spark: SparkSession, sf: str) -> DataFrame:
-    return t.problems_of(spark, sf, "test").hint(SMALLER_SIDE)
+    return t.problems_of(spark, sf, "test").hint(BOTH_LARGE)
 
 
 def _graded(spark: SparkSession, sf: str) -> DataFrame:

@@ -37,15 +37,20 @@ CALLS = (
 OUTAGE = ("deepseek", 700, 730)
 
 
+#: Input splits up to which a table counts as small, a gigabyte at the usual split size.
+SMALL_SPLITS = 8
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Scan a table; one that comes in fewer pieces than there are cores is spread over them.
+    """Scan a table; a small one that comes in fewer pieces than there are cores is spread out.
 
     A large table has many input splits and is left as it is. A single small file would
     otherwise be one task, and every row made from it would pass through that task.
     """
     scan = spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    splits = scan.rdd.getNumPartitions()
+    return scan.repartition(cores) if splits < cores and splits <= SMALL_SPLITS else scan
 
 
 def _grouped(value: str) -> str:
