@@ -4,6 +4,35 @@ from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
 
+ORACLE["op4_minhash_near_dedup"] = r"""
+with recursive words as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+        lambda w: w != '') as w
+    from documents
+), sets as (
+    select doc_id, case when len(w) = 0 then [] when len(w) < 2 then [w[1]]
+        else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
+    from words
+), tokens as (
+    select doc_id, unnest(s) as t from sets
+), common as (
+    select x.doc_id as a, y.doc_id as b, count(*) as n
+    from tokens x join tokens y on x.t = y.t and x.doc_id < y.doc_id group by all
+), links as (
+    select a, b from common join sets p on p.doc_id = a join sets q on q.doc_id = b
+    where 100 * n >= 80 * (len(p.s) + len(q.s) - n)
+), both_ways as (
+    select a, b from links union all select b, a from links
+), reach(doc_id, root) as (
+    select doc_id, doc_id from sets
+    union
+    select l.b, r.root from reach r join both_ways l on l.a = r.doc_id
+)
+select doc_id, len(s) as n_shingles, root as component_id, doc_id = root as kept
+from sets join (select doc_id, min(root) as root from reach group by 1) using (doc_id)
+"""
+
 ORACLE["op7_line_dedup"] = r"""
 with lines as (
     select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,

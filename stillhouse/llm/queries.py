@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stillhouse.llm.exact import exact_groups
 from stillhouse.llm.lines import remove_repeated_chunks
+from stillhouse.llm.near import near_groups
 from stillhouse.llm.quality import risk_controlled_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), shingle=2)
+
+
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeated_chunks(table(spark, sf_dir, "documents"))
