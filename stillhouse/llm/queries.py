@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stillhouse.llm.bpe import encode_texts
 from stillhouse.llm.exact import exact_groups
 from stillhouse.llm.lines import remove_repeated_chunks
 from stillhouse.llm.near import near_groups
+from stillhouse.llm.packing import pack
 from stillhouse.llm.quality import risk_controlled_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +34,11 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), shingle=2)
 
 
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeated_chunks(table(spark, sf_dir, "documents"))
@@ -62,3 +70,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@query
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return encode_texts(table(spark, sf_dir, "documents"), path, full=False)
