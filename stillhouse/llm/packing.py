@@ -11,7 +11,6 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -58,13 +57,12 @@ class ByteBPE:
         ends = [k for token, k in ranks.items() if token[-1:] in (b".", b"!", b"?", b"\n")]
         self.ends_sentence = np.zeros(max(ranks.values()) + 2, bool)
         self.ends_sentence[ends] = True
-        self._space = regex.compile(r"\s")
         self._first = PieceCache(lambda piece: self._piece("", piece))
         self._later = PieceCache(lambda piece: self._piece("" if piece[:1] == "\n" else " ", piece))
 
     def _piece(self, lead: str, piece: str) -> list[int] | None:
         bare = piece[1:] if piece[:1] == "\n" and not lead else piece
-        if not bare or self._space.search(bare):
+        if bare.split() != [bare]:
             return None
         return self._fast.encode_ordinary(lead + piece)
 
