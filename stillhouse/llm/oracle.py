@@ -33,6 +33,24 @@ select doc_id, len(s) as n_shingles, root as component_id, doc_id = root as kept
 from sets join (select doc_id, min(root) as root from reach group by 1) using (doc_id)
 """
 
+# The base32 digest is spelled out of the hexadecimal one, five bits at a time.
+ORACLE["op6_warc"] = """
+with hashed as (
+    select page_id, coalesce(html, '') as html, max(page_id) over same as last_id, sha1(coalesce(html, '')) as hex
+    from pages window same as (partition by coalesce(html, ''))
+), bits as (
+    select *, list_aggregate(list_transform(range(1, 41), lambda i:
+        lpad(bin(('0x' || substr(hex, i, 1))::int), 4, '0')), 'string_agg', '') as b from hashed
+)
+select page_id, strlen(html)::bigint as payload_bytes,
+    list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + list_sum(list_transform(range(1, 6), lambda k:
+            substr(b, 5 * i + k, 1)::int << (5 - k)))::int, 1)), 'string_agg', '') as payload_digest,
+    case when page_id = last_id then 'response' else 'revisit' end as record_type,
+    case when page_id <> last_id then last_id end as refers_to
+from bits
+"""
+
 ORACLE["op7_line_dedup"] = r"""
 with lines as (
     select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
