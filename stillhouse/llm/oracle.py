@@ -4,6 +4,36 @@ from __future__ import annotations
 
 ORACLE: dict[str, str] = {}
 
+ORACLE["op3_suffix_array_dedup"] = """
+with hexed as (
+    select doc_id, lower(hex(encode(coalesce(text, '')))) as h from documents
+), places as (
+    select doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) as i from hexed
+), windows as (
+    select doc_id, i, substr(h, 2 * i + 1, 100) as w from places
+), first as (
+    select w, min(doc_id) as d from windows group by w
+), hits as (
+    select doc_id, i from windows join first using (w) where d < doc_id
+), stretches as (
+    select doc_id, min(i) as a, max(i) + 50 as b
+    from (select *, sum(fresh) over (partition by doc_id order by i) as g
+        from (select *, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as fresh from hits))
+    group by doc_id, g
+), sums as (
+    select doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans from stretches group by doc_id
+), gaps as (
+    select doc_id, coalesce(lag(b) over w, 0) as a, stretches.a as b from stretches window w as (partition by doc_id order by a)
+    union all select doc_id, max(b), 1000000000 from stretches group by doc_id
+), left_over as (
+    select g.doc_id, string_agg(substr(h, 2 * g.a + 1, 2 * (g.b - g.a)), '' order by g.a) as h
+    from gaps g join hexed x on x.doc_id = g.doc_id group by g.doc_id
+)
+select x.doc_id, (len(x.h) // 2)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+    sha256(unhex(coalesce(l.h, x.h))) as kept_sha256
+from hexed x left join sums s on s.doc_id = x.doc_id left join left_over l on l.doc_id = x.doc_id
+"""
+
 ORACLE["op4_minhash_near_dedup"] = r"""
 with recursive words as (
     select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),

@@ -14,6 +14,7 @@ from stillhouse.llm.lines import remove_repeated_chunks
 from stillhouse.llm.near import near_groups
 from stillhouse.llm.packing import pack
 from stillhouse.llm.quality import risk_controlled_rules
+from stillhouse.llm.suffix import remove_repeats
 from stillhouse.llm.warc import archive_folder, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), full=False).drop("kept")
+
+
 @query
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), shingle=2)
