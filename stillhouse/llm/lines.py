@@ -78,7 +78,7 @@ def remove_repeated_chunks(
     # The chunks so marked are compared by their bytes: grouped by the text itself.
     suspects = (
         _chunked(_with_marked(texts, marked), mean_lines)
-        .select("doc_id", "lines", "chunks", F.explode("marked").alias("chunk"))
+        .select("doc_id", "lines", "chunks", F.explode_outer("marked").alias("chunk"))
         .select("doc_id", "lines", "chunk", F.get("chunks", F.col("chunk")).alias("c"))
         .where("c is not null")
         .select("doc_id", "chunk", piece.alias("piece"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stillhouse.llm.bpe import encode_texts
 from stillhouse.llm.exact import exact_groups
+from stillhouse.llm.html import extract
 from stillhouse.llm.lines import remove_repeated_chunks
 from stillhouse.llm.near import near_groups
 from stillhouse.llm.packing import pack
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), full=False).drop("kept")
