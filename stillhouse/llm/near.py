@@ -8,7 +8,6 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +22,8 @@ ROWS = 3
 PARTS = 12
 #: Bytes of keys that one task sorts.
 BUCKET_BYTES = 24 << 20
+#: Pairs per document up to which the documents of a meeting are compared directly.
+PAIRS_EACH = 16
 
 _ENTRY = np.dtype([("key", "<u4"), ("doc", "<i8")])
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, left binary, right binary"
@@ -90,8 +91,7 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, each: int) -> Iterator[
             np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, parts)
             for c in (1, 2)
         )
-        packed: list[tuple[int, bytes]] = []
-        met = []
+        packed: list[tuple[int, bool, bytes]] = []
         for table in range(parts * parts if doc.size else 0):
             i, j = divmod(table, parts)
             key = mix(left[:, i] * np.uint64(3) + right[:, j] + np.uint64(table))
@@ -99,49 +99,42 @@ def _deal(batches: Iterator[pa.RecordBatch], parts: int, each: int) -> Iterator[
             key, own = key[order], doc[order]
             fresh = np.ones(own.size, bool)
             fresh[1:] = key[1:] != key[:-1]
-            met.append(_links(key, own, fresh))
-            key, own = key[fresh], own[fresh]
             bucket = (key >> np.uint64(32)) % np.uint64(each)
+            name = mix((key & np.uint64(0xFFFFFFFF)) + ((np.uint64(table * each) + bucket) << np.uint64(32)))
+            met = _links(name, own, fresh)
+            if met.size:
+                packed.append((table * each, True, met.tobytes()))
+            key, own, bucket = key[fresh], own[fresh], bucket[fresh]
             entry = np.empty(own.size, _ENTRY)
             entry["key"], entry["doc"] = key & np.uint64(0xFFFFFFFF), own
             for part in np.unique(bucket).tolist():
-                packed.append((table * each + part, entry[bucket == part].tobytes()))
-        yield _rows([k for k, _ in packed], [x for _, x in packed], met)
+                packed.append((table * each + part, False, entry[bucket == part].tobytes()))
+        buckets, links, entries = zip(*packed) if packed else ((), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(buckets, pa.int32()), pa.array(links, pa.bool_()), pa.array(entries, pa.binary())],
+            names=["bucket", "links", "entries"],
+        )
 
 
 def _links(key: np.ndarray, doc: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-    """``meeting, doc, head`` of sorted keys: every document with the smallest of its key."""
+    """Meeting, document and smallest document of the same key, for all others of sorted keys."""
     head = np.maximum.accumulate(np.where(fresh, np.arange(doc.size), 0))
     rest = ~fresh
     return np.stack([key[rest].view(np.int64), doc[rest], doc[head][rest]], 1)
 
 
-def _rows(buckets: list[int], entries: list[bytes], met: list[np.ndarray]) -> pa.RecordBatch:
-    links = np.concatenate(met) if met else np.zeros((0, 3), np.int64)
-    n, m = len(buckets), len(links)
-    nulls = lambda size, kind: pa.nulls(size, kind)
-    join = pa.concat_arrays
-    return pa.RecordBatch.from_arrays(
-        [
-            join([pa.array(buckets, pa.int32()), nulls(m, pa.int32())]),
-            join([pa.array(entries, pa.binary()), nulls(m, pa.binary())]),
-            *(join([nulls(n, pa.int64()), pa.array(links[:, c])]) for c in range(3)),
-        ],
-        names=["bucket", "entries", "meeting", "a", "b"],
-    )
-
-
 def _meet(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links of one bucket: documents of different batches with the same key."""
-    entry = np.frombuffer(b"".join(rows["entries"]), _ENTRY)
-    order = np.lexsort((entry["doc"], entry["key"]))
-    entry = entry[order]
+    """Links of one bucket: those found in batches, and those of documents from different ones."""
+    met = [np.frombuffer(x, np.int64).reshape(-1, 3) for x in rows.loc[rows["links"], "entries"]]
+    packed = rows.loc[~rows["links"], "entries"]
+    entry = np.frombuffer(b"".join(packed), _ENTRY)
+    entry = entry[np.lexsort((entry["doc"], entry["key"]))]
     key, doc = entry["key"].astype(np.uint64), entry["doc"]
     fresh = np.ones(doc.size, bool)
     fresh[1:] = key[1:] != key[:-1]
     # 32 bits of the key and the bucket name the meeting.
     named = mix(key + (np.uint64(rows["bucket"].iloc[0]) << np.uint64(32)))
-    return pd.DataFrame(_links(named, doc, fresh), columns=["meeting", "a", "b"])
+    return pd.DataFrame(np.concatenate([*met, _links(named, doc, fresh)]), columns=["meeting", "a", "b"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -175,8 +168,8 @@ def near_groups(
        ``parts ** 2`` tables.
     3. Documents that meet in a table are paired with the smallest one there, and confirmed.
     4. Where three or more meet and don't end up in one component, some were not compared with
-       each other. The components that meet there are joined exactly, by rare shingles
-       (``_by_rare_shingles``), whatever their number.
+       each other. Those of different components now are: directly while that stays in proportion
+       to the meeting's size, and by an exact join on rare shingles where it doesn't.
 
     NULL, empty and blank texts have no set and are linked with nothing; with a NULL id,
     ``component_id`` is NULL and the row is kept. Rows that repeat an id are all returned, each
@@ -195,18 +188,12 @@ def near_groups(
     )
     each = 1 + sketches.count() * _ENTRY.itemsize // BUCKET_BYTES
     dealt = classes.select("rep", "left", "right").mapInArrow(
-        partial(_deal, parts=parts, each=each),
-        "bucket int, entries binary, meeting long, a long, b long",
-    )
-    dealt = dealt.persist(StorageLevel.DISK_ONLY)
-    links = dealt.where("bucket is null").select("meeting", "a", "b").union(
-        dealt.where("bucket is not null").select("bucket", "entries").groupBy("bucket").applyInPandas(_meet, "meeting long, a long, b long")
+        lambda batches: _deal(batches, parts, each), "bucket int, links boolean, entries binary"
     )
+    met = dealt.groupBy("bucket").applyInPandas(_meet, "meeting long, a long, b long").checkpoint()
     sizes = classes.select(F.col("rep").alias("size_id"), F.col("n_shingles").alias("n"))
-    met = links.checkpoint()
-    dealt.unpersist()
     pairs = _of_like_size(met.select("a", "b").distinct(), sizes, share)
-    sets = _sets_of(texts, pairs, shingle)
+    sets = _named(texts, pairs.select(F.explode(F.array("a", "b"))), shingle)
     good = _confirmed(pairs, sets, share).checkpoint()
     found = components(good)
     rest = _uncompared(met, found, sizes, texts, shingle, share)
@@ -237,10 +224,9 @@ def _of_like_size(pairs: DataFrame, sizes: DataFrame, share: int) -> DataFrame:
     )
 
 
-def _sets_of(texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
-    """Full sets of the documents named in ``pairs``, one per id."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    own = texts.join(named, "doc_id", "left_semi")
+def _named(texts: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """Full sets ``set_id, set`` of the documents whose ids are named."""
+    own = texts.join(ids.select(F.col(ids.columns[0]).alias("doc_id")).distinct(), "doc_id", "left_semi")
     return own.mapInArrow(partial(_sets, size=shingle), "set_id long, set array<long>")
 
 
@@ -249,54 +235,53 @@ def _uncompared(
 ) -> DataFrame:
     """Confirmed links between documents that met in a table without being compared there.
 
-    Only meetings of three or more with more than one component are looked at. The documents of
-    these components are joined by rare shingles: in the order of their frequency, the first
-    ``n - ceil(share * n) + 1`` of either of two similar sets have one in common, so pairs come
-    from rare shingles alone. Pairs of one component are left out.
+    Only meetings of three or more with more than one component are looked at, and only pairs
+    of different components. Where these are more than ``PAIRS_EACH`` for every document that
+    meets there, the documents are joined by rare shingles instead: in the order of their
+    frequency, the first ``n - ceil(share * n) + 1`` shingles of either of two similar sets have
+    one in common, so no link is lost and frequent shingles make no pairs.
     """
     root = found.select(F.col("node").alias("k"), "root")
     both = met.select("meeting", F.explode(F.array("a", "b")).alias("k")).distinct()
     rooted = both.join(root, "k", "left").select("meeting", "k", F.coalesce("root", "k").alias("root"))
-    open_ = (
-        rooted.groupBy("meeting")
-        .agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        .where("n > 2 and lo != hi")
-        .select("meeting")
-    )
-    roots = rooted.join(open_, "meeting", "left_semi").select("root").distinct()
-    everyone = sizes.join(root, F.col("size_id") == F.col("k"), "left").select(
-        F.col("size_id").alias("doc_id"), "n", F.coalesce("root", "size_id").alias("root")
+    rooted = rooted.join(sizes.withColumnRenamed("size_id", "k"), "k")
+    mixed = (
+        rooted.groupBy("meeting", "root")
+        .agg(F.count("*").alias("c"))
+        .groupBy("meeting")
+        .agg(F.sum("c").alias("total"), F.count("*").alias("roots"), F.sum(F.col("c") * F.col("c")).alias("same"))
+        .where("total > 2 and roots > 1")
+        .select("meeting", F.expr(f"(total * total - same) / 2 <= {PAIRS_EACH} * total").alias("few"))
     )
-    members = everyone.join(roots, "root", "left_semi").checkpoint()
-    sets = (
-        texts.join(members.select("doc_id"), "doc_id", "left_semi")
-        .mapInArrow(partial(_sets, size=shingle), "set_id long, set array<long>")
-        .checkpoint()
+    opened = rooted.join(mixed, "meeting").checkpoint()
+    fits = f"root_x != root_y and 100 * least(n_x, n_y) >= {share} * greatest(n_x, n_y)"
+
+    def crossed(rows: DataFrame, key: str) -> DataFrame:
+        x, y = (rows.select(key, *(F.col(c).alias(f"{c}_{s}") for c in ("k", "n", "root"))) for s in "xy")
+        met_there = x.join(y, key).where("k_x < k_y").where(fits)
+        return met_there.select(F.col("k_x").alias("a"), F.col("k_y").alias("b")).distinct()
+
+    direct = crossed(opened.where("few"), "meeting")
+    many = opened.where("not few").select("k", "n", "root").distinct()
+    sets = _named(texts, opened.select("k"), shingle).checkpoint()
+    tokens = sets.join(many.select(F.col("k").alias("set_id")), "set_id", "left_semi").select(
+        "set_id", F.explode("set").alias("token")
     )
-    tokens = sets.select("set_id", F.explode("set").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ranked = (
         tokens.join(frequent, "token")
         .groupBy("set_id")
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     )
+    first = f"slice(ranked, 1, size(ranked) - cast(({share} * size(ranked) + 99) div 100 as int) + 1)"
     prefix = (
-        ranked.select(
-            "set_id",
-            F.explode(F.expr(f"slice(ranked, 1, size(ranked) - ({share} * size(ranked) + 99) div 100 + 1)")).alias("t"),
-        )
+        ranked.select(F.col("set_id").alias("k"), F.explode(F.expr(first)).alias("t"))
         .where("t.df > 1")
-        .select("set_id", "t.token")
-        .join(members.withColumnRenamed("doc_id", "set_id"), "set_id")
-    )
-    wide = prefix.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    mixed = prefix.join(wide.where("lo != hi").select("token"), "token", "left_semi")
-    x, y = (mixed.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("set_id", "n", "root"))) for s in "xy")
-    pairs = (
-        x.join(y, "token")
-        .where("set_id_x < set_id_y and root_x != root_y")
-        .where(f"100 * least(n_x, n_y) >= {share} * greatest(n_x, n_y)")
-        .select(F.col("set_id_x").alias("a"), F.col("set_id_y").alias("b"))
-        .distinct()
+        .select("k", "t.token")
+        .join(many, "k")
     )
+    wide = prefix.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
+    rare = crossed(prefix.join(wide.select("token"), "token", "left_semi"), "token")
+    tested = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = direct.union(rare).distinct().join(tested, ["a", "b"], "left_anti")
     return _confirmed(pairs, sets, share)

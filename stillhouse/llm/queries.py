@@ -16,6 +16,7 @@ from stillhouse.llm.near import near_groups
 from stillhouse.llm.packing import pack
 from stillhouse.llm.quality import risk_controlled_rules
 from stillhouse.llm.suffix import remove_repeats
+from stillhouse.llm.toxicity import score
 from stillhouse.llm.warc import archive_folder, read_archives, write_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,15 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    scored = score(docs, docs, labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), full=False).drop("kept")
