@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 
 
-def keyed_text(frame: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
-    """``doc_id, text`` and the columns in ``more``; all others are left behind, NULL texts are empty."""
+def keyed_text(frame: DataFrame, id_col: str, text_col: str, more: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, text, more``: NULL texts are empty; the columns in ``more`` are one struct.
+
+    Columns not named are left behind, so none clashes with those that an operator makes.
+    """
+    carried = F.struct(*more) if more else F.lit(None).cast("string")
     return frame.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        *more,
+        carried.alias("more"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,7 @@ def remove_repeated_chunks(
     text_col: str = "text",
     mean_lines: int = MEAN_LINES,
     min_lines: int = MIN_LINES,
+    more: Sequence[str] = (),
 ) -> DataFrame:
     """Texts without chunks of lines that stand earlier: ``doc_id, kept_text, n_lines, n_chunks, n_removed_chunks, n_removed_lines``.
 
@@ -58,11 +61,13 @@ def remove_repeated_chunks(
     by ``(id, place in the text)`` stays, in whichever document it is. Candidates are found by
     hash; a chunk goes only where its bytes equal those of an earlier one.
 
+    The columns in ``more`` are returned with each row.
+
     NULL text counts as empty: one empty line, never removed. Rows that share an id are one
     document with alternatives: a chunk goes in all of them or in none, and the place counts
     within each row. NULL ids come before all others. Other columns are ignored; an empty table gives no rows.
     """
-    texts = keyed_text(docs, id_col, text_col)
+    texts = keyed_text(docs, id_col, text_col, more)
     piece = F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.n_lines")), "\n")
     keyed = (
         _chunked(texts, mean_lines)
@@ -105,6 +110,7 @@ def remove_repeated_chunks(
     )
     return parts.select(
         "doc_id",
+        *([F.col(f"more.{c}").alias(c) for c in more]),
         F.array_join("kept", "\n").alias("kept_text"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size("chunks").cast("long").alias("n_chunks"),
@@ -139,4 +145,4 @@ def _per_document(places: DataFrame) -> DataFrame:
 def _with_marked(texts: DataFrame, marked: DataFrame) -> DataFrame:
     """Texts with their marked chunks; both uses shuffle the same columns, so Spark does it once."""
     same = F.col("doc_id").eqNullSafe(F.col("marked_id"))
-    return texts.join(marked, same, "left").select("doc_id", "text", "marked")
+    return texts.join(marked, same, "left").select("doc_id", "text", "more", "marked")

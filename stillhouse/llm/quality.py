@@ -36,8 +36,8 @@ def features(
     least twice, the first included) and ``base_failed``. NULL and empty texts have no words.
     Windows are compared by a 64-bit hash of their words' 64-bit hashes.
     """
-    texts = keyed_text(docs, id_col, text_col, *more)
-    kept = ["doc_id", *more]
+    texts = keyed_text(docs, id_col, text_col, more)
+    kept = ["doc_id", "more"]
     bare = F.regexp_replace("text", SPACES, "")
     with_word = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     words = F.expr(r"transform(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w != ''), w -> xxhash64(w))")
@@ -80,6 +80,7 @@ def features(
         .select(*kept, *rest, at.alias("at"))
         .select(*kept, *rest, covered.alias("n_repeat_words"))
         .withColumn("base_failed", F.expr("n_words < 20 or 100 * n_repeat_words > 30 * n_words"))
+        .select("doc_id", *[F.col(f"more.{c}").alias(c) for c in more], *rest, "n_repeat_words", "base_failed")
     )
 
 

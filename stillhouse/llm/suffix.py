@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from functools import partial
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -129,19 +128,26 @@ def _unpress(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at) for kind, size, at in parts]
 
 
-def _dealt(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of a batch, compressed per shard."""
     for batch in batches:
         known = pa.compute.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)
         ids = batch.column(0).fill_null(0).cast(pa.int64()).to_numpy()
         shard = batch.column(2).to_numpy()
+        more = np.array(batch.column(3).to_pylist(), object)
         out, blobs = [], []
         for first, data, offsets in slices(batch.column(1), 64 << 20):
             own = slice(first, first + offsets.size - 1)
             for s in np.unique(shard[own]).tolist():
                 rows = np.flatnonzero(shard[own] == s)
                 out.append(s)
-                blobs.append(_press(ids[own][rows], known[own][rows], np.diff(offsets)[rows], spread(data, offsets, rows)))
+                carried = [x.encode() for x in more[own][rows]]
+                blobs.append(
+                    _press(
+                        ids[own][rows], known[own][rows], np.diff(offsets)[rows], spread(data, offsets, rows),
+                        np.fromiter(map(len, carried), np.int64, len(carried)), np.frombuffer(b"".join(carried), np.uint8),
+                    )
+                )
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "docs"])
 
 
@@ -149,12 +155,18 @@ class _Shard:
     """Documents of a shard in slices, and the runs of windows with one smallest gram hash."""
 
     def __init__(self, blobs: list[bytes]):
-        parts = [_unpress(b, "<i8", "?", "<i8", "u1") for b in sorted(blobs)]
-        self.ids, self.known, sizes, self.data = (np.concatenate(x) for x in zip(*parts))
+        parts = [_unpress(b, "<i8", "?", "<i8", "u1", "<i8", "u1") for b in sorted(blobs)]
+        self.ids, self.known, sizes, self.data, *self._more = (np.concatenate(x) for x in zip(*parts))
         self.offsets = np.concatenate([[0], np.cumsum(sizes)])
         #: A NULL id comes before all others.
         self.order_ids = np.where(self.known, self.ids, _FIRST)
 
+    def more(self) -> list[str]:
+        """What is carried along with each document."""
+        ends = np.cumsum(self._more[0]).tolist()
+        raw = self._more[1].tobytes()
+        return [raw[e - n : e].decode() for n, e in zip(self._more[0].tolist(), ends)]
+
     def slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         first, n = 0, self.ids.size
         while first < n:
@@ -385,9 +397,10 @@ def _minima(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 def _removed(key: tuple, docs: pd.DataFrame, told: pd.DataFrame, buckets: int, full: bool) -> pd.DataFrame:
     """What is left of the documents of a shard."""
-    columns: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
+    columns: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "more")}
     if not docs.empty:
         shard = _Shard(docs["docs"].tolist())
+        more = shard.more()
         found = _Strings(shard, told[told["bucket"] >= 0], buckets)
         results = [_unpress(b, "<i8", "<i8", "<i8") for b in told.loc[told["bucket"] < 0, "entries"]]
         local, count, values = (np.concatenate(x) if results else np.zeros(0, np.int64) for x in (zip(*results) if results else ((),) * 3))
@@ -413,8 +426,8 @@ def _removed(key: tuple, docs: pd.DataFrame, told: pd.DataFrame, buckets: int, f
             for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 left = data[a:b][~cover[a:b]].tobytes() if total[b] > total[a] else data[a:b].tobytes()
                 row_id = int(shard.ids[first + k]) if shard.known[first + k] else None
-                kept = left.decode("utf-8", "replace") if full else None
-                facts = (row_id, b - a, int(total[b] - total[a]), int(edges[b] - edges[a]), hashlib.sha256(left).hexdigest(), kept)
+                kept = left.decode("utf-8", "ignore") if full else None
+                facts = (row_id, b - a, int(total[b] - total[a]), int(edges[b] - edges[a]), hashlib.sha256(left).hexdigest(), kept, more[first + k])
                 for c, value in zip(columns, facts):
                     columns[c].append(value)
     out = pd.DataFrame(columns)
@@ -422,13 +435,14 @@ def _removed(key: tuple, docs: pd.DataFrame, told: pd.DataFrame, buckets: int, f
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", full: bool = True, more: Sequence[str] = ()
 ) -> DataFrame:
     """Texts without strings that an earlier document has: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept``.
 
     A byte goes if a string of 50 bytes around it, inside its document, also starts in a document
-    with a smaller id. Texts are UTF-8; ``kept`` (NULL unless ``full``) is what is left, with the
-    replacement character where a cut splits a character; the digest is that of the bytes.
+    with a smaller id. Texts are UTF-8; ``kept`` (NULL unless ``full``) is what is left, without
+    characters that a cut splits; the digest is that of the bytes. The columns in ``more`` are
+    returned with each row.
 
     1. Documents are dealt into shards of about ``SHARD_BYTES`` and stay compressed until used.
     2. Every window of 50 bytes is named by the smallest hash of its 20-byte grams, so equal
@@ -443,12 +457,16 @@ def remove_repeats(
     and a NULL id comes before all others; all rows are returned. NULL text is empty. Other
     columns are ignored; an empty table gives no rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("data"))
+    carried = F.to_json(F.struct(*more), {"ignoreNullFields": "false"}) if more else F.lit("")
+    own = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("binary").alias("data"),
+        carried.alias("more"),
+    )
     size = own.agg(F.sum(F.length("data"))).first()[0] or 0
     shards = buckets = 1 + size // SHARD_BYTES
-    dealt = own.withColumn("shard", F.pmod(F.xxhash64("doc_id", "data"), F.lit(shards))).mapInArrow(
-        partial(_dealt, shards=shards), "shard long, docs binary"
-    )
+    numbered = own.select("doc_id", "data", F.pmod(F.xxhash64("doc_id", "data"), F.lit(shards)).alias("shard"), "more")
+    dealt = numbered.mapInArrow(_dealt, "shard long, docs binary")
     entries = "bucket long, shard long, entries binary"
     back = "shard long, bucket long, entries binary"
     names = dealt.groupBy("shard").applyInPandas(lambda key, rows: _names(key, rows, buckets), entries)
@@ -459,7 +477,12 @@ def remove_repeats(
     )
     minima = strings.groupBy("bucket").applyInPandas(_minima, back)
     told = again.unionByName(minima)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    return by_shard.cogroup(told.groupBy("shard")).applyInPandas(
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, more string"
+    done = by_shard.cogroup(told.groupBy("shard")).applyInPandas(
         lambda key, mine, back: _removed(key, mine, back, buckets, full), schema
     )
+    if not more:
+        return done.drop("more")
+    kinds = docs.select(*more).schema
+    parsed = done.withColumn("more", F.from_json("more", kinds))
+    return parsed.select(*done.columns[:-1], *[F.col(f"more.{c}").alias(c) for c in more])
