@@ -1,13 +1,68 @@
-"""The corpus pipeline: rules, repeated lines, near copies, repeated passages, packing."""
+"""The corpus pipeline: rules, repeated lines, near copies, repeated passages, packing.
+
+Every stage takes the table that the one before it kept and returns the columns of documents;
+the last returns packed pieces. NULL texts count as empty, rows with NULL ids go through, and
+rows that share an id go or stay together. An empty table stays empty.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stillhouse.llm.lines import remove_repeated_chunks
+from stillhouse.llm.near import near_groups
+from stillhouse.llm.packing import pack
+from stillhouse.llm.quality import risk_controlled_rules
+from stillhouse.llm.suffix import remove_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Compared with a brute-force version in ``tests/llm``; SQL has no minhashes or cuts of this kind.
+#: Minhashes, suffix arrays and chosen cuts have no SQL; ``tests/llm`` has a brute-force version.
 ORACLE_SQL = None
 
-STAGES = []
+
+def _of_kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """Documents whose id has a row that is kept."""
+    kept = judged.where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def _with_text(docs: DataFrame, text: str) -> DataFrame:
+    """Columns of documents with another text."""
+    changed = docs.select("doc_id", F.col(text).alias("text"), "lang", "source")
+    return changed.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _of_kept(docs, risk_controlled_rules(docs, labels))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with_text(remove_repeated_chunks(docs, more=["lang", "source"]), "kept_text")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _of_kept(docs, near_groups(docs))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _with_text(remove_repeats(docs, more=["lang", "source"]), "kept")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
