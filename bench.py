@@ -53,6 +53,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("stillhouse-bench")
         .config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.sql.files.minPartitionNum", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")

@@ -15,8 +15,6 @@ class TeacherConfig:
     original: str = "original"
     original_model: str = "Original answers"
     base: str = fixed.BASE
-    temperature: float = 0.3
-    max_tokens: int = 1024
 
     def model_names(self) -> dict[str, str]:
         return {**self.models, self.original: self.original_model}
@@ -43,19 +41,20 @@ class TeacherConfig:
 @dataclass(frozen=True)
 class TrainingConfig:
     student_model: str = fixed.STUDENT_MODEL
-    batch_size: int = 4
-    gradient_accumulation_steps: int = 4
-    learning_rate: float = 1e-5
-    num_epochs: int = 2
-    max_seq_length: int = 512
-    lora_r: int = 64
-    lora_alpha: int = 128
-    lora_dropout: float = 0.08
+    batch_size: int = fixed.BATCH_SIZE
+    gradient_accumulation_steps: int = fixed.ACCUMULATION_STEPS
+    learning_rate: float = fixed.LEARNING_RATE
+    num_epochs: int = fixed.EPOCHS
+    max_seq_length: int = fixed.MAX_SEQ_LENGTH
+    lora_r: int = fixed.LORA_R
+    lora_alpha: int = fixed.LORA_ALPHA
+    lora_dropout: float = fixed.LORA_DROPOUT
 
 
 @dataclass(frozen=True)
 class EvalConfig:
-    test_size: int = fixed.TEST_ROWS
+    #: rows of the test set that are graded, by index; None is the whole set
+    test_size: int | None = None
     sample_rows: int = fixed.SAMPLE_ROWS
     sample_chars: int = fixed.SAMPLE_CHARS
 

@@ -46,4 +46,16 @@ TEACHER_MODELS = {
     "gemini": "gemini-2.0-flash",
 }
 STUDENT_MODEL = "Qwen/Qwen2.5-1.5B-Instruct"
+TRAINABLE_PARAMS = 73_859_072
+TOTAL_PARAMS = 962_475_520
+
+# --- training ------------------------------------------------------------
+BATCH_SIZE = 4
+ACCUMULATION_STEPS = 4
+LEARNING_RATE = 1e-5
+EPOCHS = 2
+MAX_SEQ_LENGTH = 512
+LORA_R = 64
+LORA_ALPHA = 128
+LORA_DROPOUT = 0.08
 END_OF_TURN = "<|im_end|>"

@@ -15,7 +15,7 @@ from stillhouse.config import BreakerConfig, RetryConfig, TeacherConfig
 from stillhouse.functions import metrics as M
 from stillhouse.functions.retry import backoff_seconds, is_final, is_rate_limit
 from stillhouse.functions.text import error_text, is_error
-from stillhouse.operators.ordered import running
+from stillhouse.operators.ordered import running, with_position
 
 
 def outcomes(attempts: DataFrame, retry: RetryConfig = RetryConfig()) -> DataFrame:
@@ -109,12 +109,21 @@ def generation_stats(
     config: TeacherConfig = TeacherConfig(),
     retry: RetryConfig = RetryConfig(),
 ) -> DataFrame:
-    """Per teacher: requests, errors, success rate, minutes and rows per minute, in one pass."""
+    """Per teacher: requests, errors, success rate, minutes and rows per minute, in one pass.
+
+    A log of several runs has a column ``run``; the time between runs doesn't count.
+    """
     settled = is_final(F.col("ok"), F.col("attempt"), retry)
-    seen = attempts.groupBy("teacher").agg(
-        F.count_if(settled).alias("processed"),
-        F.count_if(settled & ~F.col("ok")).alias("errors"),
-        ((F.max("at_s") - F.min("at_s")) / F.lit(60.0)).alias("minutes"),
+    run = F.col("run") if "run" in attempts.columns else F.lit(0)
+    seen = (
+        attempts.groupBy("teacher", run.alias("run"))
+        .agg(
+            F.count_if(settled).alias("processed"),
+            F.count_if(settled & ~F.col("ok")).alias("errors"),
+            ((F.max("at_s") - F.min("at_s")) / F.lit(60.0)).alias("minutes"),
+        )
+        .groupBy("teacher")
+        .agg(*[F.sum(c).alias(c) for c in ("processed", "errors", "minutes")])
     )
     good = F.col("processed") - F.col("errors")
     return totals.join(seen, "teacher").select(
@@ -140,22 +149,32 @@ def stats_total(stats: DataFrame) -> DataFrame:
     )
 
 
-def error_rate_blocks(outcome: DataFrame, config: BreakerConfig = BreakerConfig()) -> DataFrame:
-    """Error rate of each full block of rows; a last partial block is never judged.
+def positioned(outcome: DataFrame, *more: str) -> DataFrame:
+    """``teacher, idx, ok`` and each row's place ``pos`` in its teacher's order, whatever gaps ``idx`` has."""
+    return with_position(outcome.select("teacher", "idx", "ok", *more), ["teacher"], "idx")
 
-    Rows of a block lie together in the log, so partial aggregation leaves about one row per
-    block for the shuffle.
-    """
-    block = M.div(F.col("idx"), config.block_rows).alias("block")
+
+def _judged_blocks(outcome: DataFrame, config: BreakerConfig) -> DataFrame:
+    block = M.div(F.col("pos"), config.block_rows).alias("block")
     return (
-        outcome.groupBy("teacher", block)
-        .agg(F.count("*").alias("rows"), F.count_if(~F.col("ok")).alias("errors"))
+        positioned(outcome)
+        .groupBy("teacher", block)
+        .agg(
+            F.count("*").alias("rows"),
+            F.count_if(~F.col("ok")).alias("errors"),
+            F.max("idx").alias("last_idx"),
+        )
         .where(F.col("rows") == config.block_rows)
         .withColumn("error_rate", F.col("errors") / F.lit(float(config.block_rows)))
         .withColumn("trips", F.col("error_rate") > config.block_error_rate)
     )
 
 
+def error_rate_blocks(outcome: DataFrame, config: BreakerConfig = BreakerConfig()) -> DataFrame:
+    """Error rate of each full block of rows in their order; a last partial block is never judged."""
+    return _judged_blocks(outcome, config).drop("last_idx")
+
+
 def error_runs(outcome: DataFrame, config: BreakerConfig = BreakerConfig()) -> DataFrame:
     """Maximal runs of consecutive failures: first and last row, length, whether they trip.
 
@@ -195,7 +214,8 @@ def progress(
     first ``at_s`` of each teacher.
     """
     blocks = (
-        outcome.groupBy("teacher", M.div(F.col("idx"), every).alias("block"))
+        positioned(outcome, "at_s")
+        .groupBy("teacher", M.div(F.col("pos"), every).alias("block"))
         .agg(
             F.count("*").alias("rows"),
             F.count_if(~F.col("ok")).alias("block_errors"),
@@ -239,24 +259,18 @@ _RUN_BLOCK = 10_000
 def _consecutive_trips(outcome: DataFrame, config: BreakerConfig) -> DataFrame:
     """First row per teacher that completes ``max_consecutive`` failures in a row.
 
-    Only failures are shuffled, by block of positions. The last rows of a block also go to the
-    next one, so a run over the border is seen whole there and no second pass is needed.
+    Failures are grouped by block of positions. The last rows of a block also go to the next
+    one, so a run over the border is seen whole there and no second pass is needed.
     """
     reach = config.max_consecutive - 1
-    if reach == 0:
-        first = outcome.where(~F.col("ok")).groupBy("teacher").agg(F.min("idx").alias("trip_idx"))
-        return first.withColumn("keeps", F.lit(0))
-    idx = F.col("idx")
-    home = M.div(idx, _RUN_BLOCK)
-    later = M.div(idx + reach, _RUN_BLOCK)
-    failed = outcome.where(~F.col("ok")).select(
-        "teacher", "idx", F.explode(F.sequence(home, later)).alias("_block")
-    )
-    # Rows arrive in order, so ten failures in a row are ten positions in a row.
-    back = F.expr(f"lag(idx, {reach}) over (partition by teacher, _block order by idx)")
+    pos = F.col("pos")
+    failed = positioned(outcome).where(~F.col("ok"))
+    spread = F.explode(F.sequence(M.div(pos, _RUN_BLOCK), M.div(pos + reach, _RUN_BLOCK)))
+    back = f"lag(pos, {reach}) over (partition by teacher, _block order by pos)"
     return (
-        failed.withColumn("_back", back)
-        .where(F.col("_back") == idx - reach)
+        failed.select("teacher", "idx", "pos", spread.alias("_block"))
+        .withColumn("_back", F.expr(back) if reach else pos)
+        .where(F.col("_back") == pos - reach)
         .groupBy("teacher")
         .agg(F.min("idx").alias("trip_idx"))
         .withColumn("keeps", F.lit(0))
@@ -265,10 +279,10 @@ def _consecutive_trips(outcome: DataFrame, config: BreakerConfig) -> DataFrame:
 
 def _rate_trips(outcome: DataFrame, config: BreakerConfig) -> DataFrame:
     return (
-        error_rate_blocks(outcome, config)
+        _judged_blocks(outcome, config)
         .where("trips")
         .groupBy("teacher")
-        .agg(((F.min("block") + 1) * config.block_rows - 1).alias("trip_idx"))
+        .agg(F.min("last_idx").alias("trip_idx"))
         .withColumn("keeps", F.lit(1))
     )
 
@@ -276,9 +290,9 @@ def _rate_trips(outcome: DataFrame, config: BreakerConfig) -> DataFrame:
 def breaker_cuts(outcome: DataFrame, config: BreakerConfig = BreakerConfig()) -> DataFrame:
     """Where the breaker stops each teacher: one row per stopped teacher.
 
-    A run of failures drops the row that completes it (``keeps`` 0), a bad block keeps its last
-    row (``keeps`` 1); at the same row the run is judged first. ``cut_idx`` is the first row not
-    kept.
+    Runs and blocks go by the order of rows, so gaps in ``idx`` make no difference. A run of
+    failures drops the row that completes it (``keeps`` 0), a bad block keeps its last row
+    (``keeps`` 1); at the same row the run is judged first. Rows below ``cut_idx`` are kept.
     """
     trip = F.struct("trip_idx", "keeps")
     return (
@@ -370,3 +384,20 @@ def pending(work: DataFrame, attempts: DataFrame, retry_errors: bool = True) ->
     """Work that has no outcome yet; with ``retry_errors`` also what ended in an error."""
     done = attempts.where(F.col("ok")) if retry_errors else outcomes(attempts)
     return work.join(done.select("teacher", "idx"), ["teacher", "idx"], "left_anti")
+
+
+def pending_for(
+    problems: DataFrame, teachers: list[str], attempts: DataFrame, retry_errors: bool = True
+) -> DataFrame:
+    """The same for every problem and teacher: each problem's text is shuffled once at most.
+
+    The teachers that are done with a problem are a small set beside it, and only what is
+    missing is spread out.
+    """
+    done = attempts.where(F.col("ok")) if retry_errors else outcomes(attempts)
+    by_problem = done.groupBy("idx").agg(F.collect_set("teacher").alias("_done"))
+    missing = F.array_except(F.array(*map(F.lit, teachers)), F.coalesce("_done", F.array().cast("array<string>")))
+    return (
+        problems.join(by_problem, "idx", "left")
+        .select(*problems.columns, F.explode(missing).alias("teacher"))
+    )

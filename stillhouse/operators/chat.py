@@ -11,8 +11,8 @@ from stillhouse.functions.prompts import CHAT, CHATML, GENERATION, ChatMarkup, P
 from stillhouse.functions.text import is_error
 from stillhouse.operators.attempts import work_list
 
-#: Turns per piece when a conversation is longer than that.
-LONG_TURNS = 256
+#: Turns that are put together at once.
+PIECE_TURNS = 256
 
 
 def generation_prompts(
@@ -65,35 +65,26 @@ def training_text(
 
 
 def conversations_text(
-    turns: DataFrame, markup: ChatMarkup = CHATML, long_turns: int = LONG_TURNS
+    turns: DataFrame, markup: ChatMarkup = CHATML, piece_turns: int = PIECE_TURNS
 ) -> DataFrame:
     """``conv_id, turns, text``: a table of turns rendered as one text per conversation.
 
-    The first ``long_turns`` turns go straight to their conversation. Those after them, none in
-    a usual table, are first put together in pieces by ``(conv_id, piece)``, so one endless
-    conversation is sorted by many tasks and its last step only joins finished pieces.
+    Turns are put together in pieces by ``(conv_id, piece)`` first, so one endless conversation
+    is sorted by many tasks and its last step only joins finished pieces. Rows without a turn
+    come first, by role and text; NULL roles and texts are empty.
     """
-    turn = F.col("turn")
-    rendered = turns.select(
-        "conv_id", "turn", markup.turn(F.col("role"), F.col("text")).alias("text")
-    )
+    piece = F.coalesce(div(F.col("turn"), piece_turns), F.lit(-1)).alias("_piece")
+    text = markup.turn(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    rendered = turns.select("conv_id", piece, "turn", text.alias("text"))
 
-    def in_order(parts: str):
-        ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
-        return F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias(parts)
+    def in_order(key: str):
+        ordered = F.array_sort(F.collect_list(F.struct(key, "text")))
+        return F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("text")
 
-    heads = rendered.where(turn < long_turns).withColumn("turns", F.lit(1).cast("bigint"))
-    tails = (
-        rendered.where(turn >= long_turns)
-        .groupBy("conv_id", div(turn, long_turns).alias("_piece"))
-        .agg(F.min("turn").alias("_first"), F.count("*").alias("turns"), in_order("text"))
-        .select("conv_id", F.col("_first").alias("turn"), "text", "turns")
-    )
-    return (
-        heads.unionByName(tails)
-        .groupBy("conv_id")
-        .agg(F.sum("turns").alias("turns"), in_order("text"))
+    pieces = rendered.groupBy("conv_id", "_piece").agg(
+        F.count("*").alias("turns"), in_order("turn")
     )
+    return pieces.groupBy("conv_id").agg(F.sum("turns").alias("turns"), in_order("_piece"))
 
 
 def side_by_side(completions: DataFrame, teachers: list[str]) -> DataFrame:

@@ -123,15 +123,14 @@ def sample_rows(
     """First predictions per model, graded, with question and shortened response.
 
     The rows are chosen by their keys alone. Their highest ``idx`` then bounds both scans, so of
-    tables written in ``idx`` order only the first row groups have their texts read. The chosen
-    rows number ``rows`` times the models, which is why they may be broadcast.
+    tables written in ``idx`` order only the first row groups have their texts read.
     """
     keys = first_rows(predictions.select("teacher", "idx"), ["teacher"], "idx", rows)
     near = F.col("idx") <= keys.agg(F.max("idx")).scalar()
-    first = predictions.where(near).join(F.broadcast(keys), ["teacher", "idx"], "left_semi")
+    first = predictions.where(near).join(keys, ["teacher", "idx"], "left_semi")
     head = head_chars(F.col("response"), chars).alias("full_response")
     found = predicted_answers(first, keep=[head])
-    return _verdict(_truth_with_question(problems.where(near)).join(F.broadcast(found), "idx")).select(
+    return _verdict(_truth_with_question(problems.where(near)).join(found, "idx")).select(
         "teacher", "idx", "question", "ground_truth", "predicted", "full_response", "correct"
     )
 

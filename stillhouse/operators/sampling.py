@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillhouse import fixed
 
-#: Up to here a sample is one top-k; beyond it no single task may hold the sample.
-TOP_K_ROWS = 100_000
+#: Hex digits of a rank that name its bucket: 65,536 buckets.
 _BUCKET_DIGITS = 4
 
 
@@ -18,38 +17,37 @@ def first_n(df: DataFrame, n: int, order: str = "idx") -> DataFrame:
 
 
 def seeded_sample(
-    df: DataFrame,
-    n: int,
-    seed: int = fixed.SEED,
-    key: str = "idx",
-    top_k_rows: int = TOP_K_ROWS,
+    df: DataFrame, n: int, seed: int = fixed.SEED, key: str = "idx"
 ) -> DataFrame:
     """``n`` rows in a seeded pseudo-random choice: those with the smallest ``md5(seed:key)``.
 
-    ``key`` is unique. Small samples are a top-k. Larger ones count rows per hash bucket, keep
-    all buckets below the one where ``n`` is reached and take the rest from that bucket, so the
-    same rows come out without sorting the table or sending it through one task.
+    ``key`` is unique. Ranks are counted per hash bucket; the bucket where ``n`` is reached is the
+    only one that is sorted, keys alone, and gives the last rank of the sample. The rows are then
+    a filter on their own rank: no row is shuffled and no task holds the sample, whatever ``n``.
     """
-    ranked = df.withColumn("_rank", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))))
-    if n <= top_k_rows:
-        return ranked.orderBy("_rank", key).limit(n).drop("_rank")
+    def rank(column: Column) -> Column:
+        return F.md5(F.concat(F.lit(f"{seed}:"), column.cast("string")))
 
+    ranked = df.select(rank(F.col(key)).alias("_rank"), F.col(key).alias("_key"))
     bucketed = ranked.withColumn("_bucket", F.left("_rank", F.lit(_BUCKET_DIGITS)))
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (
         bucketed.groupBy("_bucket")
-        .count()
-        .withColumn("_upto", F.sum("count").over(upto))
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(upto))
         .where(F.col("_upto") >= n)
-        .orderBy("_bucket")
-        .select("_bucket", (F.lit(n) - F.col("_upto") + F.col("count")).alias("rest"))
-        .first()
+        .agg(F.min(F.struct("_bucket", (n - F.col("_upto") + F.col("_n")).alias("rest"))).alias("cut"))
     )
-    if cut is None:
-        return df
-    whole = bucketed.where(F.col("_bucket") < cut["_bucket"])
-    part = bucketed.where(F.col("_bucket") == cut["_bucket"]).orderBy("_rank", key)
-    return whole.unionByName(part.limit(cut["rest"])).drop("_rank", "_bucket")
+    in_order = Window.orderBy("_rank", "_key")
+    last = (
+        bucketed.where(F.col("_bucket") == cut.select("cut._bucket").scalar())
+        .withColumn("_no", F.row_number().over(in_order))
+        .where(F.col("_no") == cut.select("cut.rest").scalar())
+        .agg(F.max(F.struct("_rank", "_key")).alias("last"))
+    )
+    # Without a last rank the table has fewer rows than asked for, and all of them are taken.
+    own = F.struct(rank(F.col(key)).alias("_rank"), F.col(key).alias("_key"))
+    return df.where((F.lit(n) > 0) & F.coalesce(own <= last.scalar(), F.lit(True)))
 
 
 def one_random_row(df: DataFrame, seed: int = fixed.SEED, key: str = "idx") -> DataFrame:

@@ -1,4 +1,4 @@
-"""The three jobs end to end. Each stage is written before the next one reads it."""
+"""The jobs end to end. Each stage is written before the next one reads it."""
 
 from __future__ import annotations
 
@@ -9,16 +9,26 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stillhouse.config import BreakerConfig, EvalConfig, RetryConfig, TeacherConfig
+from stillhouse.config import BreakerConfig, EvalConfig, RetryConfig, TeacherConfig, TrainingConfig
 from stillhouse.functions.prompts import CHAT, CHATML, GENERATION, ChatMarkup, PromptTemplate
 from stillhouse.operators import attempts as L
 from stillhouse.operators import chat, grading, sampling
 from stillhouse.operators.completion import ATTEMPT_SCHEMA, ProviderFactory, complete
 from stillhouse.sources.completions import COMPLETION_SCHEMA, read_completions, write_completions
-from stillhouse.sources.results import EVALUATION_RESULT, ResultsDocument
+from stillhouse.sources.results import (
+    EVALUATION_RESULT,
+    TRAINING_RECORD,
+    ResultsDocument,
+    training_records,
+)
+from stillhouse.sources.shared import remove
 from stillhouse.sources.stats import stats_lines, write_stats
 
 
+#: Problems asked before the breaker looks at the log.
+ROUND_ROWS = 1_000
+
+
 def generate(
     spark: SparkSession,
     problems: DataFrame,
@@ -30,27 +40,43 @@ def generate(
     template: PromptTemplate = GENERATION,
     tasks: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
+    round_rows: int = ROUND_ROWS,
 ) -> DataFrame:
     """Ask the teachers, keep completions and statistics, return the breaker's report.
 
-    Calls are appended to ``root/attempts`` task by task. A run that is started again asks only
-    for what has no answer there yet.
+    Problems are asked in rounds of ``round_rows`` in the order of ``idx``. The calls of a round
+    are appended to ``root/attempts`` when it ends, so a failed job loses one round at most. The
+    breaker then looks at the calls of this job, and a teacher that it stops is asked no more. A
+    job that is started again asks only for what has no answer there yet.
     """
     root = root.rstrip("/")
     log_path, out_path = f"{root}/attempts", f"{root}/completions"
     teachers = list(config.teachers)
-
-    work = L.work_list(problems.select("idx", "question"), teachers)
-    log = _read_log(spark, log_path)
-    run = 0
-    if log is not None:
-        work = L.pending(work, log)
-        run = log.agg(F.max("run")).first()[0] + 1
-    prompts = work.select("teacher", "idx", template.render(F.col("question")).alias("prompt"))
-    called = complete(prompts, providers, teachers, retry, tasks, sleep)
-    called.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(log_path)
-
+    asked = problems.select("idx", "question")
     log = _read_log(spark, log_path)
+    first = run = 0 if log is None else log.agg(F.coalesce(F.max("run"), F.lit(-1))).first()[0] + 1
+    active, upto = teachers, None
+    while active:
+        rest = asked if upto is None else asked.where(F.col("idx") > upto)
+        work = L.work_list(rest, active) if log is None else L.pending_for(rest, active, log)
+        lowest = work.select("idx").distinct().orderBy("idx").limit(round_rows)
+        upto = lowest.agg(F.max("idx")).first()[0]
+        if upto is None:
+            break
+        prompts = work.where(F.col("idx") <= upto).select(
+            "teacher", "idx", template.render(F.col("question")).alias("prompt")
+        )
+        called = complete(prompts, providers, teachers, retry, tasks, sleep)
+        called.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(log_path)
+        run += 1
+        log = _read_log(spark, log_path)
+        stopped = L.breaker_cuts(L.outcomes(log.where(F.col("run") >= first), retry), breaker)
+        # One row per teacher at most.
+        tripped = {r["teacher"] for r in stopped.select("teacher").collect()}
+        active = [t for t in active if t not in tripped]
+
+    if log is None:
+        log = spark.createDataFrame([], f"{ATTEMPT_SCHEMA}, run int")
     outcome = L.settled(log, retry)
     kept = L.synthetic_answers(L.apply_breaker(outcome, breaker))
     answered = kept.join(problems.select("idx", "question", "answer"), "idx")
@@ -64,6 +90,11 @@ def generate(
         "success_rate", 100 * F.col("successful") / F.col("total")
     )
     write_stats(stats_lines(shown, out_path), f"{root}/stats")
+    # A teacher that keeps no row has none written, so what an earlier job kept has to go.
+    with_rows = {r["teacher"] for r in report.where("kept > 0").select("teacher").collect()}
+    for teacher in teachers:
+        if teacher not in with_rows:
+            remove(spark, f"{out_path}/teacher={teacher}")
     return report
 
 
@@ -87,7 +118,10 @@ def training_text(
     markup: ChatMarkup = CHATML,
     drop_errors: bool = True,
 ) -> None:
-    """Write the chat text of the chosen variants, one directory per variant; nothing shuffles."""
+    """Write the chat text of the chosen variants, one directory per variant; nothing shuffles.
+
+    Directories of other variants stay; a chosen one that has no rows any more is removed.
+    """
     labels = config.for_training(choice)
     taught = [t for t in labels if t != config.original]
     pairs = chat.training_pairs(
@@ -98,7 +132,15 @@ def training_text(
         drop_errors,
     )
     texts = chat.training_text(pairs, template, markup)
-    texts.write.mode("overwrite").partitionBy("teacher").parquet(out_path)
+    (
+        texts.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("teacher")
+        .parquet(out_path)
+    )
+    for label in labels:
+        if pairs.where(F.col("teacher") == label).isEmpty():
+            remove(spark, f"{out_path}/teacher={label}")
 
 
 def evaluate(
@@ -110,14 +152,16 @@ def evaluate(
     config: TeacherConfig = TeacherConfig(),
     evaluation: EvalConfig = EvalConfig(),
 ) -> DataFrame:
-    """Grade the chosen models in one job, replace their results, return the leaderboard.
+    """Grade the chosen models on the whole test set, or its first rows if the settings say so,
+    in one job, replace their results, return the leaderboard.
 
     The leaderboard covers every model in the results document, also those of earlier calls; it
     is empty as long as the base model has no result.
     """
-    asked = sampling.first_n(problems, evaluation.test_size)
+    asked = problems
     chosen = grading.select_models(predictions, config.for_evaluation(choice))
-    chosen = sampling.first_n(chosen, evaluation.test_size)
+    if evaluation.test_size is not None:
+        asked, chosen = (sampling.first_n(df, evaluation.test_size) for df in (asked, chosen))
     samples = grading.sample_rows(
         chosen, asked, evaluation.sample_rows, evaluation.sample_chars
     )
@@ -125,3 +169,18 @@ def evaluate(
     document.upsert(grading.evaluation_results(grading.grade(chosen, asked), samples))
     stored = document.read().select(F.lit("test").alias("split"), "teacher", "correct", "total", "accuracy")
     return grading.leaderboard(stored, config.base)
+
+
+def log_training(
+    spark: SparkSession,
+    runs: DataFrame,
+    log_root: str,
+    data_root: str,
+    model_root: str,
+    training: TrainingConfig = TrainingConfig(),
+    config: TeacherConfig = TeacherConfig(),
+) -> DataFrame:
+    """Keep one record per finished training run, replacing a variant's last one; returns all."""
+    document = ResultsDocument(spark, log_root, TRAINING_RECORD)
+    document.upsert(training_records(runs, data_root, model_root, training, config))
+    return document.read()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillhouse import fixed
-from stillhouse.config import EvalConfig, TeacherConfig, TrainingConfig
+from stillhouse.config import TeacherConfig, TrainingConfig
 from stillhouse.functions import answers as A
 from stillhouse.functions import metrics as M
 from stillhouse.functions import prompts as P
@@ -18,16 +18,15 @@ from stillhouse.operators import chat, grading, sampling
 from stillhouse.operators.completion import Provider, Request, complete
 from stillhouse.operators.profile import style_profile as profile_of
 from stillhouse.operators.upsert import concat, upsert
+from stillhouse.plans import jobs
 from stillhouse.sources import completions as store
 from stillhouse.sources import problems as sets
 from stillhouse.sources import stats as texts
 from stillhouse.sources import tables as t
 from stillhouse.sources.results import (
     EVALUATION_RESULT,
-    TRAINING_RECORD,
     ResultsDocument,
     flat_training_records,
-    training_records,
 )
 from stillhouse.sources.shared import new_path
 from stillhouse.streaming.live import keep_results, live_accuracy, live_errors
@@ -373,8 +372,7 @@ def backoff_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def pending_work(spark: SparkSession, sf: str) -> DataFrame:
-    work = L.work_list(_train(spark, sf).select("idx", "question"), ASKED)
-    return L.pending(work, t.attempts(spark, sf).hint(BOTH_LARGE))
+    return L.pending_for(_train(spark, sf).select("idx", "question"), ASKED, t.attempts(spark, sf))
 
 
 class _Drill:
@@ -427,7 +425,7 @@ def sample_one(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def first_n(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.first_n(_test(spark, sf), EvalConfig().test_size)
+    return sampling.first_n(_test(spark, sf), fixed.TEST_ROWS)
 
 
 # --- stores --------------------------------------------------------------------------------
@@ -487,13 +485,12 @@ def training_log(spark: SparkSession, sf: str) -> DataFrame:
         .join(accuracy, "teacher")
         .withColumn("started_at", dates.select("started_at").scalar())
         .withColumn("ended_at", dates.select("ended_at").scalar())
-        .withColumn("trainable_params", F.lit(73_859_072).cast("bigint"))
-        .withColumn("total_params", F.lit(962_475_520).cast("bigint"))
+        .withColumn("trainable_params", F.lit(fixed.TRAINABLE_PARAMS).cast("bigint"))
+        .withColumn("total_params", F.lit(fixed.TOTAL_PARAMS).cast("bigint"))
     )
-    document = ResultsDocument(spark, new_path(spark, "training"), TRAINING_RECORD)
-    document.upsert(training_records(runs, OUTPUT, "models"))
+    records = jobs.log_training(spark, runs, new_path(spark, "training"), OUTPUT, "models")
     started = F.date_format("started_at", "yyyy-MM-dd").alias("started_on")
-    flat = flat_training_records(document.read())
+    flat = flat_training_records(records)
     return flat.select(*[started if c == "started_at" else c for c in flat.columns])
 
 

@@ -25,26 +25,24 @@ def read_raw_problems(
 
 
 def index_rows(scan: DataFrame, name: str = "idx") -> DataFrame:
-    """Dense 0-based row numbers in the order of a file scan, without moving the rows.
+    """Dense 0-based row numbers in the order of files by path and of rows in each file.
 
-    Rows are numbered within their input partition and shifted by the counts of the partitions
-    before it. The shift table has one row per input partition. Use it straight on a scan, whose
-    partitions are the same each time it runs, and write the result before building on it.
+    Rows are numbered within their stretch of a file and shifted by the counts of the stretches
+    before it, in the order of path and start: Spark deals stretches to tasks by size, so the
+    number of a task says nothing. The shift table has one row per stretch. Use it straight on a
+    scan, and write the result before building on it.
     """
-    part = F.spark_partition_id().alias("_part")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_place")
+    # The id grows along a task, which reads a stretch from its beginning to its end.
+    own = scan.select(place, F.monotonically_increasing_id().alias("_row"), *scan.columns)
+    before = Window.orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
     shifts = (
-        scan.select(part)
-        .groupBy("_part")
-        .count()
-        .select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_shift"))
+        own.groupBy("_place")
+        .agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+        .select("_place", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     )
-    # monotonically_increasing_id counts rows in its lower 33 bits
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")
-    return (
-        scan.select(part, row, "*")
-        .join(shifts, "_part")
-        .select((F.col("_row") + F.col("_shift")).alias(name), *scan.columns)
+    return own.join(shifts, "_place").select(
+        (F.col("_row") - F.col("_first") + F.col("_shift")).alias(name), *scan.columns
     )
 
 

@@ -1,8 +1,7 @@
-"""Result documents: one JSON object keyed by teacher, replaced key by key."""
+"""Result documents: JSON records by teacher, replaced key by key."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +9,7 @@ from pyspark.sql import types as T
 from stillhouse.config import TeacherConfig, TrainingConfig
 from stillhouse.functions import metrics as M
 from stillhouse.operators.upsert import upsert
-
+from stillhouse.sources.shared import child_names, exists, remove
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -61,8 +60,8 @@ TRAINING_RECORD = _struct(
     output_path=_TEXT,
 )
 
-#: A document is one JSON text, so it holds summaries of models and never a row per problem.
-MAX_KEYS = 10_000
+#: Complete versions of a document that are kept.
+KEPT_VERSIONS = 5
 
 
 def read_document(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -75,58 +74,58 @@ def _rows(texts: DataFrame, schema: T.StructType) -> DataFrame:
     return texts.select(F.explode(as_map).alias("key", "record")).select("record.*")
 
 
-def document_text(rows: DataFrame, key: str = "teacher") -> DataFrame:
-    """All rows as one JSON object keyed by ``key``, keys in order."""
-    entry = F.struct(F.col(key).alias("key"), F.struct(*rows.columns).alias("value"))
-    # one row over the bound is enough to tell, so an endless table is not collected first
-    entries = rows.limit(MAX_KEYS + 1).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    text = F.to_json(F.map_from_entries("entries"), {"ignoreNullFields": "false"})
-    too_many = F.raise_error(F.lit(f"a results document holds at most {MAX_KEYS} keys"))
-    return entries.select(
-        F.when(F.size("entries") <= MAX_KEYS, text).otherwise(too_many).alias("value")
-    )
+class ConflictError(RuntimeError):
+    """Another writer changed the document in between."""
 
 
 class ResultsDocument:
-    """A results document with replacement by key.
+    """A results document with replacement by key: one JSON record per key, whatever their number.
 
-    Each change is written beside its predecessor as ``version=n`` and becomes current by being
-    there: a version is a single file, which appears whole or not at all. Two writers that start
-    from the same version collide on the next directory and the second one fails, instead of
-    silently losing what the first one wrote.
+    Each change is written beside its predecessor as ``version=n``. A version counts once Spark
+    has marked it complete, so what a failed or killed write leaves behind is never read, and the
+    next write takes a number above it. A writer that finds, once it is done, that another one
+    completed a version since it read the document takes its own back and fails, instead of
+    losing what the other wrote. The last ``KEPT_VERSIONS`` complete versions are kept.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType, key: str = "teacher"):
         self.spark, self.root, self.schema, self.key = spark, root.rstrip("/"), schema, key
 
+    def _versions(self) -> dict[int, bool]:
+        """Numbers present, each with whether it is complete; only names are listed."""
+        names = child_names(self.spark, self.root)
+        numbers = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+        return {n: exists(self.spark, f"{self._path(n)}/_SUCCESS") for n in numbers}
+
     def version(self) -> int:
         """Number of the current version, 0 before the first."""
-        try:
-            texts = self.spark.read.text(self.root, wholetext=True)
-        except AnalysisException as missing:
-            if missing.getCondition() == "PATH_NOT_FOUND":
-                return 0
-            raise
-        if "version" not in texts.columns:
-            return 0
-        return texts.agg(F.max("version")).first()[0] or 0
+        return max((n for n, complete in self._versions().items() if complete), default=0)
 
     def read(self) -> DataFrame:
-        version = self.version()
+        return self._read(self.version())
+
+    def _read(self, version: int) -> DataFrame:
         if version == 0:
             return self.spark.createDataFrame([], self.schema)
-        return read_document(self.spark, self._path(version), self.schema)
+        lines = self.spark.read.text(self._path(version))
+        record = F.from_json("value", self.schema, {"mode": "FAILFAST"})
+        return lines.select(record.alias("record")).select("record.*")
 
     def upsert(self, new: DataFrame, seq: str | None = None) -> None:
         """Add rows, replacing those of equal key."""
-        version = self.version()
-        old = (
-            self.spark.createDataFrame([], self.schema)
-            if version == 0
-            else read_document(self.spark, self._path(version), self.schema)
-        )
-        rows = upsert(old, new, self.key, seq)
-        document_text(rows, self.key).coalesce(1).write.text(self._path(version + 1))
+        base = self.version()
+        rows = upsert(self._read(base), new, self.key, seq)
+        own = max(self._versions(), default=0) + 1
+        text = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+        rows.select(text.alias("value")).write.text(self._path(own))
+        present = self._versions()
+        others = [n for n, complete in present.items() if complete and n not in (base, own)]
+        if any(n > base for n in others):
+            remove(self.spark, self._path(own))
+            raise ConflictError(f"{self.root} was changed by another writer")
+        old = sorted(n for n, complete in present.items() if complete)[:-KEPT_VERSIONS]
+        for n in [n for n, complete in present.items() if n in old or not complete and n < base]:
+            remove(self.spark, self._path(n))
 
     def _path(self, version: int) -> str:
         return f"{self.root}/version={version}"

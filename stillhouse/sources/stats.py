@@ -35,10 +35,14 @@ def stats_lines(stats: DataFrame, output_path: str) -> DataFrame:
 
 
 def write_stats(lines: DataFrame, path: str) -> None:
-    """One text per teacher. The lines of a teacher come from one row, so they stay in order."""
+    """One text per teacher; those of other teachers stay.
+
+    The lines of a teacher come from one row, so they stay in order.
+    """
     (
         lines.select("teacher", "value")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("teacher")
         .text(path)
     )

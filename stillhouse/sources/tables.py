@@ -37,20 +37,9 @@ CALLS = (
 OUTAGE = ("deepseek", 700, 730)
 
 
-#: Input splits up to which a table counts as small, a gigabyte at the usual split size.
-SMALL_SPLITS = 8
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Scan a table; a small one that comes in fewer pieces than there are cores is spread out.
-
-    A large table has many input splits and is left as it is. A single small file would
-    otherwise be one task, and every row made from it would pass through that task.
-    """
-    scan = spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    splits = scan.rdd.getNumPartitions()
-    return scan.repartition(cores) if splits < cores and splits <= SMALL_SPLITS else scan
+    """Scan of the columns in use; Spark's own settings decide how it is split."""
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _grouped(value: str) -> str:
@@ -104,10 +93,6 @@ def problems_of(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
     return test_problems(load(spark, sf_dir, "events"))
 
 
-def split_of(problem_set: DataFrame, split: str) -> DataFrame:
-    return problem_set.where(F.col("split") == split)
-
-
 def predictions_of(events: DataFrame) -> DataFrame:
     """Five models answering every test problem in five styles, each wrong at its own rate."""
     models = ", ".join(

@@ -62,6 +62,21 @@ def test_breaker_like_row_loop(spark, outcome, sequences, monkeypatch, run_block
     assert kept == {t: n for t, (n, *_) in want.items() if n}
 
 
+def test_gaps_in_idx_make_no_difference(spark, outcome, sequences):
+    sparse = outcome.withColumn("idx", F.col("idx") * 7 + F.when(F.col("idx") % 3 == 0, 5).otherwise(0))
+    totals = spark.createDataFrame([(t, 350) for t in sequences], "teacher string, total bigint")
+    got = {
+        r["teacher"]: (r["kept"], r["processed"], r["errors"], r["stop_reason"])
+        for r in L.breaker_report(sparse, totals).collect()
+    }
+    assert got == {t: _stop(good) for t, good in sequences.items()}
+    tripping = {r["teacher"] for r in L.error_runs(sparse).where("trips").collect()}
+    stopped = {t for t, (*_, reason) in got.items() if reason == "consecutive"}
+    assert stopped <= tripping
+    blocks = {tuple(r) for r in L.error_rate_blocks(outcome).collect()}
+    assert {tuple(r) for r in L.error_rate_blocks(sparse).collect()} == blocks
+
+
 def _counts(frame):
     return frame.groupBy("teacher").agg(F.count("*").alias("n")).collect()
 

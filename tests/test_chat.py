@@ -57,7 +57,7 @@ def test_long_conversation_in_pieces(spark):
     rows = [(1, i, "user" if i % 2 else "assistant", f"t{i}") for i in range(500)]
     rows += [(2, 0, "system", "s"), (2, 1, "user", "u")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    pieces = {r["conv_id"]: r for r in chat.conversations_text(turns.repartition(7), long_turns=8).collect()}
+    pieces = {r["conv_id"]: r for r in chat.conversations_text(turns.repartition(7), piece_turns=8).collect()}
     for conv in (1, 2):
         want = "".join(
             f"<|im_start|>{role}\n{text}<|im_end|>\n" for c, _, role, text in rows if c == conv
@@ -66,6 +66,17 @@ def test_long_conversation_in_pieces(spark):
         assert pieces[conv]["turns"] == sum(c == conv for c, *_ in rows)
 
 
+def test_turns_and_texts_that_are_null(spark):
+    rows = [(1, 2, "user", "b"), (1, None, "user", "a"), (1, 0, None, None), (2, None, "user", None)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["conv_id"]: (r["turns"], r["text"]) for r in chat.conversations_text(turns).collect()}
+    head, end = "<|im_start|>", "<|im_end|>\n"
+    assert got == {
+        1: (3, f"{head}user\na{end}{head}\n{end}{head}user\nb{end}"),
+        2: (1, f"{head}user\n{end}"),
+    }
+
+
 def test_training_pairs_choices(spark):
     problems = spark.createDataFrame(
         [(0, "q0", "a0"), (1, "q1", "a1")], "idx bigint, question string, answer string"

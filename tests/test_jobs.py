@@ -62,6 +62,70 @@ def test_generate_resume_and_train(spark, problems, tmp_path):
     assert counts == {"gpt": 119, "deepseek": 120, "gemini": 120, "original": 120}
 
 
+def _asked(spark, root):
+    log = spark.read.parquet(f"{root}/attempts")
+    rows = log.select("teacher", "idx").distinct().groupBy("teacher").count().collect()
+    return {r["teacher"]: r["count"] for r in rows}
+
+
+def test_stopped_teacher_is_asked_no_more(spark, problems, tmp_path):
+    root = str(tmp_path / "gen")
+    dead = {("gemini", i) for i in range(120)}
+    sparse = problems.where("idx % 2 = 0")
+    report = jobs.generate(
+        spark, sparse, _teachers(dead), root, tasks=4, sleep=lambda _s: None, round_rows=20
+    )
+    got = {r["teacher"]: (r["stop_reason"], r["kept"]) for r in report.collect()}
+    assert got == {"gpt": ("finished", 60), "deepseek": ("finished", 60), "gemini": ("consecutive", 9)}
+    assert _asked(spark, root) == {"gpt": 60, "deepseek": 60, "gemini": 20}
+
+
+def test_failed_job_keeps_earlier_rounds(spark, problems, tmp_path):
+    root = str(tmp_path / "gen")
+    marker = tmp_path / "fail"
+    marker.touch()
+
+    def breaking(name):
+        def open_provider():
+            def answer(request):
+                if request.idx >= 50 and marker.exists():
+                    raise SystemExit("killed")
+                return f"#### {2 * request.idx}"
+
+            return answer
+
+        return open_provider
+
+    teachers = {name: breaking(name) for name in ("gpt", "deepseek", "gemini")}
+    (tmp_path / "gen" / "attempts").mkdir(parents=True)  # an empty log is no log
+    with pytest.raises(Exception):
+        jobs.generate(spark, problems, teachers, root, tasks=4, round_rows=40)
+    assert _asked(spark, root) == dict.fromkeys(teachers, 40)
+    marker.unlink()
+    report = jobs.generate(spark, problems, teachers, root, tasks=4, round_rows=40)
+    assert {r["kept"] for r in report.collect()} == {120}
+    log = spark.read.parquet(f"{root}/attempts")
+    assert log.count() == 360
+    minutes = parse_stats(scan_stats(spark, f"{root}/stats")).agg({"minutes": "max"}).first()[0]
+    assert minutes < 1
+
+
+def test_one_variant_leaves_the_others(spark, problems, tmp_path):
+    root, out = str(tmp_path / "gen"), str(tmp_path / "text")
+    jobs.generate(spark, problems, _teachers(set()), root)
+    jobs.training_text(spark, problems, f"{root}/completions", out)
+    jobs.training_text(spark, problems, f"{root}/completions", out, choice="gpt")
+    assert spark.read.parquet(out).select("teacher").distinct().count() == 4
+
+
+def test_whole_test_set_is_graded(spark, tmp_path):
+    rows = [(i, "q", f"#### {i}") for i in range(3_000)]
+    problems = spark.createDataFrame(rows, "idx bigint, question string, answer string")
+    predictions = problems.selectExpr("'base' as teacher", "idx", "answer as response")
+    board = jobs.evaluate(spark, predictions, problems, str(tmp_path / "r"), "base")
+    assert [(r["correct"], r["total"]) for r in board.collect()] == [(3_000, 3_000)]
+
+
 def test_evaluate(spark, problems, tmp_path):
     rows = [
         (m, i, f"#### {2 * i + (i % wrong == 0)}")

@@ -58,5 +58,5 @@ def test_seeded_sample(spark, n):
     order = sorted(range(1000), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
     assert {r[0] for r in seeded_sample(frame, n).collect()} == set(order[:n])
     spread = frame.repartition(5)
-    assert {r[0] for r in seeded_sample(spread, n, top_k_rows=0).collect()} == set(order[:n])
-    assert seeded_sample(spread, n, top_k_rows=0).columns == ["idx"]
+    assert {r[0] for r in seeded_sample(spread, n).collect()} == set(order[:n])
+    assert seeded_sample(spread, n).columns == ["idx"]

@@ -49,7 +49,7 @@ def test_only_needed_columns_are_read(spark, sf_dir):
 
 
 def test_split_filter_leaves_one_scan(spark, sf_dir):
-    plan = _plan(tables.split_of(tables.problems(spark, sf_dir), "test"))
+    plan = _plan(tables.problems(spark, sf_dir).where("split = 'test'"))
     assert "events.parquet" in plan and "orders.parquet" not in plan
 
 

@@ -4,13 +4,17 @@ import json
 import os
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
 from stillhouse.operators.upsert import upsert
 from stillhouse.sources import completions as store
 from stillhouse.sources import problems as sets
-from stillhouse.sources.results import EVALUATION_RESULT, ResultsDocument, read_document
+from stillhouse.sources.results import (
+    EVALUATION_RESULT,
+    ConflictError,
+    ResultsDocument,
+    read_document,
+)
 from stillhouse.streaming.live import keep_results, live_accuracy
 from stillhouse.operators.grading import accuracy_by_teacher, grade
 
@@ -36,25 +40,43 @@ def test_document(spark, tmp_path):
     document.upsert(spark.createDataFrame([("b", 1), ("a", 1)], SMALL))
     document.upsert(spark.createDataFrame([("b", 2)], SMALL))
     assert document.version() == 2 and _rows(document.read()) == [("a", 1), ("b", 2)]
-    part = [f for f in os.listdir(f"{root}/version=2") if f.startswith("part")]
-    assert len(part) == 1
-    text = json.load(open(f"{root}/version=2/{part[0]}"))
-    assert text == {"a": {"teacher": "a", "n": 1}, "b": {"teacher": "b", "n": 2}}
+    parts = [f for f in os.listdir(f"{root}/version=2") if f.startswith("part")]
+    records = [json.loads(line) for f in parts for line in open(f"{root}/version=2/{f}")]
+    assert sorted(r["teacher"] for r in records) == ["a", "b"]
+    for n in range(6):
+        document.upsert(spark.createDataFrame([("b", n)], SMALL))
+    assert document.version() == 8 and not os.path.exists(f"{root}/version=3")
 
 
 def test_document_collision_fails(spark, tmp_path, monkeypatch):
     document = ResultsDocument(spark, str(tmp_path / "doc"), SMALL)
     document.upsert(spark.createDataFrame([("a", 1)], SMALL))
     monkeypatch.setattr(document, "version", lambda: 0)
-    with pytest.raises(AnalysisException):
+    with pytest.raises(ConflictError):
         document.upsert(spark.createDataFrame([("b", 1)], SMALL))
+    monkeypatch.undo()
+    assert _rows(document.read()) == [("a", 1)]
 
 
-def test_document_refuses_a_row_per_problem(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("stillhouse.sources.results.MAX_KEYS", 3)
+def test_document_after_a_failed_and_a_killed_write(spark, tmp_path):
+    root = tmp_path / "doc"
+    document = ResultsDocument(spark, str(root), SMALL)
+    document.upsert(spark.createDataFrame([("a", 1)], SMALL))
+    broken = spark.range(4).selectExpr("string(id) as teacher", "assert_true(id < 2) is null as x", "id as n")
+    with pytest.raises(Exception):
+        document.upsert(broken.selectExpr("teacher", "if(x, n, n + 1) as n"))
+    (root / "version=7" / "_temporary").mkdir(parents=True)
+    assert document.version() == 1 and _rows(document.read()) == [("a", 1)]
+    document.upsert(spark.createDataFrame([("b", 2)], SMALL))
+    assert document.version() == 8 and _rows(document.read()) == [("a", 1), ("b", 2)]
+
+
+def test_document_of_many_keys(spark, tmp_path):
     document = ResultsDocument(spark, str(tmp_path / "doc"), SMALL)
-    with pytest.raises(Exception, match="at most 3 keys"):
-        document.upsert(spark.createDataFrame([(str(i), i) for i in range(4)], SMALL))
+    document.upsert(spark.range(20_000).selectExpr("string(id) as teacher", "id as n"))
+    document.upsert(spark.createDataFrame([("7", -1)], SMALL))
+    assert document.read().count() == 20_000
+    assert document.read().where("teacher = '7'").first()["n"] == -1
 
 
 def test_scan_of_an_indented_document(spark, tmp_path):
@@ -100,18 +122,21 @@ def test_teacher_file_is_numbered(spark, tmp_path):
 
 
 def test_raw_problems_are_numbered_in_file_order(spark, tmp_path):
-    for part in range(4):
-        lines = [json.dumps({"question": f"q{part:02}{i:03}", "answer": "a"}) for i in range(50 * part)]
+    sizes = [2, 400, 3, 0, 150]
+    want = []
+    for part, size in enumerate(sizes):
+        questions = [f"q{part:02}{i:04}" for i in range(size)]
+        want += questions
+        lines = [json.dumps({"question": q, "answer": "a" * 50}) for q in questions]
         (tmp_path / f"part-{part}.json").write_text("".join(line + "\n" for line in lines))
-    rows = sets.read_raw_problems(spark, str(tmp_path), "train").collect()
-    assert sorted(r["idx"] for r in rows) == list(range(300))
-    by_file = {}
-    for r in rows:
-        by_file.setdefault(r["question"][:3], []).append((r["idx"], r["question"]))
-    for numbered in by_file.values():
-        numbered.sort()
-        assert [q for _, q in numbered] == sorted(q for _, q in numbered)
-        assert numbered[-1][0] - numbered[0][0] == len(numbered) - 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")  # the large file in several stretches
+    try:
+        rows = sets.read_raw_problems(spark, str(tmp_path), "train").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["question"] for r in sorted(rows, key=lambda r: r["idx"])] == want
+    assert sorted(r["idx"] for r in rows) == list(range(len(want)))
 
 
 def test_stream_over_many_files_equals_batch(spark, tmp_path):
