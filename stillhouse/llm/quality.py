@@ -138,10 +138,12 @@ def certified_cutoffs(
         "measure",
         "n",
         F.expr("count(1) over (partition by measure)").alias("strata"),
+        F.size(F.element_at(cutoffs, F.col("measure"))).alias("cuts"),
         F.posexplode(F.element_at(cutoffs, F.col("measure"))).alias("step", "cutoff"),
         "levels",
     )
-    above = "aggregate(filter(levels, l -> l.level > step), 0L, (a, l) -> a + l.{})"
+    # Cutoffs fall, so a value that reaches ``level`` of them reaches the last ones.
+    above = "aggregate(filter(levels, l -> l.level >= cuts - step), 0L, (a, l) -> a + l.{})"
     hits = steps.select(
         "stratum",
         "measure",
