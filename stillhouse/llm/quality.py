@@ -19,9 +19,11 @@ MEASURES: tuple[tuple[str, str, tuple[int, ...]], ...] = (
     ("word_length", "100 * word_chars div n_words", (5000, 4000, 3000, 2500, 2000, 1800, 1600, 1500, 1400, 1300, 1200)),
 )
 #: Share of a stratum's good documents that all measures together may reject.
-RISK = 0.01
+RISK = 0.02
 #: Chance that any cutoff of any stratum breaks its share.
 DELTA = 0.05
+#: Bad documents that a cutoff has to reject for each good one to be of use.
+BAD_PER_GOOD = 10
 #: Words in a window of the repetition measure.
 WINDOW = 8
 
@@ -115,7 +117,8 @@ def certified_cutoffs(
     good documents. ``risk`` and ``delta`` are divided evenly among measures, and ``delta`` also
     among strata (Bonferroni). Within a measure cutoffs are tested from the loosest on and the
     first failure ends the sequence, which needs no further correction. Of the certified ones
-    the loosest is taken that rejects as many bad documents as any.
+    that reject ``BAD_PER_GOOD`` bad documents for each good one, the loosest is taken that
+    rejects as many bad ones as any.
     """
     level = [
         f"struct({k} as measure, aggregate(array({', '.join(map(str, cuts))}), 0, (a, c) -> a + if({value} >= c, 1, 0)) as level)"
@@ -164,9 +167,15 @@ def certified_cutoffs(
         tested.groupBy("stratum", "measure")
         .agg(
             F.min(F.when(~F.col("passed"), F.col("step"))).alias("failed"),
-            F.collect_list(F.struct("step", "cutoff", "caught")).alias("steps"),
+            F.collect_list(F.struct("step", "cutoff", "caught", "x")).alias("steps"),
+        )
+        .withColumn(
+            "ok",
+            F.expr(
+                "filter(steps, s -> (failed is null or s.step < failed)"
+                f" and s.caught > 0 and s.caught >= {BAD_PER_GOOD} * s.x)"
+            ),
         )
-        .withColumn("ok", F.expr("filter(steps, s -> (failed is null or s.step < failed) and s.caught > 0)"))
         .withColumn("most", F.expr("array_max(transform(ok, s -> s.caught))"))
         .withColumn("best", F.expr("array_min(filter(ok, s -> s.caught = most))"))
         .where("best is not null")
