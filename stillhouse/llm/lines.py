@@ -88,7 +88,7 @@ def remove_repeated_chunks(
         .where("c is not null")
         .select("doc_id", "chunk", piece.alias("piece"))
     )
-    removed = _per_document(_repeated(suspects, "piece").where("struct(doc_id, chunk) != first"))
+    removed = _per_document(_repeated_bytes(suspects).where("struct(doc_id, chunk) != first"))
     parts = (
         _chunked(_with_marked(texts, removed), mean_lines)
         .withColumn("numbers", F.transform("chunks", lambda c: c["chunk"]))
@@ -120,18 +120,36 @@ def remove_repeated_chunks(
 
 
 def _repeated(places: DataFrame, key: str) -> DataFrame:
-    """Rows whose key stands at more than one place, with the ``first`` of these places.
+    """Rows whose key stands at more than one place, with the ``first`` of these places."""
+    keys = places.groupBy(key).agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.max(F.struct("doc_id", "chunk")).alias("last"))
+    return _told(places, keys.where("first != last"), key)
 
-    One row per key comes out of the pre-aggregated grouping; it is copied per salt, so the
-    places of a key that a third of all documents have are spread over that many tasks.
+
+def _repeated_bytes(suspects: DataFrame) -> DataFrame:
+    """The same for chunks, compared by their bytes.
+
+    The grouping is by the text itself. Its result goes back to the places by digest, so no text
+    is shuffled again; a digest that two different texts had would be left out.
     """
-    place = F.struct("doc_id", "chunk")
+    digest = F.unhex(F.sha2("piece", 256)).alias("digest")
+    texts = suspects.groupBy("piece").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.max(F.struct("doc_id", "chunk")).alias("last"))
     keys = (
-        places.groupBy(key)
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where("first != last")
-        .select(key, "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        texts.select(digest, "first", "last")
+        .groupBy("digest")
+        .agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last"))
+        .where("texts = 1 and first != last")
     )
+    return _told(suspects.select("doc_id", "chunk", digest), keys, "digest")
+
+
+def _told(places: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Places with the first place of their key, for the keys given.
+
+    The one row of a key is copied per salt, so the places of a key that a third of all
+    documents have are spread over that many tasks.
+    """
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    keys = keys.select(key, "first", copies)
     salted = places.withColumn("salt", F.pmod(F.hash("doc_id", "chunk"), F.lit(SALTS)))
     return salted.join(keys, [key, "salt"])
 
