@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillhouse.llm.pieces import PieceCache, spread
+from stillhouse.llm.pieces import TEXTS_AT_ONCE, PieceCache, spread
 
 _FOREVER = 1 << 40
 # White space of the vocabulary's patterns.
@@ -88,7 +88,7 @@ class WordBPE:
         self._bounds = np.cumsum([0, *map(len, names)])
         self._words = regex.compile(parts["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
-        self._pieces = PieceCache(self._encode_piece)
+        self._pieces = PieceCache(self._encode_pieces)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """Symbols at one edge of a token while it is merged: symbol, rank of birth and of death."""
@@ -155,26 +155,36 @@ class WordBPE:
                 at -= self._size[last]
                 token = self._shorter[last]
 
-    def _encode_piece(self, piece: str) -> list[int]:
-        return [k for w in self._words.findall(piece) for k in self.encode_word(w.encode())]
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; strings of special tokens are those tokens."""
-        if "<" not in text or not self._special.search(text):
-            return self._encode_plain(text)
-        parts = [
-            np.array([self.special[p]], np.uint32) if p in self.special else self._encode_plain(p)
-            for p in self._special.split(text)
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        words = self._words.findall
+        return [
+            np.array([k for w in words(p) for k in self.encode_word(w.encode())], "<u4").tobytes()
+            for p in pieces
         ]
-        return np.concatenate(parts)
 
-    def _encode_plain(self, text: str) -> np.ndarray:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text; strings of special tokens are those tokens."""
+        parts: list[list[str]] = []
+        owners: list[tuple[int, int | None]] = []
+        for k, text in enumerate(texts):
+            split = self._special.split(text) if "<" in text else [text]
+            for part in split:
+                token = self.special.get(part)
+                owners.append((k, token))
+                if token is None:
+                    parts.append(self._split(part))
+        plain = iter(self._pieces.ids(parts))
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for k, token in owners:
+            out[k].append(next(plain) if token is None else np.array([token], np.uint32))
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
         # Letters are lower-cased one by one, so a sigma does not depend on its place.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        pieces = [p for p in _SPACE.split(text) if p] if odd else text.split()
-        self._pieces.forget()
-        return self._pieces.gather(self._pieces.numbers(pieces))
+        return [p for p in _SPACE.split(text) if p] if odd else text.split()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Tokens joined by spaces: the stretches of one byte table that ``ids`` point at."""
@@ -189,11 +199,10 @@ def load(path: str) -> WordBPE:
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, full: bool) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
     for batch in batches:
-        for first in range(0, batch.num_rows, 500):
-            rows = batch.slice(first, 500)
+        for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            rows = batch.slice(first, TEXTS_AT_ONCE)
             counts, ids_sha, text_sha, ids, texts = [], [], [], [], []
-            for text in rows.column(1).to_pylist():
-                own = bpe.encode(text or "")
+            for own in bpe.encode([text or "" for text in rows.column(1).to_pylist()]):
                 data, decoded = own.astype("<u4").tobytes(), bpe.decode(own)
                 counts.append(own.size)
                 ids_sha.append(hashlib.sha256(data).hexdigest())

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stillhouse.llm.bpe import _byte_letters
-from stillhouse.llm.pieces import PieceCache
+from stillhouse.llm.pieces import TEXTS_AT_ONCE, PieceCache, cut_up
 
 #: Tokens of a sequence.
 WINDOW = 1024
@@ -57,26 +57,48 @@ class ByteBPE:
         ends = [k for token, k in ranks.items() if token[-1:] in (b".", b"!", b"?", b"\n")]
         self.ends_sentence = np.zeros(max(ranks.values()) + 2, bool)
         self.ends_sentence[ends] = True
-        self._first = PieceCache(lambda piece: self._piece("", piece))
-        self._later = PieceCache(lambda piece: self._piece("" if piece[:1] == "\n" else " ", piece))
-
-    def _piece(self, lead: str, piece: str) -> list[int] | None:
-        bare = piece[1:] if piece[:1] == "\n" and not lead else piece
-        if bare.split() != [bare]:
-            return None
-        return self._fast.encode_ordinary(lead + piece)
-
-    def encode(self, text: str) -> np.ndarray:
-        if any(s in text for s in self._special):
-            return np.array(self._whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        self._first.forget()
-        self._later.forget()
-        pieces = text.replace("\n", " \n").split(" ")
-        first = self._first.numbers(pieces[:1])
-        later = self._later.numbers(pieces[1:])
-        if first[0] < 0 or (later < 0).any():
-            return np.array(self._fast.encode_ordinary(text), np.uint32)
-        return np.concatenate([self._first.gather(first), self._later.gather(later)])
+        self._begins = np.zeros(max(ranks.values()) + 2, bool)
+        self._begins[[k for token, k in ranks.items() if token[:1] == b" "]] = True
+        self._pieces = PieceCache(self._encode_pieces)
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes | None]:
+        """Pieces that follow a space, all in one text; those that follow a line end, one by one."""
+        plain = [p for p in pieces if p[:1] != "\n"]
+        joined = " ".join(plain)
+        if joined.split() != plain:
+            plain = [p for p in plain if p.split() == [p]]
+            joined = " ".join(plain)
+        found: dict[str, bytes] = {}
+        if plain:
+            ids = np.array(self._fast.encode_ordinary(" " + joined), np.uint32)
+            # Only the first token of a piece begins with a space.
+            found = dict(zip(plain, cut_up(ids, np.flatnonzero(self._begins[ids]))))
+        for piece in pieces:
+            if piece[:1] == "\n" and piece[1:].split() == [piece[1:]]:
+                found[piece] = np.array(self._fast.encode_ordinary(piece), "<u4").tobytes()
+        return [found.get(p) for p in pieces]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of every text."""
+        heads, tails, plain = [], [], []
+        for k, text in enumerate(texts):
+            if not any(s in text for s in self._special):
+                head, *tail = text.replace("\n", " \n").split(" ")
+                heads.append(head)
+                tails.append(tail)
+                plain.append(k)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for k, head, ids in zip(plain, heads, self._pieces.ids(tails)):
+            if ids is not None and head.split() == [head]:
+                first = self._fast.encode_ordinary(head)
+                out[k] = np.concatenate([np.array(first, np.uint32), ids])
+            else:
+                out[k] = np.array(self._fast.encode_ordinary(texts[k]), np.uint32)
+        for k, ids in enumerate(out):
+            if ids is None:
+                whole = self._whole.encode(texts[k], add_special_tokens=False).ids
+                out[k] = np.array(whole, np.uint32)
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -90,12 +112,13 @@ def choose_cuts(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) ->
     ``places`` ascend by at most ``window``. A sequence is padded to ``window`` unless its length
     is a power of two. The least cost up to a place is ``window`` plus the least of (cost before
     a sequence plus its start) over starts within reach, less the place: a sliding minimum, kept
-    in a queue of growing values. Lengths that are powers of two are looked up besides.
+    in a queue of growing values. Exact halves and quarters of a
+    window need no padding and are looked up besides.
     """
     p = places.tolist()
     n = len(p)
     exact: dict[int, list[int]] = {}
-    length = 1
+    length = window >> 2
     while length < window:
         at = np.searchsorted(places, places - length)
         for j in np.flatnonzero((places >= length) & (places[np.minimum(at, n - 1)] == places - length)).tolist():
@@ -201,10 +224,13 @@ def _packed(
 
     for batch in batches:
         kind = batch.column(0).type
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            waiting.add(doc_id, np.concatenate([bpe.encode(text or ""), stop]))
-            if waiting.size >= block:
-                yield rows(False)
+        for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(first, TEXTS_AT_ONCE)
+            encoded = bpe.encode([text or "" for text in part.column(1).to_pylist()])
+            for doc_id, ids in zip(part.column(0).to_pylist(), encoded):
+                waiting.add(doc_id, np.concatenate([ids, stop]))
+                if waiting.size >= block:
+                    yield rows(False)
     if kind is not None:
         yield rows(True)
 

@@ -2,57 +2,55 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
 #: Pieces remembered by a worker before it starts anew, some 200 MB.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
+#: Texts whose new pieces are encoded together.
+TEXTS_AT_ONCE = 200
 
 
-class PieceCache(dict):
-    """Piece -> number; ``gather`` turns numbers into the ids of all their pieces in one step.
+class PieceCache:
+    """Ids of lists of pieces; most pieces were seen before and cost one look-up.
 
-    Most pieces of a text were seen before, so a text costs one look-up a piece. The memory is
-    emptied between texts once it is full, so it is bounded and the ids don't depend on it.
+    ``encode`` gets new pieces, each once, and returns the ids of every one as bytes of unsigned
+    32-bit numbers, or None for a piece that can't stand alone. The memory is emptied between
+    calls once it is full, so it is bounded and the ids don't depend on it.
     """
 
-    def __init__(self, encode: Callable[[str], Iterable[int] | None]):
-        super().__init__()
+    def __init__(self, encode: Callable[[list[str]], Sequence[bytes | None]]):
         self._encode = encode
-        self._clear()
-
-    def _clear(self) -> None:
-        self.clear()
-        self._ids: list[int] = []
-        self._ends: list[int] = [0]
-        self._arrays = (np.zeros(0, np.uint32), np.zeros(1, np.int64))
-
-    def __missing__(self, piece: str) -> int:
-        ids = self._encode(piece)
-        if ids is None:
-            number = -1
-        else:
-            self._ids.extend(ids)
-            self._ends.append(len(self._ids))
-            number = len(self._ends) - 2
-        self[piece] = number
-        return number
-
-    def numbers(self, pieces: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-
-    def gather(self, numbers: np.ndarray) -> np.ndarray:
-        ids, ends = self._arrays
-        if ends.size < len(self._ends):
-            new = np.array(self._ids[ids.size :], np.uint32), np.array(self._ends[ends.size :], np.int64)
-            ids, ends = self._arrays = np.concatenate([ids, new[0]]), np.concatenate([ends, new[1]])
-        return spread(ids, ends, numbers)
-
-    def forget(self) -> None:
-        """Make room; to be called between texts."""
-        if len(self) > REMEMBERED:
-            self._clear()
+        self._known: dict[str, bytes] = {}
+        self._odd: set[str] = set()
+
+    def ids(self, texts: list[list[str]]) -> list[np.ndarray | None]:
+        """Ids of each text's pieces; None for a text with a piece that can't stand alone."""
+        if len(self._known) + len(self._odd) > REMEMBERED:
+            self._known, self._odd = {}, set()
+        known, odd = self._known, self._odd
+        new = list(set().union(*texts).difference(known, odd))
+        for piece, data in zip(new, self._encode(new) if new else ()):
+            if data is None:
+                odd.add(piece)
+            else:
+                known[piece] = data
+        look = known.__getitem__
+        out: list[np.ndarray | None] = []
+        for pieces in texts:
+            try:
+                out.append(np.frombuffer(b"".join(map(look, pieces)), "<u4"))
+            except KeyError:
+                out.append(None)
+        return out
+
+
+def cut_up(ids: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """Ids as bytes, cut at the places ``starts``, the first of which is 0."""
+    data = ids.astype("<u4").tobytes()
+    ends = [*(4 * starts[1:]).tolist(), len(data)]
+    return [data[a:b] for a, b in zip((4 * starts).tolist(), ends)]
 
 
 def spread(flat: np.ndarray, bounds: np.ndarray, numbers: np.ndarray) -> np.ndarray:
