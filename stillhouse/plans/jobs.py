@@ -151,12 +151,14 @@ def evaluate(
     choice: str = "all",
     config: TeacherConfig = TeacherConfig(),
     evaluation: EvalConfig = EvalConfig(),
+    grade: Callable[[DataFrame, DataFrame], DataFrame] = grading.grade,
 ) -> DataFrame:
     """Grade the chosen models on the whole test set, or its first rows if the settings say so,
     in one job, replace their results, return the leaderboard.
 
     The leaderboard covers every model in the results document, also those of earlier calls; it
-    is empty as long as the base model has no result.
+    is empty as long as the base model has no result. ``grade`` is the rule for answers; with
+    ``grading.grade_short`` and a seeded sample for ``generate`` this is the short form of the jobs.
     """
     asked = problems
     chosen = grading.select_models(predictions, config.for_evaluation(choice))
@@ -166,7 +168,7 @@ def evaluate(
         chosen, asked, evaluation.sample_rows, evaluation.sample_chars
     )
     document = ResultsDocument(spark, results_root, EVALUATION_RESULT)
-    document.upsert(grading.evaluation_results(grading.grade(chosen, asked), samples))
+    document.upsert(grading.evaluation_results(grade(chosen, asked), samples))
     stored = document.read().select(F.lit("test").alias("split"), "teacher", "correct", "total", "accuracy")
     return grading.leaderboard(stored, config.base)
 

@@ -487,6 +487,7 @@ ORACLE: dict[str, str] = {
     + "select *, run_rows >= 10 as trips from runs",
     "circuit_breaker": _breaker() + _REPORT,
     "completion_breaker": _breaker() + _REPORT,
+    "generate_rounds": _breaker() + _REPORT,
     "circuit_breaker_rows": _breaker()
     + """
     select teacher, idx, case when ok then completion else concat('ERROR: ', error) end
@@ -514,6 +515,10 @@ ORACLE: dict[str, str] = {
     + "select * exclude (n) from (" + _SAMPLED.format(table="train", rows=1) + ")",
     "first_n": _with("test") + f"select * from test where idx < {fixed.TEST_ROWS}",
     "problem_store": _with("test") + "select * from test",
+    "raw_problem_scan": _with("train") + "select idx, 'train' as split, question, answer from train",
+    "teacher_file_scan": _with("completions") + """
+    select idx, question, answer, synthetic_answer, teacher from completions
+    where teacher = 'gpt'""",
     "completion_store": _with("completions")
     + "select * from completions where teacher in ('gpt', 'gemini')",
     "results_document": _accuracy()

@@ -39,6 +39,8 @@ MODELS = TEACHERS.for_evaluation("all")
 VARIANTS = TEACHERS.for_training("all")
 OUTPUT = "completions"
 SMALL_ROWS = 100
+ROUND_ROWS = 50_000
+FILES = 5
 
 QUERIES: dict[str, Query] = {}
 
@@ -410,6 +412,18 @@ def complete_with_retries(spark: SparkSession, sf: str) -> DataFrame:
     return log.drop("at_s")
 
 
+@query
+def generate_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The breaker's report of a whole generation job that asks in rounds."""
+    stubs = {
+        name: _Drill(factor, modulus, residues, t.OUTAGE[1:] if name == t.OUTAGE[0] else None)
+        for name, factor, modulus, residues, _ in t.CALLS
+    }
+    root = new_path(spark, "generate")
+    quiet = lambda _seconds: None
+    return jobs.generate(spark, _train(spark, sf), stubs, root, sleep=quiet, round_rows=ROUND_ROWS)
+
+
 # --- sampling ------------------------------------------------------------------------------
 
 
@@ -447,6 +461,29 @@ def completion_store(spark: SparkSession, sf: str) -> DataFrame:
     return store.read_completions(spark, path, ["gpt", "gemini"])
 
 
+@query
+def raw_problem_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Training problems written in order as plain rows in uneven files, and numbered again."""
+    path = new_path(spark, "raw-problems")
+    _in_files(_train(spark, sf)).select("question", "answer").write.json(path)
+    return sets.read_raw_problems(spark, path, "train")
+
+
+@query
+def teacher_file_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """One teacher's completions written in order as plain rows, and numbered again."""
+    path = new_path(spark, "teacher-file")
+    own = t.completions(spark, sf).where("teacher = 'gpt'")
+    _in_files(own).select("question", "answer", "synthetic_answer", "teacher").write.parquet(path)
+    return store.read_teacher_file(spark, path)
+
+
+def _in_files(rows: DataFrame) -> DataFrame:
+    """Rows in the order of ``idx`` in files that get larger from one to the next."""
+    part = F.floor(F.log2(1 + F.col("idx"))).alias("part")
+    return rows.repartitionByRange(FILES, part, "idx").sortWithinPartitions("idx")
+
+
 @query
 def results_document(spark: SparkSession, sf: str) -> DataFrame:
     """Nested results stored in two steps, base first, and read back with their samples."""
