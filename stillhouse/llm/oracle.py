@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from stillhouse.llm import quality
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op3_suffix_array_dedup"] = """
@@ -121,3 +123,79 @@ select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_siz
     doc_id = max(doc_id) over same as kept, sha256(low) as text_sha256
 from low window same as (partition by low)
 """
+
+
+def _measures() -> str:
+    return ", ".join(
+        f"({k}, '{name}', {list(cuts)})" for k, (name, _, cuts) in enumerate(quality.MEASURES)
+    )
+
+
+def _values() -> str:
+    return "[" + ", ".join(value.replace(" div ", " // ") for _, value, _ in quality.MEASURES) + "]"
+
+
+_SHARE = quality.RISK / len(quality.MEASURES)
+
+ORACLE["op9_quality_rules"] = rf"""
+with texts as (
+    select doc_id, lang, coalesce(text, '') as text,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w != '') as w,
+        list_filter(string_split(coalesce(text, ''), chr(10)),
+            lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
+    from documents
+), windows as (
+    select doc_id, i, array_to_string(w[i:i + 7], ' ') as win
+    from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from texts)
+), often as (
+    select doc_id, i from (select *, count(*) over (partition by doc_id, win) as n from windows) where n > 1
+), covered as (
+    select doc_id, sum(least(8, coalesce(i - before, 8)))::bigint as n_repeat_words
+    from (select *, lag(i) over (partition by doc_id order by i) as before from often) group by doc_id
+), counts as (
+    select t.doc_id, lang as stratum, len(w)::bigint as n_words,
+        coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+        (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+        len(lines)::bigint as n_lines,
+        (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+        coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+    from texts t left join covered c on c.doc_id = t.doc_id
+), based as (
+    select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from counts
+), measured as (
+    select *, case when base_failed then null else {_values()} end as v from based
+), marks as (
+    select doc_id, min(quality) > 0 as good from labels group by doc_id
+), measures(m, name, cuts) as (values {_measures()}
+), steps as (
+    select m, unnest(cuts) as cutoff, unnest(range(0, len(cuts))) as step from measures
+), labelled as (
+    select stratum, good, v from measured join marks using (doc_id) where not base_failed
+), strata as (
+    select count(distinct coalesce(stratum, chr(0))) as strata from labelled
+), hits as (
+    select stratum, m, step, cutoff, count(*) filter (good) as n,
+        count(*) filter (good and v[m + 1] >= cutoff) as x,
+        count(*) filter (not good and v[m + 1] >= cutoff) as caught
+    from labelled, steps group by all
+), tested as (
+    select *, x <= n * {_SHARE} and (
+        select sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln({_SHARE}) + (n - k) * ln({1 - _SHARE})))
+        from (select unnest(range(0, x + 1)) as k)
+    ) <= {quality.DELTA / len(quality.MEASURES)} / strata as passed
+    from hits, strata
+), certified as (
+    select * from tested t where passed and caught > 0 and caught >= {quality.BAD_PER_GOOD} * x and not exists (
+        select 1 from tested f where f.stratum is not distinct from t.stratum and f.m = t.m
+            and f.step <= t.step and not f.passed)
+), chosen as (
+    select stratum, m, arg_min(cutoff, struct_pack(lost := -caught, step := step)) as cutoff
+    from certified group by stratum, m
+), rejected as (
+    select distinct doc_id from measured d join chosen c
+        on c.stratum is not distinct from d.stratum and d.v[c.m + 1] >= c.cutoff
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and doc_id not in (select doc_id from rejected) as kept
+from measured
+"""
