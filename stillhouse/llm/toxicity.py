@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from stillhouse.llm.textbytes import mix, prefix_hashes, slices, span_hashes
 
 #: Words of a window, and words from one window to the next.
-WINDOW, STEP = 32, 16
+WINDOW, STEP = 40, 30
+#: Windows that go through the network together; their states stay in the cache.
+BATCH = 512
 #: Units of each direction.
 HIDDEN = 8
 #: Labelled rows that the model is fitted to, at most, and their bytes: toxic ones and others.
@@ -311,8 +313,8 @@ def score_texts(model: dict[str, np.ndarray], column: pa.Array) -> np.ndarray:
         ready = {s: inputs @ model[f"w{s}"] + model[f"c{s}"] for s in "fb"}
         begin, size, of = windows_of(row, offsets.size - 1)
         by = np.argsort(size, kind="stable")
-        for a in range(0, by.size, 4096):
-            own = by[a : a + 4096]
+        for a in range(0, by.size, BATCH):
+            own = by[a : a + BATCH]
             at, mask = _laid_out(number, begin[own], size[own])
             logit = forward(model, {s: ready[s][at] for s in "fb"}, mask)
             np.maximum.at(out, first + of[own], _sigmoid(logit).astype(np.float64))
@@ -369,7 +371,7 @@ def score(
     """Score of every row of ``docs``: ``doc_id, score, predicted``.
 
     The model is fitted to ``labelled`` rows that have ``labels`` (``fit_on``) and sent with the
-    tasks; its size is fixed. A score is the largest of all windows of 32 words, 16 apart, that
+    tasks; its size is fixed. A score is the largest of all windows of 40 words, 30 apart, that
     cover the whole text; nothing but the text enters it. Texts without words, NULL included,
     score 0, as everything does where one kind of label is missing. Rows stay as they are, with
     NULL and repeated ids. Other columns are ignored; an empty table gives no rows. No shuffle.

@@ -103,10 +103,10 @@ def test_gradients():
 
 
 def test_windows_cover_every_word():
-    rows = np.repeat([0, 2, 3, 4], [5, 32, 33, 100])
+    rows = np.repeat([0, 2, 3, 4], [5, 40, 41, 100])
     first, size, row = toxicity.windows_of(rows, 5)
     seen = Counter(int(k) for a, n in zip(first, size) for k in range(a, a + n))
-    assert set(seen) == set(range(170)) and set(row.tolist()) == {0, 2, 3, 4}
+    assert set(seen) == set(range(186)) and set(row.tolist()) == {0, 2, 3, 4}
     assert size.max() <= toxicity.WINDOW
 
 
