@@ -19,7 +19,7 @@ def _docs(spark, n=70):
             text += "\n" + passage
         if i % 7 == 0 and rows:
             text = rows[-1][1] + " more"
-        rows.append((i, text if i != 13 else None, "en", "s", len(text)))
+        rows.append((i, text if i != 12 else None, "en", "s", len(text)))
     return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
 
 
