@@ -151,11 +151,8 @@ def test_near_awkward(spark):
     assert near_groups(table(spark).limit(0)).count() == 0
 
 
-def test_near_where_a_template_hides_the_links(spark, monkeypatch):
+def test_near_where_a_template_hides_the_links(spark):
     """Documents that meet everywhere by a template, similar in pairs only: none is lost."""
-    from stillhouse.llm import near
-
-    monkeypatch.setattr(near, "PAIRS_EACH", 0)  # always the join on rare shingles
     rng = random.Random(2)
     template = [f"t{k}" for k in range(60)]
     rows = []

@@ -226,7 +226,7 @@ PAGES = [
     ("<ul><li>a<li>b<ol><li>x<li>y</ol><li>c</ul>tail", "- a\n- b\n  1. x\n  2. y\n- c\n\ntail"),
     ("<table><tr><th>Name<th>Qty<tr><td>apple pie<td>3<tr><td colspan=2>all of it</table>after", "Name       Qty\napple pie  3\nall of it\n\nafter"),
     ("<table><tr><td rowspan=2>r<td>1<tr><td>2</table>", "r  1\n   2"),
-    ('vis<span style="display: none">hid</span><p hidden>no</p>ible', "vis\n\nible"),
+    ('vis<span style="display: none">hid</span><p hidden>no</p>ible', "visible"),
     ("<details><summary>S</summary>body</details><details open>shown</details>", "S\nshown"),
     ("<pre> a\n  b </pre>", " a\n  b"),
     ('<script>var a="</p>";</script>x<!-- c --> y <a href="un>z', "x y"),
