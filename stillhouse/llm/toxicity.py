@@ -95,22 +95,24 @@ def inputs_of(tables: dict[str, np.ndarray], word: np.ndarray, bucket: np.ndarra
     return np.stack([most, mean, least, own, np.minimum(size, 40) / 20 - 1, np.ones_like(most)], 1).astype(np.float32)
 
 
-def counted(rows: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+class Counts:
     """Texts that have each bucket, others and toxic ones apart, and texts in all."""
-    counts, total = np.zeros((2, BUCKETS)), np.zeros(2)
-    for buckets, toxic in rows:
-        counts[toxic, np.unique(buckets)] += 1
-        total[toxic] += 1
-    return counts, total
 
+    def __init__(self) -> None:
+        self.texts, self.total = np.zeros((2, BUCKETS), np.int32), np.zeros(2)
 
-def log_odds(counts: np.ndarray, total: np.ndarray, without: int | None = None) -> np.ndarray:
+    def add(self, buckets: np.ndarray, toxic: int) -> None:
+        self.texts[toxic, np.unique(buckets)] += 1
+        self.total[toxic] += 1
+
+
+def log_odds(counted: Counts, without: int | None = None) -> np.ndarray:
     """Weight of each bucket: log ratio of the shares of toxic and other texts that have it.
 
     ``without`` leaves one text of that kind out: the weights that a text of the fitted sample
     would have if it weren't in it. Buckets of few texts say little.
     """
-    counts, total = counts.copy(), total.copy()
+    counts, total = counted.texts.astype(np.float64), counted.total.copy()
     if without is not None:
         counts[without] = np.maximum(counts[without] - 1, 0)
         total[without] -= 1
@@ -242,24 +244,26 @@ def fit(texts: list[str], labels: list[int]) -> dict[str, np.ndarray]:
     if not 0 < sum(labels) < len(labels):
         return {}
     column = pa.array(texts, pa.string())
-    rows, words, chars = [], [], []
-    for first, data, offsets in slices(column):
+    counts = {"words": Counts(), "chars": Counts()}
+    for first, data, offsets in slices(column, 1 << 20):
         low, start, end, row = words_of(data, offsets)
         number, word, bucket, bounds = grams_of(low, start, end)
         for k in range(offsets.size - 1):
             a, b = np.searchsorted(row, [k, k + 1])
             own = np.unique(number[a:b])
-            words.append((word[own], labels[first + k]))
+            counts["words"].add(word[own], labels[first + k])
             grams = np.concatenate([bucket[bounds[w] : bounds[w + 1]] for w in own.tolist()] or [bucket[:0]])
-            chars.append((grams, labels[first + k]))
-        rows.append((first, offsets.size - 1, row, number, word, bucket, bounds))
-    counts = {"words": counted(words), "chars": counted(chars)}
-    model = {k: log_odds(*c) for k, c in counts.items()}
+            counts["chars"].add(grams, labels[first + k])
+    model = {k: log_odds(c) for k, c in counts.items()}
     # A text is trained on as a new one would look: without its own share in the weights.
-    without = [{k: log_odds(*c, without=kind) for k, c in counts.items()} for kind in (0, 1)]
+    without = [{k: log_odds(c, without=kind) for k, c in counts.items()} for kind in (0, 1)]
     random = np.random.default_rng(5)
     parts, marks = [], []
-    for first, n, row, number, word, bucket, bounds in rows:
+    # Read again rather than kept: the inputs of all words are many times as large as the texts.
+    for first, data, offsets in slices(column, 1 << 20):
+        low, start, end, row = words_of(data, offsets)
+        number, word, bucket, bounds = grams_of(low, start, end)
+        n = offsets.size - 1
         both = [inputs_of(tables, word, bucket, bounds) for tables in without]
         begin, size, of = windows_of(row, n)
         totals = [np.concatenate([[0], np.cumsum(np.maximum(x[:, 0] + x[:, 3], 0)[number])]) for x in both]
