@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillhouse.llm.graph import components
@@ -22,8 +22,6 @@ ROWS = 3
 PARTS = 12
 #: Bytes of keys that one task sorts.
 BUCKET_BYTES = 24 << 20
-#: Pairs per document up to which the documents of a meeting are compared directly.
-PAIRS_EACH = 16
 
 _ENTRY = np.dtype([("key", "<u4"), ("doc", "<i8")])
 _SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, left binary, right binary"
@@ -168,8 +166,7 @@ def near_groups(
        ``parts ** 2`` tables.
     3. Documents that meet in a table are paired with the smallest one there, and confirmed.
     4. Where three or more meet and don't end up in one component, some were not compared with
-       each other. Those of different components now are: directly while that stays in proportion
-       to the meeting's size, and by an exact join on rare shingles where it doesn't.
+       each other. Those of different components now are, by an exact join on rare shingles.
 
     NULL, empty and blank texts have no set and are linked with nothing; with a NULL id,
     ``component_id`` is NULL and the row is kept. Rows that repeat an id are all returned, each
@@ -204,7 +201,7 @@ def near_groups(
     )
     salted = sketches.select("doc_id", *same)
     joined = salted.join(members, same, "left")
-    component = F.coalesce("root", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return joined.select(
         "doc_id",
         "n_shingles",
@@ -235,53 +232,56 @@ def _uncompared(
 ) -> DataFrame:
     """Confirmed links between documents that met in a table without being compared there.
 
-    Only meetings of three or more with more than one component are looked at, and only pairs
-    of different components. Where these are more than ``PAIRS_EACH`` for every document that
-    meets there, the documents are joined by rare shingles instead: in the order of their
-    frequency, the first ``n - ceil(share * n) + 1`` shingles of either of two similar sets have
-    one in common, so no link is lost and frequent shingles make no pairs.
+    Only documents of meetings of three or more with more than one component are looked at, and
+    only pairs of different components. They are joined exactly, by rare shingles: with all
+    shingles in the order of their frequency, two sets with enough in common have their first
+    common shingle so early in both that the rest of either is long enough. So frequent shingles
+    make no pairs, unless the sets differ in little else.
     """
     root = found.select(F.col("node").alias("k"), "root")
     both = met.select("meeting", F.explode(F.array("a", "b")).alias("k")).distinct()
     rooted = both.join(root, "k", "left").select("meeting", "k", F.coalesce("root", "k").alias("root"))
-    rooted = rooted.join(sizes.withColumnRenamed("size_id", "k"), "k")
     mixed = (
-        rooted.groupBy("meeting", "root")
-        .agg(F.count("*").alias("c"))
-        .groupBy("meeting")
-        .agg(F.sum("c").alias("total"), F.count("*").alias("roots"), F.sum(F.col("c") * F.col("c")).alias("same"))
-        .where("total > 2 and roots > 1")
-        .select("meeting", F.expr(f"(total * total - same) / 2 <= {PAIRS_EACH} * total").alias("few"))
+        rooted.groupBy("meeting")
+        .agg(F.count("*").alias("met"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        .where("met > 2 and lo != hi")
+        .select("meeting")
     )
-    opened = rooted.join(mixed, "meeting").checkpoint()
-    fits = f"root_x != root_y and 100 * least(n_x, n_y) >= {share} * greatest(n_x, n_y)"
-
-    def crossed(rows: DataFrame, key: str) -> DataFrame:
-        x, y = (rows.select(key, *(F.col(c).alias(f"{c}_{s}") for c in ("k", "n", "root"))) for s in "xy")
-        met_there = x.join(y, key).where("k_x < k_y").where(fits)
-        return met_there.select(F.col("k_x").alias("a"), F.col("k_y").alias("b")).distinct()
-
-    direct = crossed(opened.where("few"), "meeting")
-    many = opened.where("not few").select("k", "n", "root").distinct()
-    sets = _named(texts, opened.select("k"), shingle).checkpoint()
-    tokens = sets.join(many.select(F.col("k").alias("set_id")), "set_id", "left_semi").select(
-        "set_id", F.explode("set").alias("token")
+    members = (
+        rooted.join(mixed, "meeting", "left_semi")
+        .select("k", "root")
+        .distinct()
+        .join(sizes.withColumnRenamed("size_id", "k"), "k")
+        .checkpoint()
     )
-    frequent = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    sets = _named(texts, members.select("k"), shingle).checkpoint()
+    often = F.count("*").over(Window.partitionBy("token"))
     ranked = (
-        tokens.join(frequent, "token")
-        .groupBy("set_id")
+        sets.select(F.col("set_id").alias("k"), F.explode("set").alias("token"))
+        .withColumn("df", often)
+        .groupBy("k")
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     )
-    first = f"slice(ranked, 1, size(ranked) - cast(({share} * size(ranked) + 99) div 100 as int) + 1)"
+    early = f"slice(ranked, 1, size(ranked) - cast(({share} * size(ranked) + 99) div 100 as int) + 1)"
     prefix = (
-        ranked.select(F.col("set_id").alias("k"), F.explode(F.expr(first)).alias("t"))
+        ranked.select("k", F.posexplode(F.expr(early)).alias("pos", "t"))
         .where("t.df > 1")
-        .select("k", "t.token")
-        .join(many, "k")
+        .select("k", "pos", "t.token")
+        .join(members, "k")
+        .withColumn("left", F.col("n") - F.col("pos"))
+    )
+    x, y = (
+        prefix.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("k", "n", "root", "left")))
+        for s in "xy"
+    )
+    # Of a pair the smaller set is x. It needs its first common shingle earlier than a larger one.
+    x = x.where(f"left_x * {100 + share} >= {2 * share} * n_x")
+    pairs = (
+        x.join(y, "token")
+        .where("root_x != root_y and (n_x < n_y or n_x = n_y and k_x < k_y)")
+        .where(f"100 * n_x >= {share} * n_y")
+        .where(f"least(left_x, left_y) * {100 + share} >= {share} * (n_x + n_y)")
+        .select(F.col("k_x").alias("a"), F.col("k_y").alias("b"))
+        .distinct()
     )
-    wide = prefix.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    rare = crossed(prefix.join(wide.select("token"), "token", "left_semi"), "token")
-    tested = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = direct.union(rare).distinct().join(tested, ["a", "b"], "left_anti")
     return _confirmed(pairs, sets, share)
