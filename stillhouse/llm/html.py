@@ -33,14 +33,18 @@ MAX_DEPTH = 512
 #: Longest line of a table's cell.
 CELL_WIDTH = 80
 
+# After its name a start tag has attributes. A quote opens a string directly after = alone; values
+# without quotes end at white space or >, and any other quote is a character like others.
+_VALUE = r"""(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+))"""
+_NAMED = rf"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+{_VALUE}?+)?+"
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-      | <(?P<start>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)
+    rf"""<!--.*?(?:-->|\Z)
+      | <(?P<start>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[ \t\n\r\f/]|{_NAMED})*+)(?:>|\Z)
       | </(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)
       | <[!?/][^>]*(?:>|\Z)""",
     re.S | re.X,
 )
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_ATTRIBUTE = re.compile(rf"(?=([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)){_NAMED}")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW | {"title", "textarea"}}
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
@@ -48,8 +52,8 @@ _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|co
 
 def _attributes(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
-    for name, value in _ATTRIBUTE.findall(text):
-        found.setdefault(name.lower(), unescape(value.strip("\"'")))
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), unescape("".join(values)))
     return found
 
 

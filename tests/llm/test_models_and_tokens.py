@@ -242,6 +242,19 @@ def test_render(page, text):
     assert render(page)[1] == text
 
 
+@pytest.mark.parametrize(
+    "tag",
+    ['<a href="x"">', "<a href='x''>", "<p title=Bob's>", '<p title=a"b>', '<p ">', "<p '>", '<p a"b>', '<p ="x>', '<p a="b"="c>', '<p a = b"c d>', '<p">'],
+)
+def test_stray_quotes_open_no_string(tag):
+    assert render(f'{tag}text <b class="x">and</b> more')[1] == "text and more"
+
+
+def test_quotes_after_an_equals_sign():
+    assert render("""<a title = "a>b" alt='c>d' rel=e>text""")[1] == "text"
+    assert render("""<p title=Bob's hidden>no</p><img alt='a"b'> <img alt=it's>""")[1] == """a"b it's"""
+
+
 def test_render_title_and_depth():
     assert render("<head><title> A &amp;\n B </title></head>x") == ("A & B", "x")
     assert render("<div>" * 50_000 + "deep")[1] == "deep"
