@@ -182,8 +182,8 @@ def write_archives(
         F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"),
     )
-    digests = own.select("page_id", F.sha2("payload", 256).alias("sha"), F.length("payload").alias("n"))
-    digests = digests.where(F.col("n") >= min_revisit_bytes)
+    own = own.withColumn("sha", F.sha2("payload", 256))
+    digests = own.where(F.length("payload") >= min_revisit_bytes).select("page_id", "sha")
     groups = (
         digests.groupBy("sha")
         .agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies"))
@@ -197,11 +197,10 @@ def write_archives(
         .select(F.col("page_id").alias("again"), F.col("sha").alias("again_sha"), "refers_to")
         .distinct()
     )
-    # Rows that repeat an id may differ in payload, so the payload decides too.
-    same = F.col("page_id").eqNullSafe(F.col("again"))
+    # Rows that repeat an id may differ in payload: a row meets the revisit of its own id and payload, one at most.
+    same = F.col("page_id").eqNullSafe(F.col("again")) & (F.col("sha") == F.col("again_sha"))
     marked = own.join(revisits, same, "left")
-    once = marked.withColumn("revisit", F.col("again_sha").isNotNull() & (F.sha2("payload", 256) == F.col("again_sha")))
-    parts = once.select("page_id", "url", "payload", F.when(F.col("revisit"), F.col("refers_to")).alias("refers_to"), "revisit")
+    parts = marked.select("page_id", "url", "payload", "refers_to", F.col("again_sha").isNotNull().alias("revisit"))
     index = parts.mapInArrow(partial(_written, folder=f"{folder}/bundles"), _INDEX)
     path = f"{folder}/index"
     index.write.parquet(path)

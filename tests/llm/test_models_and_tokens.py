@@ -303,6 +303,20 @@ def test_archives(spark, tmp_path, monkeypatch):
     assert warc.write_archives(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_one_id_with_several_repeated_payloads(spark, tmp_path):
+    """A record per row, whatever else its id holds."""
+    rows = [(i, text) for i in (7, None, None) for text in ("one", "two", "own " + str(i))] + [(8, "one"), (9, "two")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id bigint, url string, html string")
+    index = warc.write_archives(pages, str(tmp_path))
+    got = warc.read_archives(index, str(tmp_path)).collect()
+    want = []
+    for i, h in rows:
+        keeper = {"one": 8, "two": 9}.get(h, i)
+        digest = base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+        want.append((i, "response", None, digest) if i == keeper else (i, "revisit", keeper, digest))
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in got) == Counter(want)
+
+
 class _Sized(io.BytesIO):
     def size(self):
         return len(self.getvalue())
