@@ -15,6 +15,8 @@ MEAN_LINES = 4
 MIN_LINES = 2
 #: Tasks over which the places of one chunk are spread.
 SALTS = 32
+#: Where a chunk stands: id and digest of its row's text, and its number there.
+PLACE = ["doc_id", "whole", "chunk"]
 
 
 def _number(line: Column) -> Column:
@@ -63,32 +65,33 @@ def remove_repeated_chunks(
 
     The columns in ``more`` are returned with each row.
 
-    NULL text counts as empty: one empty line, never removed. Rows that share an id are one
-    document with alternatives: a chunk goes in all of them or in none, and the place counts
-    within each row. NULL ids come before all others. Other columns are ignored; an empty table gives no rows.
+    NULL text counts as empty: one empty line, never removed. Rows that share an id, or have none,
+    are told apart by a digest of their texts, in whose order they come; rows with equal id and
+    text are one place and stay alike. NULL ids come before all others. Other columns are ignored; an empty table gives no rows.
     """
-    texts = keyed_text(docs, id_col, text_col, more)
+    whole = F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("whole")
+    texts = keyed_text(docs, id_col, text_col, more).select("*", whole)
     piece = F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.n_lines")), "\n")
     keyed = (
         _chunked(texts, mean_lines)
         # There is always a chunk; a plain explode would filter by the whole expression first.
-        .select("doc_id", "lines", F.explode_outer("chunks").alias("c"))
+        .select("doc_id", "whole", "lines", F.explode_outer("chunks").alias("c"))
         .where(F.col("c.n_lines") >= min_lines)
-        .select("doc_id", F.col("c.chunk").alias("chunk"), piece.alias("piece"))
+        .select("doc_id", "whole", F.col("c.chunk").alias("chunk"), piece.alias("piece"))
         .where(F.col("piece").rlike(r"[^\x20\x09-\x0D]"))
     )
     # Hashes that occur at more than one place; nothing but hashes and places is shuffled.
-    hashed = keyed.select("doc_id", "chunk", F.xxhash64("piece").alias("h"))
-    marked = _per_document(_repeated(hashed, "h"))
+    hashed = keyed.select(*PLACE, F.xxhash64("piece").alias("h"))
+    marked = _per_row(_repeated(hashed, "h"))
     # The chunks so marked are compared by their bytes: grouped by the text itself.
     suspects = (
         _chunked(_with_marked(texts, marked), mean_lines)
-        .select("doc_id", "lines", "chunks", F.explode_outer("marked").alias("chunk"))
-        .select("doc_id", "lines", "chunk", F.get("chunks", F.col("chunk")).alias("c"))
+        .select("doc_id", "whole", "lines", "chunks", F.explode_outer("marked").alias("chunk"))
+        .select(*PLACE, "lines", F.get("chunks", F.col("chunk")).alias("c"))
         .where("c is not null")
-        .select("doc_id", "chunk", piece.alias("piece"))
+        .select(*PLACE, piece.alias("piece"))
     )
-    removed = _per_document(_repeated_bytes(suspects).where("struct(doc_id, chunk) != first"))
+    removed = _per_row(_repeated_bytes(suspects).where(F.struct(*PLACE) != F.col("first")))
     parts = (
         _chunked(_with_marked(texts, removed), mean_lines)
         .withColumn("numbers", F.transform("chunks", lambda c: c["chunk"]))
@@ -121,7 +124,7 @@ def remove_repeated_chunks(
 
 def _repeated(places: DataFrame, key: str) -> DataFrame:
     """Rows whose key stands at more than one place, with the ``first`` of these places."""
-    keys = places.groupBy(key).agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.max(F.struct("doc_id", "chunk")).alias("last"))
+    keys = places.groupBy(key).agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last"))
     return _told(places, keys.where("first != last"), key)
 
 
@@ -132,14 +135,14 @@ def _repeated_bytes(suspects: DataFrame) -> DataFrame:
     is shuffled again; a digest that two different texts had would be left out.
     """
     digest = F.unhex(F.sha2("piece", 256)).alias("digest")
-    texts = suspects.groupBy("piece").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.max(F.struct("doc_id", "chunk")).alias("last"))
+    texts = suspects.groupBy("piece").agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last"))
     keys = (
         texts.select(digest, "first", "last")
         .groupBy("digest")
         .agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.max("last").alias("last"))
         .where("texts = 1 and first != last")
     )
-    return _told(suspects.select("doc_id", "chunk", digest), keys, "digest")
+    return _told(suspects.select(*PLACE, digest), keys, "digest")
 
 
 def _told(places: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -150,17 +153,16 @@ def _told(places: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     keys = keys.select(key, "first", copies)
-    salted = places.withColumn("salt", F.pmod(F.hash("doc_id", "chunk"), F.lit(SALTS)))
+    salted = places.withColumn("salt", F.pmod(F.hash(*PLACE), F.lit(SALTS)))
     return salted.join(keys, [key, "salt"])
 
 
-def _per_document(places: DataFrame) -> DataFrame:
-    return places.groupBy(F.col("doc_id").alias("marked_id")).agg(
-        F.collect_set("chunk").alias("marked")
-    )
+def _per_row(places: DataFrame) -> DataFrame:
+    row = F.col("doc_id").alias("marked_id"), F.col("whole").alias("marked_whole")
+    return places.groupBy(*row).agg(F.collect_set("chunk").alias("marked"))
 
 
 def _with_marked(texts: DataFrame, marked: DataFrame) -> DataFrame:
     """Texts with their marked chunks; both uses shuffle the same columns, so Spark does it once."""
-    same = F.col("doc_id").eqNullSafe(F.col("marked_id"))
-    return texts.join(marked, same, "left").select("doc_id", "text", "more", "marked")
+    same = F.col("doc_id").eqNullSafe(F.col("marked_id")) & (F.col("whole") == F.col("marked_whole"))
+    return texts.join(marked, same, "left").select("doc_id", "whole", "text", "more", "marked")

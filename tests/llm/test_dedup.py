@@ -94,6 +94,29 @@ def test_lines(spark):
     assert remove_repeated_chunks(table(spark)).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("row_id", [None, 5])
+def test_lines_of_rows_that_share_an_id(spark, row_id):
+    """A chunk goes only from the row that repeats it, and what stands nowhere else stays."""
+    blocks = {}
+    for k in range(400):  # passages that are one chunk each, wherever they stand
+        piece = [f"line {k} a", f"line {k} b", f"line {k} c"]
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in piece]
+        if (3 * h[0] + h[1]) % 4 and (3 * h[1] + h[2]) % 4 == 0:
+            blocks.setdefault("ends", []).append("\n".join(piece))
+    a, b, c, d, e = blocks["ends"][:5]
+    texts = ["\n".join(t) for t in ([a, b, c], [d, a, e], [b, e], [b, e])]
+    rows = [(row_id, t) for t in texts]
+    got = Counter(r["kept_text"] for r in remove_repeated_chunks(table(spark, rows)).collect())
+    order = sorted(set(texts), key=lambda t: hashlib.sha256(t.encode()).digest()[:16])
+    seen, kept = set(), {}
+    for t in order:
+        own = ["\n".join(x) for x in chunks(t)]
+        kept[t] = "\n".join(x for x in own if x not in seen)
+        seen.update(own)
+    assert got == Counter(kept[t] for t in texts)
+    assert all(any(p in t for t in got) for p in (a, b, c, d, e))
+
+
 def shingles(text, size):
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", _lower(text)) if w]
     if 0 < len(words) < size:
