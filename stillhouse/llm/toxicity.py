@@ -337,12 +337,20 @@ def _scored(batches: Iterator[pa.RecordBatch], model: dict[str, np.ndarray], cut
         )
 
 
+def _room(kind: int) -> int:
+    """Bytes of the sample for texts of a kind."""
+    return FIT_BYTES * FIT_ROWS[kind] // sum(FIT_ROWS.values())
+
+
 def fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> dict[str, np.ndarray]:
     """Model fitted to at most ``FIT_ROWS`` labelled rows of each kind and ``FIT_BYTES`` of text.
 
     Rows are taken in the order of a hash of their id, so the sample is the same each time and
-    depends on nothing else. Conflicting labels of one id count as toxic. Only ids go through
-    the choice; the texts of those chosen are then read.
+    depends on nothing else. Each kind has its share of the bytes; a text that doesn't fit is
+    passed over, and rows with shorter ones still come in. An id gives one row. Conflicting labels
+    of one id count as toxic. Only ids and sizes go through the choice; the texts of those chosen
+    are then read. It is an error if the table has labelled rows of both kinds but none of one
+    kind fits.
     """
     marks = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -350,15 +358,29 @@ def fit_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         .agg(F.max(F.when(F.col(label_col) > 0, 1).otherwise(0)).alias("toxic"))
         .withColumn("h", F.xxhash64("fit_id"))
     )
-    chosen = [marks.where(F.col("toxic") == kind).orderBy("h", "fit_id").limit(n) for kind, n in FIT_ROWS.items()]
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("fit_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sized = own.select("fit_id", F.xxhash64("text").alias("text_hash"), F.octet_length("text").alias("n"))
+    fitting = []
+    for kind, most in FIT_ROWS.items():
+        # One row of an id, and none that is too long by itself: neither takes the place of another.
+        rows = sized.where(F.col("n") <= _room(kind)).groupBy("fit_id").agg(F.min(F.struct("text_hash", "n")).alias("row"))
+        found = rows.join(marks.where(F.col("toxic") == kind), "fit_id").select("fit_id", "h", "toxic", "row.*")
+        room = _room(kind)
+        for r in found.orderBy("h", "fit_id").limit(most).collect():
+            if r.n <= room:
+                room -= r.n
+                fitting.append((r.fit_id, r.text_hash, r.toxic))
+    missing = set(FIT_ROWS) - {toxic for *_, toxic in fitting}
+    if missing:
+        labelled = {r.toxic for r in own.select("fit_id").join(marks, "fit_id").select("toxic").distinct().collect()}
+        if labelled == set(FIT_ROWS):
+            raise ValueError(f"labelled texts of both kinds, but none of toxic = {sorted(missing)} fits {FIT_BYTES} bytes")
+        return {}
+    kind = docs.schema[id_col].dataType.simpleString()
     # Bounded by FIT_ROWS, so it may be sent to every task.
-    ids = F.broadcast(chosen[0].union(chosen[1]))
-    own = docs.select(F.col(id_col).alias("fit_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = own.join(ids, "fit_id").select("fit_id", "h", "toxic", "text", F.octet_length("text").alias("n"))
-    sizes = sorted(((r.h, r.fit_id, r.n) for r in found.select("h", "fit_id", "n").collect()))
-    room = FIT_BYTES - np.cumsum([n for *_, n in sizes]) if sizes else np.zeros(0)
-    fitting = [k for _, k, _ in sizes[: int(np.searchsorted(-room, 0, "right"))]]
-    rows = found.where(F.col("fit_id").isin(fitting)).select("fit_id", "toxic", "text").collect() if fitting else []
+    ids = F.broadcast(docs.sparkSession.createDataFrame(fitting, f"fit_id {kind}, text_hash bigint, toxic int"))
+    read = own.withColumn("text_hash", F.xxhash64("text")).join(ids, ["fit_id", "text_hash"])
+    rows = read.groupBy("fit_id", "toxic").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r.fit_id, r.text))
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
@@ -377,7 +399,7 @@ def score(
     The model is fitted to ``labelled`` rows that have ``labels`` (``fit_on``) and sent with the
     tasks; its size is fixed. A score is the largest of all windows of 40 words, 30 apart, that
     cover the whole text; nothing but the text enters it. Texts without words, NULL included,
-    score 0, as everything does where one kind of label is missing. Rows stay as they are, with
+    score 0, as everything does where ``labelled`` has one kind of label only. Rows stay as they are, with
     NULL and repeated ids. Other columns are ignored; an empty table gives no rows. No shuffle.
     """
     model = fit_on(labelled, labels, id_col, text_col, label_col)

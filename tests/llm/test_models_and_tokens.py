@@ -131,6 +131,23 @@ def test_toxicity_awkward(spark):
     assert toxicity.score(table(spark).limit(0), table(spark).limit(0), labels).count() == 0
 
 
+def test_long_texts_and_repeated_ids_leave_the_sample_whole(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 6_000)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: {"texts": texts, "labels": labels})
+    rows = [(i, "long " * 2_000 if i % 2 else f"text {i}") for i in range(40)] + [(2, f"again {k} " + "x" * 500) for k in range(30)]
+    labels = spark.createDataFrame([(i, int(i % 4 < 2)) for i in range(40)], "doc_id bigint, toxic int")
+
+    def sample(rows):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        return toxicity.fit_on(docs, labels, "doc_id", "text", "toxic")
+
+    got = sample(rows)
+    assert Counter(got["labels"]) == {1: 10, 0: 10}
+    assert {f"text {i}" for i in range(0, 40, 2) if i != 2} < set(got["texts"])
+    with pytest.raises(ValueError):
+        sample([(i, "long " * 2_000 if i % 4 < 2 else "short") for i in range(40)])
+
+
 # --- tokens ------------------------------------------------------------------------------------
 
 
