@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stillhouse.llm.pieces import spread
-from stillhouse.llm.textbytes import SLICE_BYTES, prefix_hashes, slices
+from stillhouse.llm.textbytes import SLICE_BYTES, mix, prefix_hashes, slices, span_hashes
 
 #: Bytes of a repeated string.
 LENGTH = 50
@@ -23,6 +23,10 @@ GRAM = 20
 SHARD_BYTES = 4 << 20
 #: Bytes of distinct strings under one suffix array.
 ARRAY_BYTES = 4 << 20
+#: Bytes of distinct strings of a name from which its windows are dealt out one by one.
+HOT_BYTES = 16 << 20
+#: Bytes of distinct strings of a name in a shard that are not told one by one.
+LIGHT_BYTES = 1 << 10
 
 _NEVER = np.iinfo(np.int64).max
 _FIRST = np.iinfo(np.int64).min
@@ -175,8 +179,8 @@ class _Shard:
             yield first, self.data[own[0] : own[-1]], own - own[0]
             first = last
 
-    def runs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per slice: first document, bytes, offsets; per run: name, document, start, windows.
+    def runs(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per slice: first document, bytes, offsets; per run: name, document, start, windows, hash of its bytes.
 
         A window's name is the smallest hash of its grams, so equal windows have equal names,
         and neighbouring windows mostly share theirs.
@@ -185,7 +189,7 @@ class _Shard:
             n = data.size - LENGTH + 1
             if n < 1:
                 empty = np.zeros(0, np.int64)
-                yield first, data, offsets, empty.astype(np.uint64), empty, empty, empty
+                yield first, data, offsets, empty.astype(np.uint64), empty, empty, empty, empty.astype(np.uint64)
                 continue
             sums, down = prefix_hashes(data)
             name = (sums[GRAM:] - sums[:-GRAM]) * down[: data.size - GRAM + 1]
@@ -210,7 +214,8 @@ class _Shard:
             stops = np.append(stops, n)
             end = stops[np.searchsorted(stops, start, "right")]
             doc = np.searchsorted(offsets, start, "right") - 1
-            yield first, data, offsets, name[start], doc + first, start, end - start
+            content = span_hashes(sums, down, start, end + LENGTH - 1)
+            yield first, data, offsets, name[start], doc + first, start, end - start, content
 
 
 def _bucket(name: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +224,15 @@ def _bucket(name: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _names(key: tuple, rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Names in a shard, once each, per bucket; a bit tells if several documents have it."""
+    """Names in a shard, once each, per bucket; a bit tells if several documents have it.
+
+    Behind them stand the names with more than ``LIGHT_BYTES`` of distinct strings, and these bytes.
+    """
     shard = _Shard(rows["docs"].tolist())
-    found = [(name, shard.order_ids[doc]) for _, _, _, name, doc, _, _ in shard.runs()]
-    name, doc = (np.concatenate(x) for x in zip(*found))
+    found = [(name, shard.order_ids[doc], count + LENGTH - 1, content) for _, _, _, name, doc, _, count, content in shard.runs()]
+    name, doc, size, content = (np.concatenate(x) for x in zip(*found))
     by = np.lexsort((doc, name))
-    name, doc = name[by], doc[by]
+    name, doc, size, content = name[by], doc[by], size[by], content[by]
     fresh = np.ones(name.size, bool)
     fresh[1:] = name[1:] != name[:-1]
     several = np.zeros(name.size, bool)
@@ -233,7 +241,20 @@ def _names(key: tuple, rows: pd.DataFrame, buckets: int) -> pd.DataFrame:
     several = np.logical_or.reduceat(several, heads) if heads.size else several[:0]
     bucket, rest = _bucket(name[heads], buckets)
     entry = (rest << np.uint32(1)) | several.astype(np.uint32)
-    return _by_bucket(key[0], bucket, lambda at: _press(entry[at]))
+    total = np.add.reduceat(size, heads) if heads.size else size[:0]
+    # Equal strings count once; only names that have many bytes at all are looked at closer.
+    owner = np.cumsum(fresh) - 1
+    close = np.flatnonzero(total[owner] > LIGHT_BYTES) if heads.size else heads
+    by = close[np.lexsort((content[close], owner[close]))]
+    new = np.ones(by.size, bool)
+    new[1:] = (owner[by][1:] != owner[by][:-1]) | (content[by][1:] != content[by][:-1])
+    total = np.bincount(owner[by[new]], size[by[new]], heads.size).astype(np.int64)
+
+    def packed(at: np.ndarray) -> bytes:
+        heavy = at[total[at] > LIGHT_BYTES]
+        return _press(entry[at], rest[heavy], total[heavy])
+
+    return _by_bucket(key[0], bucket, packed)
 
 
 def _by_bucket(shard: int, bucket: np.ndarray, packed: Callable[[np.ndarray], bytes]) -> pd.DataFrame:
@@ -245,17 +266,23 @@ def _by_bucket(shard: int, bucket: np.ndarray, packed: Callable[[np.ndarray], by
 
 
 def _repeated(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Names of a bucket that several documents have, sent back to the shards that have them."""
-    parts = [_unpress(b, "<u4")[0] for b in rows["entries"]]
-    entry = np.concatenate(parts)
+    """Names of a bucket that several documents have, sent back to the shards that have them.
+
+    A bit tells if a name is hot: its strings may come to more than ``HOT_BYTES`` in all shards.
+    """
+    parts, heavy, heavy_bytes = zip(*(_unpress(b, "<u4", "<u4", "<i8") for b in rows["entries"]))
+    entry, heavy, heavy_bytes = np.concatenate(parts), np.concatenate(heavy), np.concatenate(heavy_bytes)
+    names, number, shards_of = np.unique(entry >> np.uint32(1), return_inverse=True, return_counts=True)
+    most = LIGHT_BYTES * shards_of + np.bincount(np.searchsorted(names, heavy), heavy_bytes, names.size)
+    hot = (most > HOT_BYTES)[number]
     of = np.repeat(np.arange(len(parts)), [p.size for p in parts])
     by = np.argsort(entry >> np.uint32(1), kind="stable")
-    rest, of, flag = (entry >> np.uint32(1))[by], of[by], (entry & np.uint32(1))[by]
+    rest, of, flag, hot = (entry >> np.uint32(1))[by], of[by], (entry & np.uint32(1))[by], hot[by]
     again = flag > 0
     same = rest[1:] == rest[:-1]
     again[1:] |= same
     again[:-1] |= same
-    rest, of = rest[again], of[again]
+    rest, of = (rest[again] << np.uint32(1)) | hot[again].astype(np.uint32), of[again]
     by = np.argsort(of, kind="stable")
     shards = rows["shard"].to_numpy()
     parts = np.split(by, np.flatnonzero(np.diff(of[by])) + 1) if by.size else []
@@ -265,33 +292,48 @@ def _repeated(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 class _Strings:
-    """Distinct strings under repeated names in a shard, and where they stand."""
+    """Distinct strings under repeated names in a shard, and where they stand.
+
+    Under a hot name each window is a string of its own and goes to the bucket of its own hash:
+    equal windows have equal names, so they are cut in all shards and still meet.
+    """
 
     def __init__(self, shard: _Shard, repeated: pd.DataFrame, buckets: int):
         keys = [
-            (np.uint64(b) << np.uint64(31)) | _unpress(e, "<u4")[0].astype(np.uint64)
+            (np.uint64(b) << np.uint64(32)) | _unpress(e, "<u4")[0].astype(np.uint64)
             for b, e in zip(repeated["bucket"].tolist(), repeated["entries"])
         ]
         wanted = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        wanted, is_hot = wanted >> np.uint64(1), (wanted & np.uint64(1)) > 0
         number: dict[bytes, int] = {}
         bucket_of: list[np.ndarray] = []
         #: Per slice: first document, bytes, offsets, and of each occurrence string, document, start.
         self.found = []
         least, most, windows = [], [], []
-        for first, data, offsets, name, doc, start, count in shard.runs():
+        for first, data, offsets, name, doc, start, count, _ in shard.runs():
             bucket, rest = _bucket(name, buckets)
             key = (bucket << np.uint64(31)) | rest.astype(np.uint64)
             at = np.searchsorted(wanted, key)
             hit = np.flatnonzero(wanted[np.minimum(at, wanted.size - 1)] == key) if wanted.size else np.zeros(0, int)
             raw = data.tobytes()
-            texts = [raw[a : a + n + LENGTH - 1] for a, n in zip(start[hit].tolist(), count[hit].tolist())]
+            doc, start, count, bucket = doc[hit], start[hit], count[hit], bucket[hit]
+            hot = is_hot[at[hit]]
+            if hot.any():
+                apart = count[hot]
+                step = np.arange(int(apart.sum())) - np.repeat(np.cumsum(apart) - apart, apart)
+                places = np.repeat(start[hot], apart) + step
+                own = mix(span_hashes(*prefix_hashes(data), places, places + LENGTH)) % np.uint64(buckets)
+                doc = np.concatenate([doc[~hot], np.repeat(doc[hot], apart)])
+                start, count = np.concatenate([start[~hot], places]), np.concatenate([count[~hot], np.ones(places.size, count.dtype)])
+                bucket = np.concatenate([bucket[~hot], own])
+            texts = [raw[a : a + n + LENGTH - 1] for a, n in zip(start.tolist(), count.tolist())]
             known = len(number)
             numbers = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
             fresh, at = np.unique(numbers, return_index=True)
             new = at[fresh >= known]
-            bucket_of.append(bucket[hit][new])
-            windows.append(count[hit][new])
-            self.found.append((first, data, offsets, numbers, doc[hit], start[hit]))
+            bucket_of.append(bucket[new])
+            windows.append(count[new])
+            self.found.append((first, data, offsets, numbers, doc, start))
         self.texts = list(number)
         self.bucket = np.concatenate(bucket_of) if bucket_of else np.zeros(0, np.uint64)
         self.windows = np.concatenate(windows) if windows else np.zeros(0, np.int64)
@@ -448,7 +490,8 @@ def remove_repeats(
     2. Every window of 50 bytes is named by the smallest hash of its 20-byte grams, so equal
        windows have equal names. A shard tells each name once to the name's bucket; names of
        several documents come back.
-    3. Stretches under such names, once per shard, go to their bucket. There a suffix array per
+    3. Stretches under such names, once per shard, go to their bucket; where those of a name may
+       exceed ``HOT_BYTES`` in all, each window goes to the bucket of its own hash instead. There a suffix array per
        ``ARRAY_BYTES``, common prefixes and lookups between arrays give each window's smallest document.
     4. The shards get these minima for their stretches and cut their documents.
 

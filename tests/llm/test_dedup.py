@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from cases import ROWS, table
 
@@ -227,6 +228,60 @@ def test_passages(spark, monkeypatch):
     assert remove_repeats(table(spark).limit(0)).count() == 0
 
 
+def _buckets_of_a_passage():
+    """Bytes that each bucket gets where every document has a passage behind text of its own."""
+    rng = random.Random(13)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = "".join(rng.choice(letters) for _ in range(120))
+    rows = [(k, "".join(rng.choice(letters) for _ in range(60)) + passage) for k in range(600)]
+    parts = [rows[k::4] for k in range(4)]
+    frames = []
+    for part in parts:
+        data = [t.encode() for _, t in part]
+        size = np.array([len(x) for x in data])
+        none = np.zeros(size.size, np.int64)
+        ids = np.array([i for i, _ in part])
+        blob = suffix._press(ids, np.ones(size.size, bool), size, np.frombuffer(b"".join(data), np.uint8), none, np.zeros(0, np.uint8))
+        frames.append(pd.DataFrame({"docs": [blob]}))
+    names = pd.concat([suffix._names((k,), f, 64) for k, f in enumerate(frames)])
+    again = pd.concat([suffix._repeated((b,), own) for b, own in names.groupby("bucket")])
+    total = Counter()
+    for k, f in enumerate(frames):
+        for _, row in suffix._strings((k,), f, again[again["shard"] == k], 64).iterrows():
+            total[row["bucket"]] += suffix._unpress(row["entries"], "<i8", "<i8", "<i8", "<i8", "u1")[4].size
+    return total
+
+
+def test_a_hot_name_is_dealt_out(monkeypatch):
+    held = _buckets_of_a_passage()
+    monkeypatch.setattr(suffix, "HOT_BYTES", 8_000)
+    dealt = _buckets_of_a_passage()
+    assert max(held.values()) > 0.5 * sum(held.values())
+    assert max(dealt.values()) < 0.1 * sum(dealt.values())
+
+
+def test_passages_under_hot_names(spark, monkeypatch):
+    """The same result where every name is hot: windows go by their own hash."""
+    remembered = suffix._repeated
+
+    def repeated(key, rows):
+        most, suffix.HOT_BYTES = suffix.HOT_BYTES, 0  # in the worker, which others use afterwards
+        try:
+            return remembered(key, rows)
+        finally:
+            suffix.HOT_BYTES = most
+
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 2_000)
+    monkeypatch.setattr(suffix, "_repeated", repeated)
+    rng = random.Random(7)
+    shared = ["".join(rng.choice("abcdefgh éü") for _ in range(rng.randrange(60, 200))) for _ in range(6)]
+    rows = [(k, f"own {rng.random()} " + rng.choice(shared) + f" {rng.random()}") for k in range(60)] + [(None, shared[0])]
+    got = remove_repeats(table(spark, rows)).collect()
+    keys = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert Counter(tuple(r[k] for k in keys) for r in got) == Counter(without_repeats(rows))
+    assert sum(r["n_removed"] for r in got) > 1_000
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(3)
     for _ in range(40):
