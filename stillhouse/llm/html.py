@@ -6,6 +6,7 @@ import re
 import textwrap
 from collections.abc import Iterator
 from html import unescape
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,7 +15,12 @@ from pyspark.sql import functions as F
 # The element classes of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes datalist object audio video canvas svg math select".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes datalist object audio video canvas".split())
+FOREIGN = frozenset(["svg", "math"])
+# Inside svg and math these are not shown; they get a name of their own, for elsewhere they are.
+_UNDRAWN = frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter annotation annotation-xml mphantom".split())
+UNSEEN |= {f"undrawn {tag}" for tag in _UNDRAWN}
+CHOICES = frozenset("select option optgroup".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre figure table hr fieldset".split())
 BLOCKS = SPACED | frozenset(
     "html body address article aside center details dialog dd dir div dt figcaption footer form header hgroup li "
@@ -26,6 +32,11 @@ LISTS = frozenset("ul ol menu dir".split())
 GROUPS = frozenset("thead tbody tfoot".split())
 CELLS = frozenset("td th".split())
 _IN_TABLE = GROUPS | CELLS | {"tr", "caption"}
+# Inside these svg and math hold HTML; elsewhere there, these tags end them.
+_HTML_AGAIN = BLOCKS | frozenset(["foreignobject", "undrawn desc", "undrawn title", "undrawn annotation-xml", "mi", "mo", "mn", "ms", "mtext"])
+_BREAKS_OUT = SPACED - {"fieldset", "figure"} | frozenset(
+    "b big body br center code dd div dt em embed head i img li listing meta nobr ruby s small span strong strike sub sup tt u var".split()
+)
 IN_HEAD = frozenset("base link meta title script style template noscript".split())
 
 #: Open elements beyond which further ones are put side by side, as browsers do.
@@ -46,6 +57,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(rf"(?=([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)){_NAMED}")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW | {"title", "textarea"}}
+_FOREIGN = re.compile("<(?:svg|math)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
 
@@ -64,6 +76,10 @@ def _number(text: str | None, default: int, most: int) -> int:
         return default
 
 
+def _hides(tag: str, found: dict[str, str]) -> bool:
+    return tag in UNSEEN or bool(found) and ("hidden" in found or bool(_HIDES.search(found.get("style", ""))))
+
+
 class Tree:
     """Well-nested elements from a page: tags left out are put in, stray ones dropped.
 
@@ -73,10 +89,15 @@ class Tree:
     def __init__(self, page: str):
         self._page = page
         self._open: list[str] = []
+        self._foreign = bool(_FOREIGN.search(page))
+        #: Places of the open elements beyond MAX_DEPTH that the reader holds open too.
+        self._kept: list[int] = []
 
     def _until(self, wanted: frozenset[str], walls: frozenset[str]) -> int | None:
         """Depth of the innermost open element in ``wanted`` that no wall stands before."""
-        for depth in range(len(self._open) - 1, -1, -1):
+        n = len(self._open)
+        # Of very many open elements the innermost and the outermost are looked at.
+        for depth in chain(range(n - 1, max(n - 1 - MAX_DEPTH, -1), -1), range(min(n - MAX_DEPTH, MAX_DEPTH) - 1, -1, -1)):
             if self._open[depth] in wanted:
                 return depth
             if self._open[depth] in walls:
@@ -85,14 +106,22 @@ class Tree:
 
     def _close(self, depth: int | None) -> Iterator[tuple[int, str, str]]:
         while depth is not None and len(self._open) > depth:
-            yield -1, self._open.pop(), ""
-
+            tag, at = self._open.pop(), len(self._open)
+            if at < MAX_DEPTH or self._kept[-1:] == [at]:
+                if at >= MAX_DEPTH:
+                    self._kept.pop()
+                yield -1, tag, ""
+            elif tag in BLOCKS:
+                yield 1, "div", ""
+                yield -1, "div", ""
 
     def _make_room(self, tag: str) -> Iterator[tuple[int, str, str]]:
         """End what ``tag`` ends and begin what it needs."""
         table = frozenset(["table"])
-        if "head" in self._open and tag not in IN_HEAD:
+        if "head" in self._open[:MAX_DEPTH] and tag not in IN_HEAD:
             yield from self._close(self._open.index("head"))
+        if tag in ("select", "input", "textarea"):
+            yield from self._close(self._until(frozenset(["select"]), CELLS))
         if tag in CLOSES_P:
             yield from self._close(self._until(frozenset(["p"]), CELLS | table | {"button", "caption"}))
         if tag in HEADINGS and self._open and self._open[-1] in HEADINGS:
@@ -117,7 +146,9 @@ class Tree:
         table = frozenset(["table"])
         if tag in ("html", "body"):
             return
-        if tag == "br" or tag == "p" and self._until(frozenset(["p"]), CELLS | table) is None:
+        if tag == "select":
+            yield from self._close(self._until(frozenset([tag]), frozenset()))
+        elif tag == "br" or tag == "p" and self._until(frozenset(["p"]), CELLS | table) is None:
             yield 1, tag, ""
             yield -1, tag, ""
         elif tag in HEADINGS:
@@ -127,7 +158,7 @@ class Tree:
             yield from self._close(self._until(frozenset([tag]), walls))
         else:
             # An inline end tag never ends a block that began after its start tag.
-            yield from self._close(self._until(frozenset([tag]), BLOCKS))
+            yield from self._close(self._until(frozenset([tag, f"undrawn {tag}"]), BLOCKS))
 
     def __iter__(self) -> Iterator[tuple[int, str, str]]:
         page, at = self._page, 0
@@ -136,7 +167,7 @@ class Tree:
             stop = match.start() if match else len(page)
             if stop > at:
                 text = page[at:stop]
-                if "head" in self._open and not text.isspace():
+                if "head" in self._open[:MAX_DEPTH] and not text.isspace():
                     yield from self._close(self._open.index("head"))
                 yield 0, "", unescape(text) if "&" in text else text
             if match is None:
@@ -148,22 +179,34 @@ class Tree:
             elif start:
                 tag = start.lower()
                 if tag in ("html", "body"):
-                    if "head" in self._open:
+                    if "head" in self._open[:MAX_DEPTH]:
                         yield from self._close(self._open.index("head"))
                     continue
+                foreign = self._until(FOREIGN, _HTML_AGAIN) if self._foreign else None
+                while foreign is not None and tag in _BREAKS_OUT:
+                    yield from self._close(foreign)
+                    foreign = self._until(FOREIGN, _HTML_AGAIN)
                 yield from self._make_room(tag)
-                yield 1, tag, match["attributes"]
-                if tag in VOID or len(self._open) >= MAX_DEPTH:
-                    yield -1, tag, ""
+                name = f"undrawn {tag}" if foreign is not None and tag in _UNDRAWN else tag
+                yield 1, name, match["attributes"]
+                if tag in VOID or foreign is not None and match["attributes"].endswith("/"):
+                    yield -1, name, ""
                 elif tag in _RAW_END:
                     ends = _RAW_END[tag].search(page, at)
                     stop = ends.start() if ends else len(page)
                     if stop > at:
                         yield 0, "", page[at:stop] if tag in RAW else unescape(page[at:stop])
                     at = ends.end() if ends else len(page)
-                    yield -1, tag, ""
+                    yield -1, name, ""
                 else:
-                    self._open.append(tag)
+                    if len(self._open) >= MAX_DEPTH:
+                        # Over for the reader at once, unless it decides on what is seen inside.
+                        keeps = tag != "head" and (name in CHOICES | {"details", "summary"} or _hides(name, _attributes(match["attributes"])))
+                        if keeps and len(self._kept) < MAX_DEPTH:
+                            self._kept.append(len(self._open))
+                        else:
+                            yield -1, name, ""
+                    self._open.append(name)
         yield from self._close(0)
 
 
@@ -223,6 +266,32 @@ class _Sheet:
         return self.lines
 
 
+class _Select:
+    """Options of a select: the chosen one is shown, or all of a list box."""
+
+    def __init__(self, found: dict[str, str]):
+        self.box = "multiple" in found or _number(found.get("size"), 1, 10**9) > 1
+        self.options: list[tuple[bool, bool, list[str]]] = []
+        self.inside = False
+        self.off = False
+
+    def option(self, found: dict[str, str]) -> None:
+        self.options.append(("selected" in found, self.off or "disabled" in found, [found.get("label", "")]))
+        self.inside = True
+
+    def words(self, text: str) -> None:
+        if self.inside and not self.options[-1][2][0]:
+            self.options[-1][2].append(text)
+
+    def shown(self) -> list[str]:
+        texts = [_SPACES.sub(" ", "".join(t)).strip(" ") for *_, t in self.options]
+        if self.box:
+            return texts
+        chosen = [k for k, (selected, _, _) in enumerate(self.options) if selected][-1:]
+        usable = [k for k, (_, off, _) in enumerate(self.options) if not off]
+        return [texts[k] for k in (chosen or usable)[:1]]
+
+
 class _Table:
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, int, list[str]]]] = []
@@ -277,8 +346,9 @@ class _Table:
 def render(page: str) -> tuple[str, str]:
     """Title and visible text of a page.
 
-    Hidden are: the head, scripts, styles, templates and embedded content, elements with
-    ``hidden`` or a style that hides them, and closed details but for their summary. Blocks
+    Hidden are: the head, scripts, styles, templates, embedded objects, what svg and math define
+    or annotate without drawing it, all but the chosen or first option of a select (a list box
+    shows all), elements with ``hidden`` or a style that hides them, and closed details but for their summary. Blocks
     begin and end lines; paragraphs, headings, lists, quotes and tables have a blank line around
     them; white space is collapsed outside ``pre``. List items have a bullet or number and a
     hanging indent; table cells are aligned in columns, long ones broken at 80 characters.
@@ -292,12 +362,15 @@ def render(page: str) -> tuple[str, str]:
     unseen = literal = 0
     closed: list[int] = []  # depth of closed details
     in_title = False
+    select: _Select | None = None
     for step, tag, text in Tree(page):
         if step == 0:
             if in_title:
                 title.append(text)
             elif unseen or closed and not any(t == "summary" for t, _, _ in open_[closed[0] + 1 :]):
                 continue
+            elif select is not None:
+                select.words(text)
             elif tables and tables[-1].cell is None and sheet is not sheets[-1]:
                 sheets[-1].words(text)
             elif literal:
@@ -305,18 +378,26 @@ def render(page: str) -> tuple[str, str]:
             else:
                 sheet.words(text)
         elif step > 0:
-            hides = tag in UNSEEN
             found: dict[str, str] = {}
             if text and not text.isspace():
                 found = _attributes(text)
-                hides = hides or "hidden" in found or bool(_HIDES.search(found.get("style", "")))
+            hides = _hides(tag, found)
             if tag == "title":
                 in_title = not title and "svg" not in [t for t, _, _ in open_]
                 hides = True
             unseen += hides
             indents = False
-            if not unseen:
-                if tag == "br":
+            if not unseen and (select is not None or tag == "select"):
+                if tag == "select":
+                    select = select or _Select(found)
+                elif tag == "option":
+                    select.option(found)
+                elif tag == "optgroup":
+                    select.off = "disabled" in found
+            elif not unseen:
+                if tag == "text":
+                    sheet.words(" ")  # labels stand apart
+                elif tag == "br":
                     sheet.end_line(keep=True)
                 elif tag == "hr":
                     sheet.gap()
@@ -367,6 +448,21 @@ def render(page: str) -> tuple[str, str]:
             in_title = in_title and tag != "title"
             if not seen:
                 continue
+            if select is not None:
+                if tag == "option":
+                    select.inside = False
+                elif tag == "optgroup":
+                    select.off = False
+                elif tag == "select":
+                    if not closed or any(t == "summary" for t, _, _ in open_[closed[0] + 1 :]):
+                        for k, line in enumerate(select.shown()):
+                            if k:
+                                sheet.end_line()
+                            sheet.words(line)
+                    select = None
+                continue
+            if tag == "text":
+                sheet.words(" ")
             if tag in LISTS and counters:
                 counters.pop()
             if tag == "table" and tables:

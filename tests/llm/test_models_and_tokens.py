@@ -272,6 +272,25 @@ def test_quotes_after_an_equals_sign():
     assert render("""<p title=Bob's hidden>no</p><img alt='a"b'> <img alt=it's>""")[1] == """a"b it's"""
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("x <math><mi>a</mi><mo>=</mo><mi>b</mi><annotation>tex</annotation></math> y", "x a=b y"),
+        ("<svg><title>t</title><defs><text>d</text></defs><style>s</style><desc/><text>one</text><text>two</text></svg> z", "one two z"),
+        ("<p>Pick <select><option>a<option selected>b<option>c</select> now", "Pick b now"),
+        ("<select><option disabled>a</option><option>b</option></select> now", "b now"),
+        ("<select multiple><option>a<option>b</select>", "a\nb"),
+        ("<desc>seen</desc>", "seen"),
+        ("<svg><defs><p>seen", "seen"),
+        ("<div>" * 600 + "a<script>s</script><style>t</style><div hidden>h<div>i</div>j</div>k", "ak"),
+        ("<div>" * 600 + "<select><option>a<option selected>b</select>", "b"),
+        ("<div>" * 600 + "a</div>b", "a\nb"),
+    ],
+)
+def test_formulas_drawings_choices_and_depth(page, text):
+    assert render(page)[1] == text
+
+
 def test_render_title_and_depth():
     assert render("<head><title> A &amp;\n B </title></head>x") == ("A & B", "x")
     assert render("<div>" * 50_000 + "deep")[1] == "deep"
