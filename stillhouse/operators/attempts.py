@@ -15,7 +15,7 @@ from stillhouse.config import BreakerConfig, RetryConfig, TeacherConfig
 from stillhouse.functions import metrics as M
 from stillhouse.functions.retry import backoff_seconds, is_final, is_rate_limit
 from stillhouse.functions.text import error_text, is_error
-from stillhouse.operators.ordered import running, with_position
+from stillhouse.operators.ordered import CONSECUTIVE, running, with_position
 
 
 def outcomes(attempts: DataFrame, retry: RetryConfig = RetryConfig()) -> DataFrame:
@@ -228,6 +228,7 @@ def progress(
         "block",
         sums={"done": "rows", "errors": "block_errors"},
         maxima={"at_s": "block_at_s"},
+        spread=CONSECUTIVE,
     ).where(F.col("rows") == every)
     rate = F.try_divide(F.col("done"), F.col("at_s") - F.col("start_s"))
     return (

@@ -6,7 +6,15 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stillhouse.operators.ordered import first_rows, running, with_position
+from stillhouse.operators.ordered import (
+    CONSECUTIVE,
+    first_rows,
+    in_ranges,
+    range_shifts,
+    running,
+    spread_of,
+    with_position,
+)
 from stillhouse.operators.sampling import first_n, seeded_sample
 
 
@@ -42,10 +50,49 @@ def test_running_shuffles_its_rows_once(spark):
 def test_with_position(spark):
     rows = [("a", 5), ("a", 900), ("a", 17), ("b", 3)]
     frame = spark.createDataFrame(rows, "k string, o bigint")
-    got = {tuple(r) for r in with_position(frame, ["k"], "o", block_positions=10).collect()}
+    got = {tuple(r) for r in with_position(frame, ["k"], "o").collect()}
     assert got == {("a", 5, 0), ("a", 17, 1), ("a", 900, 2), ("b", 3, 0)}
 
 
+@pytest.mark.parametrize("gap", [1, 5, 10_000])
+def test_positions_and_totals_whatever_the_gaps(spark, gap):
+    """A hot group, clusters and a group of one row: the gaps decide how they are dealt, not what comes out."""
+    rng = random.Random(gap)
+    rows = [("hot", gap * i + 3, i % 3) for i in range(3000)]
+    rows += [("cluster", 10**12 * (i // 400) + i, 1) for i in range(1200)]
+    rows += [("one", -5, 7), (None, 2**60, 1), (None, -(2**60), 2)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "k string, p bigint, v bigint").repartition(7)
+    want = {}
+    for key in {r[0] for r in rows}:
+        total = 0
+        for place, (_, p, v) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: r[1])):
+            total += v
+            want[key, p] = (place, total)
+    placed = with_position(frame, ["k"], "p")
+    assert {(r["k"], r["p"]): r["pos"] for r in placed.collect()} == {k: v[0] for k, v in want.items()}
+    total = running(frame, ["k"], "p", sums={"s": "v"})
+    assert {(r["k"], r["p"]): r["s"] for r in total.collect()} == {k: v[1] for k, v in want.items()}
+
+
+def test_no_more_rows_are_carried_than_parts_and_groups(spark):
+    frame = spark.range(40_000).selectExpr("id % 3 as k", "id * 10000 as p")
+    assert not spread_of(frame, ["k"], "p").dense
+    shifts = range_shifts(in_ranges(frame, ["k"], ["p"], 16), ["k"])
+    assert shifts.count() <= 16 + 3
+    sizes = [r["count"] for r in in_ranges(frame, ["k"], ["p"], 16).groupBy("_part").count().collect()]
+    assert max(sizes) < 3 * 40_000 / 16
+    assert spread_of(frame.where("false"), ["k"], "p") == CONSECUTIVE
+    assert with_position(frame.where("false"), ["k"], "p").count() == 0
+
+
+def test_dense_positions_are_not_counted(spark):
+    frame = spark.range(1000).selectExpr("id % 2 as k", "id div 2 + 4 as p")
+    placed = with_position(frame, ["k"], "p")
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+    assert {r["pos"] - r["p"] for r in placed.collect()} == {-4}
+
+
 def test_first_rows_and_first_n(spark):
     frame = spark.range(100).selectExpr("id % 2 as k", "id as idx")
     assert {r["idx"] for r in first_rows(frame, ["k"], "idx", 2).collect()} == {0, 1, 2, 3}
