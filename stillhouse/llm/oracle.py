@@ -199,3 +199,38 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     not base_failed and doc_id not in (select doc_id from rejected) as kept
 from measured
 """
+
+ORACLE["op12_mixing"] = r"""
+with sizes as (
+    select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+        lambda w: w != ''))::bigint as size
+    from documents
+), sources as (
+    select source, sum(size)::bigint as source_size, count(*) as n,
+        [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+    from sizes group by source
+), filled as (
+    select *, (sum(source_size) over ())::hugeint - 3 * (coalesce(sum(source_size) over before, 0))::hugeint as shared,
+        (sum(weight) over ())::hugeint - (coalesce(sum(weight) over before, 0))::hugeint as weights
+    from sources window before as (order by source_size / weight, source nulls first rows between unbounded preceding and 1 preceding)
+), judged as (
+    select *, 3 * source_size::hugeint * weights < shared * weight as stops from filled
+), level as (
+    select shared as level_shared, weights as level_weights from judged where not stops order by weights desc limit 1
+), targets as (
+    select source, source_size,
+        case when stops then (3 * source_size)::double
+            else (level_shared * weight)::double / level_weights::double end as target,
+        case when source_size = 0 then 0 when stops then 3 * 16777216
+            else (level_shared * weight * 16777216) // (level_weights * source_size) end as rate,
+        ('0x' || substr(md5(case when source is null then 'mix' else 'mix:' || source end), 1, 6))::bigint as shift
+    from judged, level
+), placed as (
+    select doc_id, source, size, row_number() over (partition by source order by size desc,
+        md5(coalesce(cast(doc_id as varchar), '')), doc_id) as place
+    from sizes
+)
+select doc_id, size, source_size, target,
+    (size * ((place * rate + shift) // 16777216 - ((place - 1) * rate + shift) // 16777216))::bigint as taken
+from placed p join targets t on p.source is not distinct from t.source
+"""

@@ -12,6 +12,7 @@ from stillhouse.llm.bpe import encode_texts
 from stillhouse.llm.exact import exact_groups
 from stillhouse.llm.html import extract
 from stillhouse.llm.lines import remove_repeated_chunks
+from stillhouse.llm.mixing import systematic_mix
 from stillhouse.llm.near import near_groups
 from stillhouse.llm.packing import pack
 from stillhouse.llm.quality import risk_controlled_rules
@@ -107,3 +108,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return encode_texts(table(spark, sf_dir, "documents"), path, full=False)
+
+
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = systematic_mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
