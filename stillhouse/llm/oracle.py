@@ -200,6 +200,46 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from measured
 """
 
+ORACLE["op11_source_divergence"] = r"""
+with docs as (
+    select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+    from documents
+), words as (
+    select row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs
+), kept as (
+    select lang, term, count(*) as lang_n from words group by lang, term having count(distinct row) >= 30
+), langs as (
+    select lang, sum(lang_n)::hugeint as lang_total, count(*) as terms from kept group by lang
+), counts as (
+    select lang, source, term, count(*) as n from words group by lang, source, term
+), sources as (
+    select distinct lang, source from docs
+), totals as (
+    select lang, source, sum(n)::hugeint as total from counts join kept using (lang, term) group by lang, source
+), grid as (
+    select s.lang, s.source, k.term, coalesce(c.n, 0) as n,
+        1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * terms) as p,
+        1 + (1000000000::hugeint * (lang_n + 5)) // (lang_total + 5 * terms) as q
+    from sources s join kept k on k.lang = s.lang join langs l on l.lang = s.lang
+    left join totals t on t.lang = s.lang and t.source = s.source
+    left join counts c on c.lang = s.lang and c.source = s.source and c.term = k.term
+), differences as (
+    select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+    from grid a join grid b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), pairs as (
+    select a.lang, a.source, b.source as item, coalesce(d.value, 0)::bigint as value
+    from sources a join sources b on a.lang = b.lang and a.source <> b.source
+    left join differences d on d.lang = a.lang and d.source = a.source and d.item = b.source
+), ranked as (
+    select lang, source, 'pair' as part, item, value from pairs
+    union all select lang, source, 'term', term, (p - q)::bigint from grid where n > 0 and p > q
+)
+select lang, source, part, item, value,
+    (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+from ranked qualify part = 'pair' or rank <= 50
+"""
+
 ORACLE["op12_mixing"] = r"""
 with sizes as (
     select doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
@@ -234,3 +274,89 @@ select doc_id, size, source_size, target,
     (size * ((place * rate + shift) // 16777216 - ((place - 1) * rate + shift) // 16777216))::bigint as taken
 from placed p join targets t on p.source is not distinct from t.source
 """
+
+# Least (cost, audit, text) from the first row on per grammar state; the checksum is spelled out bit by bit.
+ORACLE["op13_conversation_repair"] = r"""
+with recursive keyed as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k
+    from conversations
+), coded as (
+    select *, xor(list_reduce(list_concat([4294967295::bigint],
+        list_transform(range(1, length(k) + 1), lambda i: ascii(substr(k, i::int, 1))::bigint)),
+        lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+            lambda x, j: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 as code
+    from keyed
+), damaged as (
+    select conv_id, turn, case when code = 4 then 'user' else role end as role,
+        case code when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+    from coded, (values (1), (2)) v(copy) where code <> 0 and (copy = 1 or code = 3)
+), placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role,
+        md5(strlen(role) || ':' || role || ':' || text)) as i
+    from damaged
+), seen as (
+    select *, not regexp_matches(text, '[^\x20\x09-\x0D]') as blank,
+        row_number() over (partition by conv_id, role, text order by i) > 1 as again,
+        not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') as open_end,
+        lag(substr(role, 1, 1)) over (partition by conv_id order by i) || substr(role, 1, 1) as step
+    from placed
+), judged as (
+    select *, blank or again as gone, not blank and again as duplicate,
+        not blank and not again and open_end as truncated, substr(role, 1, 1) as r,
+        chr(10) || role || ':' || text as line, chr(10) || 'user:' || text as as_user,
+        chr(10) || 'assistant:' || text as as_assistant
+    from seen
+), counts as (
+    select conv_id, count(*) as n,
+        coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps,
+        count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+        count(*) filter (truncated) as truncated,
+        count(*) filter (step is not null and step not in ('su', 'ua', 'au')) as illegal
+    from judged group by conv_id
+), ids as (
+    select distinct conv_id from conversations
+), walk(conv_id, i, s0, s1, s2, s3) as (
+    select conv_id, 0::bigint, {'c': 0::bigint, 'a': '', 't': ''}, {'c': 1000000000::bigint, 'a': '', 't': ''},
+        {'c': 2::bigint, 'a': 'I', 't': chr(10) || 'user:'},
+        {'c': 4::bigint, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}
+    from ids
+    union all
+    select conv_id, i, n0, n1, m2,
+        least(n3, {'c': m2.c + 2, 'a': m2.a || 'I', 't': m2.t || chr(10) || 'assistant:'})
+    from (
+        select conv_id, i, n0, n1, n3, least(n2,
+            {'c': n0.c + 2, 'a': n0.a || 'I', 't': n0.t || chr(10) || 'user:'},
+            {'c': n1.c + 2, 'a': n1.a || 'I', 't': n1.t || chr(10) || 'user:'},
+            {'c': n3.c + 2, 'a': n3.a || 'I', 't': n3.t || chr(10) || 'user:'}) as m2
+        from (
+            select w.conv_id, j.i,
+                {'c': s0.c + 3, 'a': s0.a || 'D', 't': s0.t} as n0,
+                least({'c': s1.c + 3, 'a': s1.a || 'D', 't': s1.t},
+                    {'c': s0.c + z + case when r = 's' then 0 else 1000000000 end, 'a': s0.a || 'K', 't': s0.t || line}) as n1,
+                least({'c': s2.c + 3, 'a': s2.a || 'D', 't': s2.t},
+                    {'c': s0.c + z + u, 'a': s0.a || 'K', 't': s0.t || line},
+                    {'c': s1.c + z + u, 'a': s1.a || 'K', 't': s1.t || line},
+                    {'c': s3.c + z + u, 'a': s3.a || 'K', 't': s3.t || line},
+                    {'c': s0.c + z + 2, 'a': s0.a || 'R', 't': s0.t || as_user},
+                    {'c': s1.c + z + 2, 'a': s1.a || 'R', 't': s1.t || as_user},
+                    {'c': s3.c + z + 2, 'a': s3.a || 'R', 't': s3.t || as_user}) as n2,
+                least({'c': s3.c + 3, 'a': s3.a || 'D', 't': s3.t},
+                    {'c': s2.c + z + case when r = 'a' then 0 else 1000000000 end, 'a': s2.a || 'K', 't': s2.t || line},
+                    {'c': s2.c + z + 2, 'a': s2.a || 'R', 't': s2.t || as_assistant}) as n3
+            from walk w join (
+                select *, case when gone then 1000000000 when truncated then 1 else 0 end as z,
+                    case when r = 'u' then 0 else 1000000000 end as u from judged
+            ) j on j.conv_id is not distinct from w.conv_id and j.i = w.i + 1
+        )
+    )
+), ends as (
+    select w.conv_id, least(s0, s3) as best
+    from walk w left join counts c on c.conv_id is not distinct from w.conv_id
+    where w.i = coalesce(c.n, 0)
+)
+select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+    coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, best.c as cost, best.a as audit,
+    sha256(substr(best.t, 2)) as repaired_sha256
+from ends e left join counts c on c.conv_id is not distinct from e.conv_id
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillhouse.llm.bpe import encode_texts
+from stillhouse.llm.divergence import source_divergence
 from stillhouse.llm.exact import exact_groups
 from stillhouse.llm.html import extract
 from stillhouse.llm.lines import remove_repeated_chunks
@@ -16,6 +17,7 @@ from stillhouse.llm.mixing import systematic_mix
 from stillhouse.llm.near import near_groups
 from stillhouse.llm.packing import pack
 from stillhouse.llm.quality import risk_controlled_rules
+from stillhouse.llm.repair import damage, repair
 from stillhouse.llm.suffix import remove_repeats
 from stillhouse.llm.toxicity import score
 from stillhouse.llm.warc import archive_folder, read_archives, write_archives
@@ -110,7 +112,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"), path, full=False)
 
 
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = systematic_mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(damage(conversations), conversations.select("conv_id"), full=False)
