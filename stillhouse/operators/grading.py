@@ -11,7 +11,7 @@ from stillhouse import fixed
 from stillhouse.functions import answers as A
 from stillhouse.functions import metrics as M
 from stillhouse.functions.text import head_chars
-from stillhouse.operators.ordered import first_rows, running
+from stillhouse.operators.ordered import Spread, first_rows, running
 
 
 def select_models(df: DataFrame, labels: list[str]) -> DataFrame:
@@ -19,7 +19,7 @@ def select_models(df: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def predicted_answers(
-    predictions: DataFrame, text: str = "response", keep: Sequence[Column] = ()
+    predictions: DataFrame, text: str = "response", keep: Sequence[Column | str] = ()
 ) -> DataFrame:
     """``teacher, idx, predicted, rule`` with the comparison forms beside them.
 
@@ -60,10 +60,20 @@ def grade(predictions: DataFrame, problems: DataFrame) -> DataFrame:
     An equi-join on ``idx``, unique on the problem side, so a hot ``idx`` on the prediction side
     can be split by the skew join without copying more than one row.
     """
-    joined = predicted_answers(predictions).join(true_answers(problems), "idx")
-    return _verdict(joined).select(
-        "teacher", "idx", "ground_truth", "predicted", "rule", "correct"
-    )
+    return grade_against(predictions, true_answers(problems))
+
+
+def grade_against(
+    predictions: DataFrame, truth: DataFrame, keep: Sequence[Column | str] = ()
+) -> DataFrame:
+    """:func:`grade` against :func:`true_answers` made before, say once for all batches of a stream.
+
+    The columns in ``keep`` are carried along.
+    """
+    joined = predicted_answers(predictions, keep=keep).join(truth, "idx")
+    kept = [c for c in joined.columns if not c.startswith("_")]
+    shown = ["teacher", "idx", "ground_truth", "predicted", "rule", "correct"]
+    return _verdict(joined).select(*shown, *[c for c in kept if c not in shown])
 
 
 def grade_short(predictions: DataFrame, problems: DataFrame) -> DataFrame:
@@ -100,13 +110,17 @@ def accuracy_by_teacher(graded: DataFrame, split: str = "test") -> DataFrame:
     )
 
 
-def running_accuracy(graded: DataFrame) -> DataFrame:
-    """Accuracy in percent over the rows up to each one, in ``idx`` order."""
+def running_accuracy(graded: DataFrame, spread: Spread | None = None) -> DataFrame:
+    """Accuracy in percent over the rows up to each one, in ``idx`` order, whatever gaps it has.
+
+    ``spread`` tells how ``idx`` lies if that is known, say from the predictions before grading.
+    """
     counted = running(
         graded.select("teacher", "idx", F.col("correct").cast("bigint").alias("correct")),
         ["teacher"],
         "idx",
         sums={"correct_so_far": "correct", "total_so_far": F.lit(1)},
+        spread=spread,
     )
     share = M.ratio(F.col("correct_so_far"), F.col("total_so_far"))
     return counted.withColumns(

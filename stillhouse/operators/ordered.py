@@ -29,6 +29,10 @@ MOST_POSITIONS_PER_ROW = 8
 _ROW_BITS = 33
 
 
+#: Buckets per row asked for in which the first rows of a group are looked for.
+_BUCKETS_PER_ROW = 16
+
+
 class Spread(NamedTuple):
     """How the positions of a table lie: smallest and largest first position of a group, positions
     of the longest group, and positions per row of the sparsest one."""
@@ -180,7 +184,25 @@ def with_position(
     )
 
 
+def rows_below_bound(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
+    """At least the first ``n`` rows of each group, and few more.
+
+    A hash aggregate finds the smallest order value of each of a group's buckets; ``n`` rows lie
+    up to the ``n``-th smallest of these. The bounds are one row per group and broadcast; a group
+    with fewer filled buckets than ``n`` has no bound.
+    """
+    group = F.struct(*keys).alias("_group")
+    bucket = F.pmod(F.xxhash64(order), F.lit(n * _BUCKETS_PER_ROW)).alias("_bucket")
+    least = df.groupBy(group, bucket).agg(F.min(order).alias("_least"))
+    bounds = least.groupBy("_group").agg(
+        F.get(F.sort_array(F.collect_list("_least")), F.lit(n - 1)).alias("_bound")
+    )
+    bounded = df.withColumn("_group", group).join(F.broadcast(bounds), "_group")
+    return bounded.where(F.col("_bound").isNull() | (F.col(order) <= F.col("_bound"))).select(*df.columns)
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
-    """The first ``n`` rows per group; Spark keeps only ``n`` per group and task before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    """The first ``n`` rows per group; only rows below a bound are put in order, not the whole table."""
+    w = Window.partitionBy(F.struct(*keys)).orderBy(order)
+    below = rows_below_bound(df, keys, order, n)
+    return below.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

@@ -6,11 +6,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from stillhouse.operators import sampling
 from stillhouse.operators.ordered import (
     CONSECUTIVE,
     first_rows,
     in_ranges,
     range_shifts,
+    rows_below_bound,
     running,
     spread_of,
     with_position,
@@ -99,6 +101,29 @@ def test_first_rows_and_first_n(spark):
     assert first_n(frame, 7).count() == 7
 
 
+def test_first_rows_number_few_rows(spark):
+    rng = random.Random(2)
+    rows = [("a", 10**12 * i, i) for i in range(3000)] + [(None, -i, i) for i in range(400)] + [("b", 5, 0), ("b", 7, 1)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "k string, p bigint, v bigint").repartition(5)
+    first = first_rows(frame, ["k"], "p", 5)
+    want = {("a", 10**12 * i, i) for i in range(5)} | {(None, -i, i) for i in range(395, 400)} | {("b", 5, 0), ("b", 7, 1)}
+    assert {tuple(r) for r in first.collect()} == want
+    assert rows_below_bound(frame, ["k"], "p", 5).count() < 100
+
+
+def test_sample_is_widened_until_it_is_whole(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "_ROOTS", 0)
+    monkeypatch.setattr(sampling, "_ROWS", 0.01)
+    frame = spark.range(1000).withColumnRenamed("id", "idx")
+    order = sorted(range(1000), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    for n in (3, 400):
+        assert {r[0] for r in seeded_sample(frame, n).collect()} == set(order[:n])
+    assert seeded_sample(frame, 0).count() == 0
+    plan = seeded_sample(frame, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Subquery" not in plan
+
+
 @pytest.mark.parametrize("n", [1, 50, 999, 1000, 1500])
 def test_seeded_sample(spark, n):
     frame = spark.range(1000).withColumnRenamed("id", "idx")
