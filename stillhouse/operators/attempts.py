@@ -15,6 +15,7 @@ from stillhouse.config import BreakerConfig, RetryConfig, TeacherConfig
 from stillhouse.functions import metrics as M
 from stillhouse.functions.retry import backoff_seconds, is_final, is_rate_limit
 from stillhouse.functions.text import error_text, is_error
+from stillhouse.operators import breaker
 from stillhouse.operators.ordered import CONSECUTIVE, running, with_position
 
 
@@ -253,111 +254,24 @@ def start_times(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("teacher").agg(F.min("at_s").alias("start_s"))
 
 
-#: Positions per group when runs of failures are looked for.
-_RUN_BLOCK = 10_000
-
-
-def _consecutive_trips(outcome: DataFrame, config: BreakerConfig) -> DataFrame:
-    """First row per teacher that completes ``max_consecutive`` failures in a row.
-
-    Failures are grouped by block of positions. The last rows of a block also go to the next
-    one, so a run over the border is seen whole there and no second pass is needed.
-    """
-    reach = config.max_consecutive - 1
-    pos = F.col("pos")
-    failed = positioned(outcome).where(~F.col("ok"))
-    spread = F.explode(F.sequence(M.div(pos, _RUN_BLOCK), M.div(pos + reach, _RUN_BLOCK)))
-    back = f"lag(pos, {reach}) over (partition by teacher, _block order by pos)"
-    return (
-        failed.select("teacher", "idx", "pos", spread.alias("_block"))
-        .withColumn("_back", F.expr(back) if reach else pos)
-        .where(F.col("_back") == pos - reach)
-        .groupBy("teacher")
-        .agg(F.min("idx").alias("trip_idx"))
-        .withColumn("keeps", F.lit(0))
-    )
-
-
-def _rate_trips(outcome: DataFrame, config: BreakerConfig) -> DataFrame:
-    return (
-        _judged_blocks(outcome, config)
-        .where("trips")
-        .groupBy("teacher")
-        .agg(F.min("last_idx").alias("trip_idx"))
-        .withColumn("keeps", F.lit(1))
-    )
-
-
 def breaker_cuts(outcome: DataFrame, config: BreakerConfig = BreakerConfig()) -> DataFrame:
-    """Where the breaker stops each teacher: one row per stopped teacher.
-
-    Runs and blocks go by the order of rows, so gaps in ``idx`` make no difference. A run of
-    failures drops the row that completes it (``keeps`` 0), a bad block keeps its last row
-    (``keeps`` 1); at the same row the run is judged first. Rows below ``cut_idx`` are kept.
-    """
-    trip = F.struct("trip_idx", "keeps")
-    return (
-        _consecutive_trips(outcome, config)
-        .unionByName(_rate_trips(outcome, config))
-        .groupBy("teacher")
-        .agg(F.min(trip).alias("trip"))
-        .select(
-            "teacher",
-            F.col("trip.trip_idx").alias("trip_idx"),
-            (F.col("trip.trip_idx") + F.col("trip.keeps")).alias("cut_idx"),
-            F.col("trip.keeps").alias("keeps"),
-        )
-    )
+    """Where the breaker stops each teacher: one row per stopped teacher."""
+    return breaker.cuts(breaker.advance(outcome, config=config))
 
 
 def apply_breaker(outcome: DataFrame, config: BreakerConfig = BreakerConfig()) -> DataFrame:
     """The rows that would have been kept had the stream been stopped at the first trip.
 
-    The cuts are one row per teacher, so they are broadcast and the log is not shuffled.
+    The cuts come from the narrow columns; the rows themselves are filtered and not shuffled.
     """
-    cuts = breaker_cuts(outcome, config).select("teacher", "cut_idx")
-    cut = F.col("cut_idx")
-    return (
-        outcome.join(F.broadcast(cuts), "teacher", "left")
-        .where(cut.isNull() | (F.col("idx") < cut))
-        .drop("cut_idx")
-    )
+    return breaker.kept_rows(outcome, breaker.advance(outcome, config=config))
 
 
 def breaker_report(
     outcome: DataFrame, totals: DataFrame, config: BreakerConfig = BreakerConfig()
 ) -> DataFrame:
-    """Per teacher what the breaker kept, counted and reported.
-
-    ``successful`` counts processed rows only; ``reported_successful`` is total minus errors,
-    which after an early stop also counts rows never asked for.
-    """
-    cuts = breaker_cuts(outcome, config)
-    cut, trip, idx = F.col("cut_idx"), F.col("trip_idx"), F.col("idx")
-    reason = F.when(F.col("keeps") == 0, "consecutive").when(F.col("keeps") == 1, "error_rate")
-    counted = (
-        outcome.select("teacher", "idx", "ok")
-        .join(F.broadcast(cuts), "teacher", "left")
-        .groupBy("teacher")
-        .agg(
-            F.count_if(cut.isNull() | (idx < cut)).alias("kept"),
-            F.count_if(trip.isNull() | (idx <= trip)).alias("processed"),
-            F.count_if(~F.col("ok") & (trip.isNull() | (idx <= trip))).alias("errors"),
-            F.max("cut_idx").alias("cut_idx"),
-            F.max("keeps").alias("keeps"),
-        )
-    )
-    return totals.join(counted, "teacher").select(
-        "teacher",
-        "total",
-        "processed",
-        "kept",
-        "errors",
-        (F.col("processed") - F.col("errors")).alias("successful"),
-        (F.col("total") - F.col("errors")).alias("reported_successful"),
-        "cut_idx",
-        reason.otherwise("finished").alias("stop_reason"),
-    )
+    """Per teacher what the breaker kept, counted and reported, from one pass over the log."""
+    return breaker.report(breaker.advance(outcome, config=config), totals)
 
 
 def backoff_totals(attempts: DataFrame, retry: RetryConfig = RetryConfig()) -> DataFrame:
@@ -387,18 +301,24 @@ def pending(work: DataFrame, attempts: DataFrame, retry_errors: bool = True) ->
     return work.join(done.select("teacher", "idx"), ["teacher", "idx"], "left_anti")
 
 
-def pending_for(
+def missing_teachers(
     problems: DataFrame, teachers: list[str], attempts: DataFrame, retry_errors: bool = True
 ) -> DataFrame:
-    """The same for every problem and teacher: each problem's text is shuffled once at most.
+    """Problems that some teacher has not answered yet, with those teachers as ``missing``.
 
-    The teachers that are done with a problem are a small set beside it, and only what is
-    missing is spread out.
+    The teachers that are done with a problem are a small set beside it, so each problem's text is
+    shuffled once at most.
     """
     done = attempts.where(F.col("ok")) if retry_errors else outcomes(attempts)
     by_problem = done.groupBy("idx").agg(F.collect_set("teacher").alias("_done"))
     missing = F.array_except(F.array(*map(F.lit, teachers)), F.coalesce("_done", F.array().cast("array<string>")))
-    return (
-        problems.join(by_problem, "idx", "left")
-        .select(*problems.columns, F.explode(missing).alias("teacher"))
-    )
+    beside = problems.join(by_problem, "idx", "left").select(*problems.columns, missing.alias("missing"))
+    return beside.where(F.size("missing") > 0)
+
+
+def pending_for(
+    problems: DataFrame, teachers: list[str], attempts: DataFrame, retry_errors: bool = True
+) -> DataFrame:
+    """Every problem and teacher that has no outcome yet; only what is missing is spread out."""
+    beside = missing_teachers(problems, teachers, attempts, retry_errors)
+    return beside.select(*problems.columns, F.explode("missing").alias("teacher"))

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stillhouse.config import BreakerConfig, EvalConfig, RetryConfig, TeacherConfig, TrainingConfig
+from stillhouse.functions.metrics import div
 from stillhouse.functions.prompts import CHAT, CHATML, GENERATION, ChatMarkup, PromptTemplate
 from stillhouse.operators import attempts as L
+from stillhouse.operators import breaker as stretches
 from stillhouse.operators import chat, grading, sampling
 from stillhouse.operators.completion import ATTEMPT_SCHEMA, ProviderFactory, complete
+from stillhouse.operators.ordered import with_position
 from stillhouse.sources.completions import COMPLETION_SCHEMA, read_completions, write_completions
 from stillhouse.sources.results import (
     EVALUATION_RESULT,
@@ -21,12 +24,14 @@ from stillhouse.sources.results import (
     ResultsDocument,
     training_records,
 )
-from stillhouse.sources.shared import remove
+from stillhouse.sources.shared import new_path, remove
 from stillhouse.sources.stats import stats_lines, write_stats
 
 
-#: Problems asked before the breaker looks at the log.
-ROUND_ROWS = 1_000
+#: Problems asked before the breaker looks at the calls: in the first round, so that a teacher that
+#: is down is noticed early, and at most. Each round is ten times the one before until then.
+FIRST_ROWS, ROUND_ROWS = 20, 1_000
+_GROWTH = 10
 
 
 def generate(
@@ -41,63 +46,121 @@ def generate(
     tasks: int | None = None,
     sleep: Callable[[float], None] = time.sleep,
     round_rows: int = ROUND_ROWS,
+    first_rows: int = FIRST_ROWS,
+    clock: Callable[[], float] = time.time,
 ) -> DataFrame:
     """Ask the teachers, keep completions and statistics, return the breaker's report.
 
-    Problems are asked in rounds of ``round_rows`` in the order of ``idx``. The calls of a round
-    are appended to ``root/attempts`` when it ends, so a failed job loses one round at most. The
-    breaker then looks at the calls of this job, and a teacher that it stops is asked no more. A
-    job that is started again asks only for what has no answer there yet.
+    Problems are asked in rounds in the order of ``idx``. What has to be asked is worked out once
+    and dealt to rounds. The calls of a round are appended to ``root/attempts`` when it ends, so a
+    failed job loses one round at most. The breaker's state after a round, a row per teacher, is
+    kept in ``root/breaker``; the next round adds its own calls to it and reads no others. A teacher
+    that the breaker stops is asked no more. A job that is started again asks only for what has no
+    answer in the log yet.
     """
     root = root.rstrip("/")
     log_path, out_path = f"{root}/attempts", f"{root}/completions"
     teachers = list(config.teachers)
-    asked = problems.select("idx", "question")
     log = _read_log(spark, log_path)
-    first = run = 0 if log is None else log.agg(F.coalesce(F.max("run"), F.lit(-1))).first()[0] + 1
-    active, upto = teachers, None
-    while active:
-        rest = asked if upto is None else asked.where(F.col("idx") > upto)
-        work = L.work_list(rest, active) if log is None else L.pending_for(rest, active, log)
-        lowest = work.select("idx").distinct().orderBy("idx").limit(round_rows)
-        upto = lowest.agg(F.max("idx")).first()[0]
-        if upto is None:
-            break
-        prompts = work.where(F.col("idx") <= upto).select(
-            "teacher", "idx", template.render(F.col("question")).alias("prompt")
+    run = 0 if log is None else log.agg(F.coalesce(F.max("run"), F.lit(-1))).first()[0] + 1
+    queue = new_path(spark, "queue")
+    rounds = _deal_rounds(spark, problems, teachers, log, queue, first_rows, round_rows)
+    active, state = teachers, None
+    for number in range(rounds):
+        asked = spark.read.parquet(f"{queue}/round={number}")
+        work = asked.select(
+            "idx", "question", F.explode(F.array_intersect("missing", F.array(*map(F.lit, active)))).alias("teacher")
         )
-        called = complete(prompts, providers, teachers, retry, tasks, sleep)
-        called.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(log_path)
+        if work.isEmpty():
+            continue
+        prompts = work.select("teacher", "idx", template.render(F.col("question")).alias("prompt"))
+        called = complete(prompts, providers, teachers, retry, tasks, sleep, clock)
+        own_path = f"{log_path}/run={run}"
+        called.write.mode("append").parquet(own_path)
+        own = L.outcomes(spark.read.schema(ATTEMPT_SCHEMA).parquet(own_path), retry)
+        state_path = f"{root}/breaker/run={run}"
+        stretches.advance(own, state, breaker).write.mode("overwrite").parquet(state_path)
+        state = spark.read.schema(stretches.STATE_SCHEMA).parquet(state_path)
         run += 1
-        log = _read_log(spark, log_path)
-        stopped = L.breaker_cuts(L.outcomes(log.where(F.col("run") >= first), retry), breaker)
         # One row per teacher at most.
-        tripped = {r["teacher"] for r in stopped.select("teacher").collect()}
+        tripped = {r["teacher"] for r in stretches.cuts(state).collect()}
         active = [t for t in active if t not in tripped]
+        if not active:
+            break
+    remove(spark, queue)
 
+    log = _read_log(spark, log_path)
     if log is None:
         log = spark.createDataFrame([], f"{ATTEMPT_SCHEMA}, run int")
     outcome = L.settled(log, retry)
-    kept = L.synthetic_answers(L.apply_breaker(outcome, breaker))
+    final_path = f"{root}/breaker/all"
+    stretches.advance(outcome, config=breaker).write.mode("overwrite").parquet(final_path)
+    final = spark.read.schema(stretches.STATE_SCHEMA).parquet(final_path)
+    kept = L.synthetic_answers(stretches.kept_rows(outcome, final))
     answered = kept.join(problems.select("idx", "question", "answer"), "idx")
     columns = [c.split()[0] for c in COMPLETION_SCHEMA.split(", ")]
     write_completions(answered.select(*columns), out_path)
 
     totals = L.totals_by_teacher(problems, teachers)
-    report = L.breaker_report(outcome, totals, breaker)
+    report = stretches.report(final, totals)
     minutes = L.generation_stats(log, totals, config, retry).select("teacher", "minutes")
     shown = report.join(minutes, "teacher").withColumn(
         "success_rate", 100 * F.col("successful") / F.col("total")
     )
     write_stats(stats_lines(shown, out_path), f"{root}/stats")
     # A teacher that keeps no row has none written, so what an earlier job kept has to go.
-    with_rows = {r["teacher"] for r in report.where("kept > 0").select("teacher").collect()}
+    with_rows = {r["teacher"] for r in final.where("kept > 0").select("teacher").collect()}
     for teacher in teachers:
         if teacher not in with_rows:
             remove(spark, f"{out_path}/teacher={teacher}")
     return report
 
 
+def _round_starts(rows: int, first_rows: int, round_rows: int) -> tuple[list[int], int]:
+    """Where the rounds that still grow begin, and the number of rounds for so many rows."""
+    starts, size = [0], min(first_rows, round_rows)
+    while size < round_rows:
+        starts.append(starts[-1] + size)
+        size = min(size * _GROWTH, round_rows)
+    growing = [s for s in starts if s < rows]
+    if len(growing) < len(starts):
+        return growing, len(growing)
+    return starts, len(starts) - 1 + -(-(rows - starts[-1]) // round_rows)
+
+
+def _deal_rounds(
+    spark: SparkSession,
+    problems: DataFrame,
+    teachers: list[str],
+    log: DataFrame | None,
+    path: str,
+    first_rows: int,
+    round_rows: int,
+) -> int:
+    """Write the problems that some teacher has to answer, one folder per round; returns their number.
+
+    Problem texts and the log are read here once, not per round.
+    """
+    asked = problems.select("idx", "question")
+    if log is None:
+        pending = asked.withColumn("missing", F.array(*map(F.lit, teachers)))
+    else:
+        pending = L.missing_teachers(asked, teachers, log)
+    placed = with_position(pending.withColumn("_all", F.lit(0)), ["_all"], "idx").drop("_all")
+    rows = placed.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).first()[0]
+    starts, rounds = _round_starts(rows, first_rows, round_rows)
+    if not rounds:
+        return 0
+    pos = F.col("pos")
+    number = F.lit(len(starts) - 1) + div(pos - starts[-1], round_rows)
+    for n in range(len(starts) - 2, -1, -1):
+        number = F.when(pos < starts[n + 1], n).otherwise(number)
+    dealt = placed.select("idx", "question", "missing", number.cast("int").alias("round"))
+    # Rows of a round come from few tasks as they lie next to each other; a round is a few files.
+    dealt.repartitionByRange("round", "idx").write.partitionBy("round").parquet(path)
+    return rounds
+
+
 def _read_log(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.schema(f"{ATTEMPT_SCHEMA}, run int").parquet(path)

@@ -350,6 +350,14 @@ ORACLE: dict[str, str] = {
             cast(sum(cast(correct as int)) over w as bigint) as correct_so_far,
             count(*) over w as total_so_far
           from graded window w as (partition by teacher order by idx))""",
+    "running_accuracy_sparse": _graded()
+    + """
+    select teacher, idx * 10007 + idx * idx % 5003 as idx, correct, correct_so_far, total_so_far,
+      correct_so_far / total_so_far * 100 as accuracy_pct
+    from (select teacher, idx, correct,
+            cast(sum(cast(correct as int)) over w as bigint) as correct_so_far,
+            count(*) over w as total_so_far
+          from graded window w as (partition by teacher order by idx))""",
     "sample_first5": _graded()
     + """
     select teacher, idx, question, ground_truth, predicted, left(response, 500) as full_response, correct
@@ -486,6 +494,7 @@ ORACLE: dict[str, str] = {
     "error_runs": _with("outcomes", extra={"runs": RUNS})
     + "select *, run_rows >= 10 as trips from runs",
     "circuit_breaker": _breaker() + _REPORT,
+    "breaker_by_rounds": _breaker() + _REPORT,
     "completion_breaker": _breaker() + _REPORT,
     "generate_rounds": _breaker() + _REPORT,
     "circuit_breaker_rows": _breaker()
@@ -531,6 +540,7 @@ ORACLE: dict[str, str] = {
       from graded join predictions using (teacher, idx)
       join (select idx, question from test) using (idx)) s using (teacher)
     where n <= 5""",
+    "results_format": "",
     "training_log": _with(
         "completions",
         "test",
@@ -560,6 +570,19 @@ ORACLE: dict[str, str] = {
     from runs join accuracy using (teacher),
       (select min(o_orderdate) as first_day, max(o_orderdate) as last_day from orders)""",
     "stream_accuracy": _accuracy() + "select * from accuracy",
+    "bucketed_grading": _accuracy() + "select * from accuracy",
+    "bucketed_pending": _with("outcomes", "train")
+    + """
+    select idx, question, v.teacher from train, (values ('gpt'), ('deepseek'), ('gemini')) v(teacher)
+    where not exists (select 1 from outcomes o where o.ok and o.idx = train.idx and o.teacher = v.teacher)""",
+    "stream_breaker": _breaker() + _REPORT,
+    # a second answer, where there is one, decides: right for an even idx
+    "stream_corrections": _graded()
+    + f"""
+    select teacher, correct, total, {_round("correct / total", 4)} as accuracy
+    from (select teacher, count(*) as total,
+            count(*) filter (where case when idx % 7 = 3 then idx % 2 = 0 else correct end) as correct
+          from graded group by teacher)""",
     "stream_errors": _with("outcomes")
     + """
     select teacher, count(*) as processed, count(*) filter (where not ok) as errors
@@ -575,3 +598,4 @@ ORACLE: dict[str, str] = {
     "style_profile_teachers": _with("completions")
     + _profile("synthetic_answer", "teacher", "completions"),
 }
+ORACLE["results_format"] = ORACLE["results_document"]

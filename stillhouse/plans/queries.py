@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stillhouse import fixed
 from stillhouse.config import TeacherConfig, TrainingConfig
@@ -15,14 +16,18 @@ from stillhouse.functions import prompts as P
 from stillhouse.functions import text as X
 from stillhouse.operators import attempts as L
 from stillhouse.operators import chat, grading, sampling
+from stillhouse.operators import breaker
 from stillhouse.operators.completion import Provider, Request, complete
+from stillhouse.operators.ordered import spread_of
 from stillhouse.operators.profile import style_profile as profile_of
 from stillhouse.operators.upsert import concat, upsert
 from stillhouse.plans import jobs
 from stillhouse.sources import completions as store
+from stillhouse.sources import keyed
 from stillhouse.sources import problems as sets
 from stillhouse.sources import stats as texts
 from stillhouse.sources import tables as t
+from stillhouse.sources.bucketed import BucketedStore
 from stillhouse.sources.results import (
     EVALUATION_RESULT,
     ResultsDocument,
@@ -30,6 +35,7 @@ from stillhouse.sources.results import (
 )
 from stillhouse.sources.shared import new_path
 from stillhouse.streaming.live import keep_results, live_accuracy, live_errors
+from stillhouse.streaming.stateful import keep_corrected, live_breaker, own_state, verdict_changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,7 +148,21 @@ def accuracy_notebook_variant(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def running_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    return grading.running_accuracy(_graded(spark, sf))
+    predictions = t.predictions(spark, sf)
+    spread = spread_of(predictions, ["teacher"], "idx")
+    return grading.running_accuracy(grading.grade(predictions, _test(spark, sf)), spread)
+
+
+#: Distance of neighbouring test problems, and how far they are off it at most, for ``idx`` with gaps.
+GAP, SHIFT = 10_007, 5_003
+
+
+@query
+def running_accuracy_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    """Running accuracy over an ``idx`` with large, uneven gaps."""
+    apart = (F.col("idx") * GAP + F.col("idx") * F.col("idx") % SHIFT).alias("idx")
+    graded = _graded(spark, sf).select("teacher", apart, "correct")
+    return grading.running_accuracy(graded)
 
 
 @query
@@ -361,6 +381,24 @@ def circuit_breaker(spark: SparkSession, sf: str) -> DataFrame:
     return L.breaker_report(_outcomes(spark, sf), _totals(spark, sf))
 
 
+#: Rounds over which the query deals the log.
+BREAKER_ROUNDS = 4
+
+
+@query
+def breaker_by_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """The breaker's report with its state carried through rounds that see only their own calls."""
+    outcome = _outcomes(spark, sf)
+    folder, state = new_path(spark, "breaker"), None
+    last = _train(spark, sf).agg(F.max("idx")).first()[0] or 0
+    for n in range(BREAKER_ROUNDS):
+        low, high = (last + 1) * n // BREAKER_ROUNDS, (last + 1) * (n + 1) // BREAKER_ROUNDS
+        own = outcome.where((F.col("idx") >= low) & (F.col("idx") < high))
+        breaker.advance(own, state).write.parquet(f"{folder}/round={n}")
+        state = spark.read.schema(breaker.STATE_SCHEMA).parquet(f"{folder}/round={n}")
+    return breaker.report(state, _totals(spark, sf))
+
+
 @query
 def circuit_breaker_rows(spark: SparkSession, sf: str) -> DataFrame:
     kept = L.apply_breaker(_outcomes(spark, sf))
@@ -493,7 +531,22 @@ def results_document(spark: SparkSession, sf: str) -> DataFrame:
         chosen = grading.select_models(predictions, labels)
         graded = grading.grade(chosen, test)
         document.upsert(grading.evaluation_results(graded, grading.sample_rows(chosen, test)))
-    results = document.read()
+    return _flat_results(document.read())
+
+
+@query
+def results_format(spark: SparkSession, sf: str) -> DataFrame:
+    """Nested results written through the format in two steps, base first, and read back by it."""
+    test, predictions = _test(spark, sf), t.predictions(spark, sf)
+    path = new_path(spark, "keyed")
+    for labels in (TEACHERS.for_evaluation("base"), MODELS):
+        chosen = grading.select_models(predictions, labels)
+        samples = grading.sample_rows(chosen, test)
+        keyed.upsert_results(grading.evaluation_results(grading.grade(chosen, test), samples), path)
+    return _flat_results(keyed.read_results(spark, path))
+
+
+def _flat_results(results: DataFrame) -> DataFrame:
     return results.select(
         "teacher", "accuracy", "correct", "total", F.posexplode("sample_predictions")
     ).select(
@@ -539,10 +592,46 @@ def _stream(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.readStream.schema(t.SCHEMAS[table]).parquet(f"{sf}/{table}[.]parquet")
 
 
+#: Buckets of the stores that the queries write.
+BUCKETS = 8
+
+
+def _store(spark: SparkSession, name: str) -> BucketedStore:
+    return BucketedStore(spark, new_path(spark, name), BUCKETS)
+
+
+def _stored_truth(spark: SparkSession, sf: str) -> DataFrame:
+    """True answers written once; micro-batches read them in buckets."""
+    store = _store(spark, "truth")
+    store.write("truth", grading.true_answers(t.problems_of(spark, sf, "test")))
+    return store.read("truth").hint(BOTH_LARGE)
+
+
+@query
+def bucketed_grading(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy from responses and true answers that were stored in buckets."""
+    store = _store(spark, "graded")
+    store.write("truth", grading.true_answers(t.problems_of(spark, sf, "test")))
+    store.write("responses", t.predictions(spark, sf))
+    truth = store.read("truth").hint(BOTH_LARGE)
+    return grading.accuracy_by_teacher(grading.grade_against(store.read("responses"), truth))
+
+
+@query
+def bucketed_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Work still to do from problems and a log stored in buckets, the log in two appends."""
+    store, log = _store(spark, "resumed"), t.attempts(spark, sf)
+    store.write("problems", t.problems_of(spark, sf, "train").select("idx", "question"))
+    for early in (True, False):
+        store.write("log", log.where((F.col("attempt") == 0) == early), "append")
+    return L.pending_for(store.read("problems").hint(BOTH_LARGE), ASKED, store.read("log"))
+
+
 @query
 def stream_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions as a stream, each model's figures replaced in the document as they grow."""
-    live = live_accuracy(t.predictions_of(_stream(spark, sf, "events")), _test(spark, sf))
+    truth = _stored_truth(spark, sf)
+    live = live_accuracy(t.predictions_of(_stream(spark, sf, "events")), truth)
     document = ResultsDocument(spark, new_path(spark, "live"), live.schema)
     keep_results(live, document, new_path(spark, "live-state")).awaitTermination()
     return document.read()
@@ -558,6 +647,32 @@ def stream_errors(spark: SparkSession, sf: str) -> DataFrame:
     return document.read()
 
 
+@query
+def stream_breaker(spark: SparkSession, sf: str) -> DataFrame:
+    """The breaker's report kept while calls arrive, rows of each teacher judged in their order."""
+    calls = t.attempts_of(t.train_problems(_stream(spark, sf, "orders")))
+    live = live_breaker(L.outcomes(calls))
+    document = ResultsDocument(spark, new_path(spark, "live-breaker"), live.schema)
+    with own_state(spark):
+        query = keep_results(live, document, new_path(spark, "live-breaker-state"))
+    query.awaitTermination()
+    return breaker.report(document.read(), _totals(spark, sf))
+
+
+@query
+def stream_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """Accuracy over the last answer to each problem, while answers and corrections arrive."""
+    given = t.predictions_of(_stream(spark, sf, "events"), corrected=True)
+    graded = grading.grade_against(given, _stored_truth(spark, sf), keep=["seq"])
+    schema = "teacher string, correct bigint, total bigint, accuracy double"
+    document = ResultsDocument(spark, new_path(spark, "corrected"), T.StructType.fromDDL(schema))
+    folder = new_path(spark, "corrections")
+    with own_state(spark):
+        query = keep_corrected(verdict_changes(graded), folder, document, new_path(spark, "corrections-state"))
+    query.awaitTermination()
+    return document.read()
+
+
 # --- texts ---------------------------------------------------------------------------------
 
 

@@ -93,8 +93,12 @@ def problems_of(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
     return test_problems(load(spark, sf_dir, "events"))
 
 
-def predictions_of(events: DataFrame) -> DataFrame:
-    """Five models answering every test problem in five styles, each wrong at its own rate."""
+def predictions_of(events: DataFrame, corrected: bool = False) -> DataFrame:
+    """Five models answering every test problem in five styles, each wrong at its own rate.
+
+    With ``corrected`` there is a column ``seq``, and one problem in seven is answered twice: the
+    second answer is right where ``idx`` is even and wrong elsewhere.
+    """
     models = ", ".join(
         f"struct('{name}' as teacher, {factor}L as factor, {modulus}L as modulus)"
         for name, factor, modulus in MODELS
@@ -103,16 +107,19 @@ def predictions_of(events: DataFrame) -> DataFrame:
         "event_id as idx",
         "(1 + event_id % 50) * (1 + user_id % 97) as total",
         f"inline(array({models}))",
-    ).selectExpr(
-        "teacher", "idx", "total + if((idx div 7) * factor % modulus = 0, 1, 0) as given"
     )
+    off, seq = "if((idx div 7) * factor % modulus = 0, 1, 0)", []
+    if corrected:
+        given = given.selectExpr("*", "explode(sequence(0L, if(idx % 7 = 3, 1L, 0L))) as seq")
+        off, seq = f"if(seq = 1, idx % 2, {off})", ["seq"]
+    given = given.selectExpr("teacher", "idx", f"total + {off} as given", *seq)
     response = rf"""case idx % 5
         when 0 then concat('Work shown.\n#### ', {_grouped("given")})
         when 1 then concat('So the answer is ', given, '.')
         when 2 then concat('total = ', given, '\n')
         when 3 then concat('It comes to ', given, ' dollars')
         else concat('#### $', given, '.00') end as response"""
-    return given.selectExpr("teacher", "idx", response)
+    return given.selectExpr("teacher", "idx", response, *seq)
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,13 +12,18 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stillhouse.config import RetryConfig
 from stillhouse.functions.retry import is_final
-from stillhouse.operators.grading import accuracy_by_teacher, grade
+from stillhouse.operators.grading import accuracy_by_teacher, grade_against
 from stillhouse.sources.results import ResultsDocument
 
 
-def live_accuracy(prediction_stream: DataFrame, problems: DataFrame) -> DataFrame:
-    """Streaming accuracy per model; each micro-batch is joined to the static problem set."""
-    return accuracy_by_teacher(grade(prediction_stream, problems))
+def live_accuracy(prediction_stream: DataFrame, truth: DataFrame) -> DataFrame:
+    """Streaming accuracy per model; each micro-batch is joined to the true answers.
+
+    ``truth`` comes from :func:`~stillhouse.operators.grading.true_answers` and is read in every
+    micro-batch: write it before, best to a :class:`~stillhouse.sources.bucketed.BucketedStore`, so
+    that neither the problems' texts are read nor the answers dealt out again.
+    """
+    return accuracy_by_teacher(grade_against(prediction_stream, truth))
 
 
 def live_errors(attempt_stream: DataFrame, retry: RetryConfig = RetryConfig()) -> DataFrame:

@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stillhouse.config import RetryConfig
+from stillhouse.config import BreakerConfig, RetryConfig
 from stillhouse.functions.retry import backoff_seconds, is_rate_limit
 from stillhouse.operators import attempts as L
+from stillhouse.operators import breaker
 
 
 def _sequence(rng):
@@ -46,9 +47,9 @@ def outcome(spark, sequences):
     return spark.createDataFrame(rows, "teacher string, idx bigint, ok boolean").cache()
 
 
-@pytest.mark.parametrize("run_block", [10_000, 100, 16])
-def test_breaker_like_row_loop(spark, outcome, sequences, monkeypatch, run_block):
-    monkeypatch.setattr(L, "_RUN_BLOCK", run_block)
+@pytest.mark.parametrize("blocks", [40, 1, 2])
+def test_breaker_like_row_loop(spark, outcome, sequences, monkeypatch, blocks):
+    monkeypatch.setattr(breaker, "STRETCH_BLOCKS", blocks)
     totals = spark.createDataFrame([(t, 350) for t in sequences], "teacher string, total bigint")
     got = {
         r["teacher"]: (r["kept"], r["processed"], r["errors"], r["stop_reason"])
@@ -77,6 +78,46 @@ def test_gaps_in_idx_make_no_difference(spark, outcome, sequences):
     assert {tuple(r) for r in L.error_rate_blocks(sparse).collect()} == blocks
 
 
+@pytest.mark.parametrize("cuts", [(5, 9, 14, 100), (95, 103, 104, 207, 350), (1, 2, 349)])
+def test_breaker_carried_through_rounds(spark, outcome, sequences, tmp_path, cuts):
+    """Rounds that end anywhere, each with its own rows and the state of the one before."""
+    low, state = 0, None
+    for n, high in enumerate((*cuts, 400)):
+        path = str(tmp_path / f"{n}")
+        own = outcome.where((F.col("idx") >= low) & (F.col("idx") < high))
+        breaker.advance(own, state).write.parquet(path)
+        state, low = spark.read.schema(breaker.STATE_SCHEMA).parquet(path), high
+        assert state.count() == len(sequences)
+    totals = spark.createDataFrame([(t, 350) for t in sequences], "teacher string, total bigint")
+    got = {
+        r["teacher"]: (r["kept"], r["processed"], r["errors"], r["stop_reason"])
+        for r in breaker.report(state, totals).collect()
+    }
+    assert got == {t: _stop(good) for t, good in sequences.items()}
+
+
+@pytest.mark.parametrize("reach, block", [(1, 10), (3, 7), (25, 10), (130, 100)])
+def test_breaker_settings(spark, outcome, sequences, monkeypatch, reach, block):
+    """Runs longer than a block and than a stretch, and runs of one."""
+    monkeypatch.setattr(breaker, "STRETCH_BLOCKS", 2)
+    config = BreakerConfig(max_consecutive=reach, block_rows=block, block_error_rate=0.9)
+    dead = [("dead", i, i < 40) for i in range(350)]
+    frame = outcome.unionByName(spark.createDataFrame(dead, outcome.schema))
+    want = {}
+    for teacher, good in {**sequences, "dead": [ok for *_, ok in dead]}.items():
+        run, want[teacher] = 0, None
+        for i, ok in enumerate(good):
+            run = 0 if ok else run + 1
+            if run == reach:
+                want[teacher] = (i, 0)
+            elif i % block == block - 1 and good[i - block + 1 : i + 1].count(False) / block > 0.9:
+                want[teacher] = (i, 1)
+            if want[teacher]:
+                break
+    got = {r["teacher"]: (r["trip_idx"], r["keeps"]) for r in L.breaker_cuts(frame, config).collect()}
+    assert got == {t: w for t, w in want.items() if w}
+
+
 def _counts(frame):
     return frame.groupBy("teacher").agg(F.count("*").alias("n")).collect()
 

@@ -54,7 +54,8 @@ def test_generate_resume_and_train(spark, problems, tmp_path):
         "gpt": ("finished", 120, 1), "deepseek": ("finished", 120, 0), "gemini": ("finished", 120, 0),
     }
     log = spark.read.parquet(f"{root}/attempts")
-    assert log.where("run = 1").select("teacher", "idx").distinct().count() == 31
+    # the first job had a round of 20 problems and one of the rest
+    assert log.where("run >= 2").select("teacher", "idx").distinct().count() == 31
 
     out = str(tmp_path / "text")
     jobs.training_text(spark, problems, f"{root}/completions", out)
@@ -99,7 +100,7 @@ def test_failed_job_keeps_earlier_rounds(spark, problems, tmp_path):
     teachers = {name: breaking(name) for name in ("gpt", "deepseek", "gemini")}
     (tmp_path / "gen" / "attempts").mkdir(parents=True)  # an empty log is no log
     with pytest.raises(Exception):
-        jobs.generate(spark, problems, teachers, root, tasks=4, round_rows=40)
+        jobs.generate(spark, problems, teachers, root, tasks=4, round_rows=40, first_rows=40)
     assert _asked(spark, root) == dict.fromkeys(teachers, 40)
     marker.unlink()
     report = jobs.generate(spark, problems, teachers, root, tasks=4, round_rows=40)
@@ -110,6 +111,45 @@ def test_failed_job_keeps_earlier_rounds(spark, problems, tmp_path):
     assert minutes < 1
 
 
+def test_a_round_reads_only_its_own_calls(spark, problems, tmp_path, monkeypatch):
+    """State is carried; the log of earlier rounds is not read again."""
+    seen = []
+
+    def watched(outcome, state=None, config=None):
+        seen.append(outcome.select("idx").distinct().count())
+        return advance(outcome, state, config)
+
+    advance = jobs.stretches.advance
+    monkeypatch.setattr(jobs.stretches, "advance", watched)
+    root = str(tmp_path / "gen")
+    report = jobs.generate(
+        spark, problems, _teachers(set()), root, sleep=lambda _s: None, round_rows=50, first_rows=5
+    )
+    assert {r["kept"] for r in report.collect()} == {120}
+    assert seen == [5, 50, 50, 15, 120]
+    states = spark.read.parquet(f"{root}/breaker/run=2")
+    assert {(r["teacher"], r["rows"]) for r in states.collect()} == {(t, 105) for t in _teachers(set())}
+
+
+def test_a_dead_teacher_costs_a_small_round(spark, problems, tmp_path):
+    root = str(tmp_path / "gen")
+    dead = {("gemini", i) for i in range(120)}
+    jobs.generate(spark, problems, _teachers(dead), root, sleep=lambda _s: None)
+    assert _asked(spark, root) == {"gpt": 120, "deepseek": 120, "gemini": jobs.FIRST_ROWS}
+
+
+@pytest.mark.parametrize("rows", [0, 1, 19, 20, 21, 219, 220, 221, 1220, 5000])
+def test_round_starts(rows):
+    starts, rounds = jobs._round_starts(rows, 20, 1000)
+    sizes, left = [], rows
+    for size in [20, 200, *[1000] * 10]:
+        if left > 0:
+            sizes.append(min(size, left))
+            left -= size
+    assert rounds == len(sizes)
+    assert starts == [0, 20, 220][: max(len(sizes), 0)] if rows <= 220 else starts == [0, 20, 220]
+
+
 def test_one_variant_leaves_the_others(spark, problems, tmp_path):
     root, out = str(tmp_path / "gen"), str(tmp_path / "text")
     jobs.generate(spark, problems, _teachers(set()), root)

@@ -12,9 +12,16 @@ from stillhouse.sources import tables
 #: these act while they are built (they write, or run a stream), their frame is only the reading
 _ACTING = {
     "stats_scan",
+    "breaker_by_rounds",
+    "bucketed_grading",
+    "bucketed_pending",
+    "stream_breaker",
+    "stream_corrections",
+    "generate_rounds",
     "problem_store",
     "completion_store",
     "results_document",
+    "results_format",
     "training_log",
     "stream_accuracy",
     "stream_errors",
