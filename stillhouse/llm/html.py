@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import textwrap
+from bisect import bisect_left
 from collections.abc import Iterator
 from html import unescape
-from itertools import chain
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ CHOICES = frozenset("select option optgroup".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl blockquote pre figure table hr fieldset".split())
 BLOCKS = SPACED | frozenset(
     "html body address article aside center details dialog dd dir div dt figcaption footer form header hgroup li "
-    "legend listing main nav optgroup option search section summary caption thead tbody tfoot tr td th".split()
+    "legend listing main nav plaintext optgroup option search section summary caption thead tbody tfoot tr td th".split()
 )
 CLOSES_P = BLOCKS - frozenset("html body option optgroup legend caption thead tbody tfoot tr td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -41,6 +42,9 @@ IN_HEAD = frozenset("base link meta title script style template noscript".split(
 
 #: Open elements beyond which further ones are put side by side, as browsers do.
 MAX_DEPTH = 512
+_LITERAL = frozenset("pre listing plaintext textarea".split())
+#: Open elements up to which they are looked through one by one.
+_FEW = 64
 #: Longest line of a table's cell.
 CELL_WIDTH = 80
 
@@ -49,7 +53,7 @@ CELL_WIDTH = 80
 _VALUE = r"""(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+))"""
 _NAMED = rf"[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+{_VALUE}?+)?+"
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)
+    rf"""<!--(?:-?>|.*?(?:--!?>|\Z))
       | <(?P<start>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[ \t\n\r\f/]|{_NAMED})*+)(?:>|\Z)
       | </(?P<end>[a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)
       | <[!?/][^>]*(?:>|\Z)""",
@@ -59,7 +63,14 @@ _ATTRIBUTE = re.compile(rf"(?=([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)){_NAMED}")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW | {"title", "textarea"}}
 _FOREIGN = re.compile("<(?:svg|math)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-_HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden", re.I)
+_INTEGER = re.compile(r"\s*([+-]?\d{1,9})")
+# Declarations of a style that decide on what is seen, and their values.
+_DISPLAYS = frozenset(
+    "none block inline inline-block flex inline-flex grid inline-grid flow-root contents list-item ruby math "
+    "table inline-table table-row table-cell table-caption table-row-group table-header-group table-footer-group "
+    "table-column table-column-group -webkit-box -webkit-flex initial inherit unset revert".split()
+)
+_VISIBILITIES = {"visible": True, "hidden": False, "collapse": False, "initial": True, "inherit": None, "unset": None, "revert": None}
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -76,8 +87,42 @@ def _number(text: str | None, default: int, most: int) -> int:
         return default
 
 
+def _integer(text: str | None, default: int) -> int:
+    match = _INTEGER.match(text or "")
+    return int(match[1]) if match else default
+
+
+def _declared(style: str) -> dict[str, str]:
+    """Value of each property that counts: the last one with ``!important``, else the last one."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in style.split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        weighty = value.endswith("!important")
+        value = value.removesuffix("!important").strip()
+        known = value in _DISPLAYS if name == "display" else value in _VISIBILITIES if name == "visibility" else True
+        if known and (weighty or not found.get(name, (False, ""))[0]):
+            found[name] = weighty, value
+    return {name: value for name, (_, value) in found.items()}
+
+
 def _hides(tag: str, found: dict[str, str]) -> bool:
-    return tag in UNSEEN or bool(found) and ("hidden" in found or bool(_HIDES.search(found.get("style", ""))))
+    """Whether an element isn't displayed, with all it holds."""
+    if tag in UNSEEN:
+        return True
+    if not found:
+        return False
+    style = _declared(found["style"]) if found.get("style") else {}
+    display = style.get("display")
+    if display == "none" or style.get("content-visibility") == "hidden":
+        return True
+    return "hidden" in found and display in (None, "revert")
+
+
+def _shows(found: dict[str, str]) -> bool | None:
+    """Whether an element's own style makes it visible or not; None leaves it to what is around it."""
+    style = found.get("style")
+    return _VISIBILITIES.get(_declared(style).get("visibility", "inherit")) if style else None
 
 
 class Tree:
@@ -89,24 +134,32 @@ class Tree:
     def __init__(self, page: str):
         self._page = page
         self._open: list[str] = []
+        #: Depths at which each tag is open.
+        self._depths: dict[str, list[int]] = {}
         self._foreign = bool(_FOREIGN.search(page))
         #: Places of the open elements beyond MAX_DEPTH that the reader holds open too.
         self._kept: list[int] = []
 
     def _until(self, wanted: frozenset[str], walls: frozenset[str]) -> int | None:
         """Depth of the innermost open element in ``wanted`` that no wall stands before."""
-        n = len(self._open)
-        # Of very many open elements the innermost and the outermost are looked at.
-        for depth in chain(range(n - 1, max(n - 1 - MAX_DEPTH, -1), -1), range(min(n - MAX_DEPTH, MAX_DEPTH) - 1, -1, -1)):
-            if self._open[depth] in wanted:
-                return depth
-            if self._open[depth] in walls:
-                return None
-        return None
+        if len(self._open) < _FEW:
+            for depth in range(len(self._open) - 1, -1, -1):
+                if self._open[depth] in wanted:
+                    return depth
+                if self._open[depth] in walls:
+                    return None
+            return None
+        found, wall = (max((self._depths[t][-1] for t in tags if self._depths.get(t)), default=-1) for tags in (wanted, walls))
+        return found if found >= 0 and found >= wall else None
+
+    def _push(self, tag: str) -> None:
+        self._depths.setdefault(tag, []).append(len(self._open))
+        self._open.append(tag)
 
     def _close(self, depth: int | None) -> Iterator[tuple[int, str, str]]:
         while depth is not None and len(self._open) > depth:
             tag, at = self._open.pop(), len(self._open)
+            self._depths[tag].pop()
             if at < MAX_DEPTH or self._kept[-1:] == [at]:
                 if at >= MAX_DEPTH:
                     self._kept.pop()
@@ -118,7 +171,7 @@ class Tree:
     def _make_room(self, tag: str) -> Iterator[tuple[int, str, str]]:
         """End what ``tag`` ends and begin what it needs."""
         table = frozenset(["table"])
-        if "head" in self._open[:MAX_DEPTH] and tag not in IN_HEAD:
+        if self._depths.get("head") and tag not in IN_HEAD:
             yield from self._close(self._open.index("head"))
         if tag in ("select", "input", "textarea"):
             yield from self._close(self._until(frozenset(["select"]), CELLS))
@@ -139,7 +192,7 @@ class Tree:
         elif tag in CELLS:
             yield from self._close(self._until(CELLS | {"caption", "colgroup"}, table))
         if tag in CELLS and self._until(table, frozenset()) is not None and self._until(frozenset(["tr"]), table) is None:
-            self._open.append("tr")
+            self._push("tr")
             yield 1, "tr", ""
 
     def _leave(self, tag: str) -> Iterator[tuple[int, str, str]]:
@@ -167,7 +220,7 @@ class Tree:
             stop = match.start() if match else len(page)
             if stop > at:
                 text = page[at:stop]
-                if "head" in self._open[:MAX_DEPTH] and not text.isspace():
+                if self._depths.get("head") and not text.isspace():
                     yield from self._close(self._open.index("head"))
                 yield 0, "", unescape(text) if "&" in text else text
             if match is None:
@@ -179,7 +232,7 @@ class Tree:
             elif start:
                 tag = start.lower()
                 if tag in ("html", "body"):
-                    if "head" in self._open[:MAX_DEPTH]:
+                    if self._depths.get("head"):
                         yield from self._close(self._open.index("head"))
                     continue
                 foreign = self._until(FOREIGN, _HTML_AGAIN) if self._foreign else None
@@ -191,6 +244,10 @@ class Tree:
                 yield 1, name, match["attributes"]
                 if tag in VOID or foreign is not None and match["attributes"].endswith("/"):
                     yield -1, name, ""
+                elif tag == "plaintext":
+                    yield 0, "", page[at:]
+                    at = len(page)
+                    yield -1, name, ""
                 elif tag in _RAW_END:
                     ends = _RAW_END[tag].search(page, at)
                     stop = ends.start() if ends else len(page)
@@ -201,12 +258,13 @@ class Tree:
                 else:
                     if len(self._open) >= MAX_DEPTH:
                         # Over for the reader at once, unless it decides on what is seen inside.
-                        keeps = tag != "head" and (name in CHOICES | {"details", "summary"} or _hides(name, _attributes(match["attributes"])))
-                        if keeps and len(self._kept) < MAX_DEPTH:
+                        found = _attributes(match["attributes"])
+                        keeps = tag != "head" and (name in CHOICES | {"details", "summary"} or _hides(name, found) or _shows(found) is not None)
+                        if keeps:
                             self._kept.append(len(self._open))
                         else:
                             yield -1, name, ""
-                    self._open.append(name)
+                    self._push(name)
         yield from self._close(0)
 
 
@@ -310,34 +368,39 @@ class _Table:
         """Rows with columns of one width; a cell over several columns may use their room."""
         self.finish()
         placed: list[list[tuple[int, int, list[str]]]] = []
-        taken: dict[int, int] = {}
-        for row in self.rows:
-            at, line = 0, []
+        # Cells that reach into further rows: first column, the one after the last, last row.
+        tall: list[tuple[int, int, int]] = []
+        for number, row in enumerate(self.rows):
+            at, line, new = 0, [], []
+            tall = [t for t in tall if t[2] >= number] if row else tall
+            over = iter(tall)
+            next_tall = next(over, None)
             for across, down, lines in row:
-                while taken.get(at, 0):
-                    at += 1
+                while next_tall is not None and next_tall[0] <= at:
+                    at = max(at, next_tall[1])
+                    next_tall = next(over, None)
                 line.append((at, across, lines))
-                for k in range(at, at + across):
-                    taken[k] = max(taken.get(k, 0), down)
+                if down > 1:
+                    new.append((at, at + across, number + down - 1))
                 at += across
             placed.append(line)
-            taken = {k: n - 1 for k, n in taken.items() if n > 1}
+            if new:
+                tall = sorted(tall + new)
+        # Only columns with a cell of their own have a width.
         width: dict[int, int] = {}
         for line in placed:
             for at, across, lines in line:
                 if across == 1:
                     width[at] = max(width.get(at, 0), *map(len, lines or [""]))
-        begin, x = {}, 0
-        for at in range(max((a + n for line in placed for a, n, _ in line), default=0) + 1):
-            begin[at] = x
-            x += width.get(at, 0) + 2 * (at in width)
+        columns = sorted(width)
+        lefts = [0, *accumulate(width[c] + 2 for c in columns)]
         out = []
         for line in placed:
             for k in range(max((len(lines) for _, _, lines in line), default=0)):
                 text = ""
                 for at, _, lines in line:
                     if k < len(lines) and lines[k]:
-                        text = text.ljust(begin[at])
+                        text = text.ljust(lefts[bisect_left(columns, at)])
                         text += ("  " if text and not text.endswith(" ") else "") + lines[k]
                 out.append(text.rstrip())
         return out
@@ -348,8 +411,9 @@ def render(page: str) -> tuple[str, str]:
 
     Hidden are: the head, scripts, styles, templates, embedded objects, what svg and math define
     or annotate without drawing it, all but the chosen or first option of a select (a list box
-    shows all), elements with ``hidden`` or a style that hides them, and closed details but for their summary. Blocks
-    begin and end lines; paragraphs, headings, lists, quotes and tables have a blank line around
+    shows all), elements with ``hidden`` or a style that doesn't display them, and closed details but for their
+    summary. Of a style the last declaration counts. What ``visibility`` hides keeps its place; elements in it
+    that are visible again are shown. Blocks begin and end lines; paragraphs, headings, lists, quotes and tables have a blank line around
     them; white space is collapsed outside ``pre``. List items have a bullet or number and a
     hanging indent; table cells are aligned in columns, long ones broken at 80 characters.
     """
@@ -358,16 +422,19 @@ def render(page: str) -> tuple[str, str]:
     sheets: list[_Sheet] = []
     tables: list[_Table] = []
     counters: list[int | None] = []
-    open_: list[tuple[str, bool, bool]] = []  # tag, whether it hides, whether it indents
-    unseen = literal = 0
+    # Tag, whether it hides, whether it indents, whether what is around it is visible, whether it is a summary shown.
+    open_: list[tuple[str, bool, bool, bool, bool]] = []
+    unseen = literal = drawings = 0
+    visible = True
     closed: list[int] = []  # depth of closed details
+    summaries = 0  # open summaries of closed details
     in_title = False
     select: _Select | None = None
     for step, tag, text in Tree(page):
         if step == 0:
             if in_title:
                 title.append(text)
-            elif unseen or closed and not any(t == "summary" for t, _, _ in open_[closed[0] + 1 :]):
+            elif unseen or not visible or closed and not summaries:
                 continue
             elif select is not None:
                 select.words(text)
@@ -383,9 +450,14 @@ def render(page: str) -> tuple[str, str]:
                 found = _attributes(text)
             hides = _hides(tag, found)
             if tag == "title":
-                in_title = not title and "svg" not in [t for t, _, _ in open_]
+                in_title = not title and not drawings
                 hides = True
             unseen += hides
+            drawings += tag == "svg"
+            around, shows = visible, _shows(found)
+            visible = around if shows is None else shows
+            shown_summary = tag == "summary" and bool(closed)
+            summaries += shown_summary
             indents = False
             if not unseen and (select is not None or tag == "select"):
                 if tag == "select":
@@ -402,9 +474,9 @@ def render(page: str) -> tuple[str, str]:
                 elif tag == "hr":
                     sheet.gap()
                 elif tag == "img" and found.get("alt"):
-                    sheet.words(found["alt"])
+                    sheet.words(found["alt"] if visible else "")
                 elif tag in ("input", "button") and found.get("type", "").lower() in ("submit", "button", "reset"):
-                    sheet.words(found.get("value", ""))
+                    sheet.words(found.get("value", "") if visible else "")
                 elif tag == "table":
                     sheet.gap()
                     tables.append(_Table())
@@ -421,29 +493,34 @@ def render(page: str) -> tuple[str, str]:
                 elif tag in BLOCKS:
                     sheet.end_line()
                 if tag in LISTS:
-                    counters.append(_number(found.get("start"), 1, 10**9) if tag == "ol" else None)
+                    counters.append(_integer(found.get("start"), 1) if tag == "ol" else None)
                 elif tag == "li":
                     number = counters[-1] if counters else None
                     if number is not None:
+                        number = _integer(found.get("value"), number)
                         counters[-1] = number + 1
                     mark = "- " if number is None else f"{number}. "
                     if sheet.bullet is not None:
                         sheet.end_line(keep=True)
                     sheet.margin.append(" " * len(mark))
-                    sheet.bullet, indents = mark, True
+                    sheet.bullet, indents = mark if visible else None, True
                 elif tag in ("blockquote", "dd"):
                     sheet.margin.append("    " if tag == "dd" else "> ")
                     indents = True
-                elif tag in ("pre", "listing", "textarea"):
+                elif tag in _LITERAL:
                     literal += 1
                 elif tag == "details" and "open" not in found:
                     closed.append(len(open_))
-            open_.append((tag, hides, indents))
+            open_.append((tag, hides, indents, around, shown_summary))
         else:
-            tag, hides, indents = open_.pop()
+            tag, hides, indents, around, shown_summary = open_.pop()
             if closed and closed[-1] == len(open_):
                 closed.pop()
-            seen = not unseen
+            in_summary = bool(summaries)
+            summaries -= shown_summary
+            drawings -= tag == "svg"
+            seen, was_visible = not unseen, visible
+            visible = around
             unseen -= hides
             in_title = in_title and tag != "title"
             if not seen:
@@ -454,7 +531,7 @@ def render(page: str) -> tuple[str, str]:
                 elif tag == "optgroup":
                     select.off = False
                 elif tag == "select":
-                    if not closed or any(t == "summary" for t, _, _ in open_[closed[0] + 1 :]):
+                    if was_visible and (not closed or in_summary):
                         for k, line in enumerate(select.shown()):
                             if k:
                                 sheet.end_line()
@@ -483,7 +560,7 @@ def render(page: str) -> tuple[str, str]:
                     sheet.end_line(keep=True)
                 if sheet.margin:
                     sheet.margin.pop()
-            if tag in ("pre", "listing", "textarea"):
+            if tag in _LITERAL:
                 literal -= 1
     while sheets:
         sheet = sheets.pop()
