@@ -155,13 +155,34 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "docs"])
 
 
+def _by_content(ids: np.ndarray, known: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Order of documents by id, NULL first, and then by a digest of their bytes."""
+    by = np.lexsort((ids, known))
+    same = (ids[by][1:] == ids[by][:-1]) & (known[by][1:] == known[by][:-1])
+    for group in np.split(by, np.flatnonzero(~same) + 1) if same.any() else ():
+        if group.size > 1:
+            digests = [hashlib.sha256(data[offsets[k] : offsets[k + 1]]).digest() for k in group.tolist()]
+            group[:] = group[sorted(range(group.size), key=digests.__getitem__)]
+    return by
+
+
 class _Shard:
-    """Documents of a shard in slices, and the runs of windows with one smallest gram hash."""
+    """Documents of a shard in slices, and the runs of windows with one smallest gram hash.
+
+    They stand in the order of their ids, those of one id in the order of a digest, however they
+    were cut into blobs. What is numbered in a shard has the same number whenever it is read, also
+    if an executor was lost and rows came in another order.
+    """
 
     def __init__(self, blobs: list[bytes]):
-        parts = [_unpress(b, "<i8", "?", "<i8", "u1", "<i8", "u1") for b in sorted(blobs)]
-        self.ids, self.known, sizes, self.data, *self._more = (np.concatenate(x) for x in zip(*parts))
+        parts = [_unpress(b, "<i8", "?", "<i8", "u1", "<i8", "u1") for b in blobs]
+        ids, known, sizes, data, lengths, carried = (np.concatenate(x) for x in zip(*parts))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        by = _by_content(ids, known, data, offsets)
+        self.ids, self.known, sizes = ids[by], known[by], sizes[by]
+        self.data = spread(data, offsets, by)
         self.offsets = np.concatenate([[0], np.cumsum(sizes)])
+        self._more = lengths[by], spread(carried, np.concatenate([[0], np.cumsum(lengths)]), by)
         #: A NULL id comes before all others.
         self.order_ids = np.where(self.known, self.ids, _FIRST)
 
