@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -54,8 +54,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, rows: int, parts: int)
                 right.append(key[parts:].tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (counts, d1, d2)),
-             pa.array(left, pa.binary()), pa.array(right, pa.binary())],
-            names=["doc_id", "n_shingles", "d1", "d2", "left", "right"],
+             pa.array(left, pa.binary()), pa.array(right, pa.binary()), *batch.columns[2:]],
+            names=["doc_id", "n_shingles", "d1", "d2", "left", "right", *batch.schema.names[2:]],
         )
 
 
@@ -153,6 +153,7 @@ def near_groups(
     share: int = 80,
     rows: int = ROWS,
     parts: int = PARTS,
+    more: Sequence[str] = (),
 ) -> DataFrame:
     """Components of near duplicates: ``doc_id, n_shingles, component_id, kept``.
 
@@ -169,17 +170,29 @@ def near_groups(
        each other. Those of different components now are, by an exact join on rare shingles.
 
     NULL, empty and blank texts have no set and are linked with nothing; with a NULL id,
-    ``component_id`` is NULL and the row is kept. Rows that repeat an id are all returned, each
-    with the component of its own text. Other columns are ignored; an empty table gives no rows.
+    ``component_id`` is NULL and the row is kept. Rows that repeat id and text are all returned and go
+    or stay together. Where rows of one id have different texts, each is linked with other rows of
+    its own text alone, and stays if these share their ids as well. The columns in ``more`` are returned with each row, others
+    are ignored; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    shared_folder(spark)
+    shared_folder(docs.sparkSession)
     texts = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more
     )
-    sketches = texts.mapInArrow(partial(_sketch, size=shingle, rows=rows, parts=parts), _SKETCH).checkpoint()
+    carried = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in more)
+    sketches = texts.mapInArrow(partial(_sketch, size=shingle, rows=rows, parts=parts), _SKETCH + carried).checkpoint()
+    texts = texts.select("doc_id", "text")
     same = ["n_shingles", "d1", "d2"]
     usable = sketches.where("n_shingles > 0 and doc_id is not null")
+    # A link names documents by id, so rows whose id has several texts can't be named in one.
+    several = (
+        usable.groupBy("doc_id")
+        .agg(F.min(F.struct(*same)).alias("one"), F.max(F.struct(*same)).alias("other"))
+        .where("one != other")
+        .select("doc_id")
+    )
+    if not several.isEmpty():
+        usable = usable.join(several, "doc_id", "left_anti").select(*usable.columns)
     classes = usable.groupBy(*same).agg(
         F.min("doc_id").alias("rep"), F.min_by("left", "doc_id").alias("left"), F.min_by("right", "doc_id").alias("right")
     )
@@ -199,14 +212,14 @@ def near_groups(
     members = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         *same, F.coalesce("root", "rep").alias("root")
     )
-    salted = sketches.select("doc_id", *same)
-    joined = salted.join(members, same, "left")
+    joined = sketches.select("doc_id", *same, *more).join(members, same, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return joined.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        *more,
     )
 
 

@@ -192,9 +192,12 @@ def risk_controlled_rules(
     good_col: str = "quality",
     risk: float = RISK,
     delta: float = DELTA,
+    more: Sequence[str] = (),
 ) -> DataFrame:
     """Counts and verdict of every document: those of ``features``, ``stratum``, ``rejected_by``, ``kept``.
 
+    The columns in ``more`` are returned with each row.
+
     ``base_failed`` documents go. Of the others those go that reach a certified cutoff of their
     stratum (``rejected_by`` names the measures). The guarantee is per stratum; a stratum with
     too few labels to certify anything rejects nothing. Labelled rows are the holdout: nothing
@@ -204,10 +207,10 @@ def risk_controlled_rules(
     """
     shared_folder(docs.sparkSession)
     plain = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).cast("string").alias("stratum")
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).cast("string").alias("stratum"), *more
     )
     # Counts are a small part of the texts and have two uses: written once to the shared folder.
-    counts = features(plain, more=["stratum"]).checkpoint()
+    counts = features(plain, more=["stratum", *more]).checkpoint()
     marks = (
         labels.where(F.col(id_col).isNotNull() & F.col(good_col).isNotNull())
         .groupBy(F.col(id_col).alias("doc_id"))
