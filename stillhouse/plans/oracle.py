@@ -540,7 +540,6 @@ ORACLE: dict[str, str] = {
       from graded join predictions using (teacher, idx)
       join (select idx, question from test) using (idx)) s using (teacher)
     where n <= 5""",
-    "results_format": "",
     "training_log": _with(
         "completions",
         "test",
@@ -599,3 +598,7 @@ ORACLE: dict[str, str] = {
     + _profile("synthetic_answer", "teacher", "completions"),
 }
 ORACLE["results_format"] = ORACLE["results_document"]
+# gaps in idx change no position, so the dense log gives the same blocks, progress and counts
+ORACLE["error_rate_blocks_sparse"] = ORACLE["error_rate_blocks"]
+ORACLE["gen_progress_sparse"] = ORACLE["gen_progress"]
+ORACLE["circuit_breaker_sparse"] = _breaker() + f"select * exclude (cut_idx) from ({_REPORT})"

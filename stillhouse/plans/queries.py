@@ -381,6 +381,29 @@ def circuit_breaker(spark: SparkSession, sf: str) -> DataFrame:
     return L.breaker_report(_outcomes(spark, sf), _totals(spark, sf))
 
 
+def _sparse(outcome: DataFrame) -> DataFrame:
+    """The same rows in the same order, with large, uneven gaps in ``idx``."""
+    apart = F.col("idx") * GAP + F.col("idx") * F.col("idx") % SHIFT
+    return outcome.withColumn("idx", apart)
+
+
+@query
+def error_rate_blocks_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    return L.error_rate_blocks(_sparse(_outcomes(spark, sf)))
+
+
+@query
+def gen_progress_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    log = t.attempts(spark, sf)
+    return L.progress(_sparse(L.outcomes(log)), L.start_times(log), _totals(spark, sf))
+
+
+@query
+def circuit_breaker_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    report = L.breaker_report(_sparse(_outcomes(spark, sf)), _totals(spark, sf))
+    return report.drop("cut_idx")
+
+
 #: Rounds over which the query deals the log.
 BREAKER_ROUNDS = 4
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from stillhouse.config import EvalConfig
+from stillhouse.config import BreakerConfig, EvalConfig
 from stillhouse.plans import jobs
 from stillhouse.sources.completions import read_completions
 from stillhouse.sources.stats import parse_stats, scan_stats
@@ -150,6 +150,56 @@ def test_round_starts(rows):
     assert starts == [0, 20, 220][: max(len(sizes), 0)] if rows <= 220 else starts == [0, 20, 220]
 
 
+def test_time_between_jobs_does_not_count(spark, problems, tmp_path):
+    """A job that failed is started again a long time after; its pause is no time of generation."""
+    root, now, marker = str(tmp_path / "gen"), tmp_path / "now", tmp_path / "fail"
+    marker.touch()
+
+    def clock():
+        return float(now.read_text())
+
+    def breaking(name):
+        def open_provider():
+            def answer(request):
+                if request.idx >= 50 and marker.exists():
+                    raise SystemExit("killed")
+                return f"#### {2 * request.idx}"
+
+            return answer
+
+        return open_provider
+
+    teachers = {name: breaking(name) for name in ("gpt", "deepseek", "gemini")}
+    now.write_text("1000")
+    with pytest.raises(Exception):
+        jobs.generate(spark, problems, teachers, root, tasks=2, round_rows=40, first_rows=40, clock=clock)
+    marker.unlink()
+    now.write_text("9000000")
+    jobs.generate(spark, problems, teachers, root, tasks=2, round_rows=40, first_rows=40, clock=clock)
+    log = spark.read.parquet(f"{root}/attempts")
+    assert {r[0] for r in log.select("at_s").distinct().collect()} == {1000.0, 9000000.0}
+    assert {r["minutes"] for r in parse_stats(scan_stats(spark, f"{root}/stats")).collect()} == {0.0}
+
+
+def test_a_teacher_that_keeps_no_row_loses_what_an_earlier_job_kept(spark, problems, tmp_path):
+    root = str(tmp_path / "gen")
+    config = BreakerConfig(max_consecutive=1)
+    dead = {("gemini", i) for i in range(120)}
+    quiet = {"sleep": lambda _s: None, "breaker": config}
+    jobs.generate(spark, problems.where("idx < 5"), _teachers(set()), root, **quiet)
+    assert read_completions(spark, f"{root}/completions").where("teacher = 'gemini'").count() == 5
+    report = jobs.generate(spark, problems.where("idx >= 5"), _teachers(dead), f"{root}", **quiet)
+    got = {r["teacher"]: (r["kept"], r["errors"], r["stop_reason"]) for r in report.collect()}
+    # The log has the five good answers of the first job, so the first failure trips after them.
+    assert got["gemini"] == (5, 1, "consecutive")
+    other = str(tmp_path / "other")
+    jobs.generate(spark, problems.where("idx < 5"), _teachers(dead), other, **quiet)
+    stored = read_completions(spark, f"{other}/completions")
+    assert {r["teacher"] for r in stored.select("teacher").distinct().collect()} == {"gpt", "deepseek"}
+    stats = {r["teacher"]: (r["successful"], r["errors"]) for r in parse_stats(scan_stats(spark, f"{other}/stats")).collect()}
+    assert stats == {"gpt": (5, 0), "deepseek": (5, 0), "gemini": (0, 1)}
+
+
 def test_one_variant_leaves_the_others(spark, problems, tmp_path):
     root, out = str(tmp_path / "gen"), str(tmp_path / "text")
     jobs.generate(spark, problems, _teachers(set()), root)
