@@ -6,6 +6,7 @@ none: clients, keys and pacing belong to the caller.
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator, Mapping
 from typing import NamedTuple
@@ -14,8 +15,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-import stillhouse
-from stillhouse import fixed
+from stillhouse import config, fixed
 from stillhouse.config import RetryConfig
 
 
@@ -62,7 +62,8 @@ def complete(
     """
     check_providers(providers, teachers)
     # Send what tasks use of this package along with them; executors need not have it.
-    cloudpickle.register_pickle_by_value(stillhouse)
+    for module in (sys.modules[__name__], config):
+        cloudpickle.register_pickle_by_value(module)
     factories = dict(providers)
     rate_limit_words = fixed.RATE_LIMIT_WORDS
 

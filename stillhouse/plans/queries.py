@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -438,6 +440,15 @@ def pending_work(spark: SparkSession, sf: str) -> DataFrame:
     return L.pending_for(_train(spark, sf).select("idx", "question"), ASKED, t.attempts(spark, sf))
 
 
+def _stubs() -> dict[str, _Drill]:
+    """A stub per teacher, sent along with the tasks that call it."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return {
+        name: _Drill(factor, modulus, residues, t.OUTAGE[1:] if name == t.OUTAGE[0] else None)
+        for name, factor, modulus, residues, _ in t.CALLS
+    }
+
+
 class _Drill:
     """A teacher that fails as often as the derived call log says it does."""
 
@@ -465,24 +476,16 @@ class _Drill:
 def complete_with_retries(spark: SparkSession, sf: str) -> DataFrame:
     """Every training problem asked of three stub teachers, with retries."""
     prompts = chat.generation_prompts(_train(spark, sf), ASKED)
-    stubs = {
-        name: _Drill(factor, modulus, residues, t.OUTAGE[1:] if name == t.OUTAGE[0] else None)
-        for name, factor, modulus, residues, _ in t.CALLS
-    }
-    log = complete(prompts, stubs, ASKED, sleep=lambda _seconds: None)
+    log = complete(prompts, _stubs(), ASKED, sleep=lambda _seconds: None)
     return log.drop("at_s")
 
 
 @query
 def generate_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """The breaker's report of a whole generation job that asks in rounds."""
-    stubs = {
-        name: _Drill(factor, modulus, residues, t.OUTAGE[1:] if name == t.OUTAGE[0] else None)
-        for name, factor, modulus, residues, _ in t.CALLS
-    }
     root = new_path(spark, "generate")
     quiet = lambda _seconds: None
-    return jobs.generate(spark, _train(spark, sf), stubs, root, sleep=quiet, round_rows=ROUND_ROWS)
+    return jobs.generate(spark, _train(spark, sf), _stubs(), root, sleep=quiet, round_rows=ROUND_ROWS)
 
 
 # --- sampling ------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,8 +24,6 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 
-import stillhouse
-
 FORMAT = "keyed_results"
 #: Parts by key in which a document is read, each by one task. They belong to the document.
 BUCKETS = 16
@@ -175,7 +174,7 @@ class KeyedResults(DataSource):
 def register(spark: SparkSession) -> None:
     """Make the format known to a session."""
     # Tasks get the classes along with their work; executors need not have this package.
-    cloudpickle.register_pickle_by_value(stillhouse)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(KeyedResults)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-import stillhouse
+from stillhouse import config as settings
 from stillhouse.config import BreakerConfig
 from stillhouse.functions.metrics import accuracy, div
 from stillhouse.sources.results import ResultsDocument
@@ -44,6 +45,12 @@ def own_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_PROVIDER, before)
 
 
+def _send_along() -> None:
+    """Send what tasks use of this package along with them; executors need not have it."""
+    for module in (sys.modules[__name__], settings):
+        cloudpickle.register_pickle_by_value(module)
+
+
 class _Breaker(StatefulProcessor):
     """Rows of a teacher in the order of ``idx``; those that come early wait."""
 
@@ -136,7 +143,7 @@ def live_breaker(
     passed over. Rows that arrive again change nothing. Rows of a teacher meet in one task of each
     micro-batch, because their order decides. Start it inside :func:`own_state`.
     """
-    cloudpickle.register_pickle_by_value(stillhouse)
+    _send_along()
     rows = outcome_stream.select("teacher", "idx", "ok")
     return rows.groupBy("teacher").transformWithStateInPandas(
         _Breaker(config, most_ahead), LIVE_BREAKER_SCHEMA, "Update", "None"
@@ -190,7 +197,7 @@ def verdict_changes(graded_stream: DataFrame, per_entry: int = VERDICTS_PER_ENTR
     comes late changes nothing. State is nine bytes per problem, in entries of ``per_entry`` problems,
     so a teacher's problems are spread over as many groups. Start it inside :func:`own_state`.
     """
-    cloudpickle.register_pickle_by_value(stillhouse)
+    _send_along()
     rows = graded_stream.select(
         "teacher",
         div(F.col("idx"), per_entry).alias("bucket"),
