@@ -162,6 +162,10 @@ class WordBPE:
             for p in pieces
         ]
 
+    def forget(self) -> None:
+        """Let go of remembered pieces; the vocabulary stays."""
+        self._pieces.forget()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text; strings of special tokens are those tokens."""
         parts: list[list[str]] = []
@@ -198,24 +202,27 @@ def load(path: str) -> WordBPE:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, full: bool) -> Iterator[pa.RecordBatch]:
     bpe = load(path)
-    for batch in batches:
-        for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
-            rows = batch.slice(first, TEXTS_AT_ONCE)
-            counts, ids_sha, text_sha, ids, texts = [], [], [], [], []
-            for own in bpe.encode([text or "" for text in rows.column(1).to_pylist()]):
-                data, decoded = own.astype("<u4").tobytes(), bpe.decode(own)
-                counts.append(own.size)
-                ids_sha.append(hashlib.sha256(data).hexdigest())
-                text_sha.append(hashlib.sha256(decoded).hexdigest())
+    try:
+        for batch in batches:
+            for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                rows = batch.slice(first, TEXTS_AT_ONCE)
+                counts, ids_sha, text_sha, ids, texts = [], [], [], [], []
+                for own in bpe.encode([text or "" for text in rows.column(1).to_pylist()]):
+                    data, decoded = own.astype("<u4").tobytes(), bpe.decode(own)
+                    counts.append(own.size)
+                    ids_sha.append(hashlib.sha256(data).hexdigest())
+                    text_sha.append(hashlib.sha256(decoded).hexdigest())
+                    if full:
+                        ids.append(own.astype(np.int32))
+                        texts.append(decoded.decode())
+                columns = [rows.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if full:
-                    ids.append(own.astype(np.int32))
-                    texts.append(decoded.decode())
-            columns = [rows.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if full:
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+    finally:
+        bpe.forget()
 
 
 def encode_texts(

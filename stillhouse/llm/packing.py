@@ -78,6 +78,10 @@ class ByteBPE:
                 found[piece] = np.array(self._fast.encode_ordinary(piece), "<u4").tobytes()
         return [found.get(p) for p in pieces]
 
+    def forget(self) -> None:
+        """Let go of remembered pieces; the vocabulary stays."""
+        self._pieces.forget()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of every text."""
         heads, tails, plain = [], [], []
@@ -222,17 +226,20 @@ def _packed(
         types = [kind, *[pa.int64()] * 6]
         return pa.RecordBatch.from_arrays([pa.array(out[c], t) for c, t in zip(_COLUMNS, types)], names=_COLUMNS)
 
-    for batch in batches:
-        kind = batch.column(0).type
-        for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
-            part = batch.slice(first, TEXTS_AT_ONCE)
-            encoded = bpe.encode([text or "" for text in part.column(1).to_pylist()])
-            for doc_id, ids in zip(part.column(0).to_pylist(), encoded):
-                waiting.add(doc_id, np.concatenate([ids, stop]))
-                if waiting.size >= block:
-                    yield rows(False)
-    if kind is not None:
-        yield rows(True)
+    try:
+        for batch in batches:
+            kind = batch.column(0).type
+            for first in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(first, TEXTS_AT_ONCE)
+                encoded = bpe.encode([text or "" for text in part.column(1).to_pylist()])
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoded):
+                    waiting.add(doc_id, np.concatenate([ids, stop]))
+                    if waiting.size >= block:
+                        yield rows(False)
+        if kind is not None:
+            yield rows(True)
+    finally:
+        bpe.forget()
 
 
 def pack(

@@ -6,8 +6,10 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-#: Pieces remembered by a worker before it starts anew, some 200 MB.
-REMEMBERED = 1_000_000
+#: Bytes of pieces and ids that a task remembers before it starts anew, what Python needs for them included.
+REMEMBERED_BYTES = 64 << 20
+#: Bytes that an entry takes besides its characters and ids: a text, bytes and their place in a table.
+_ENTRY_BYTES = 200
 #: Texts whose new pieces are encoded together.
 TEXTS_AT_ONCE = 200
 
@@ -17,21 +19,27 @@ class PieceCache:
 
     ``encode`` gets new pieces, each once, and returns the ids of every one as bytes of unsigned
     32-bit numbers, or None for a piece that can't stand alone. The memory is emptied between
-    calls once it is full, so it is bounded and the ids don't depend on it.
+    calls once it holds so many bytes, and by ``forget`` at the end of a task, so that an idle worker
+    holds nothing; the ids don't depend on it.
     """
 
     def __init__(self, encode: Callable[[list[str]], Sequence[bytes | None]]):
         self._encode = encode
+        self.forget()
+
+    def forget(self) -> None:
         self._known: dict[str, bytes] = {}
         self._odd: set[str] = set()
+        self._bytes = 0
 
     def ids(self, texts: list[list[str]]) -> list[np.ndarray | None]:
         """Ids of each text's pieces; None for a text with a piece that can't stand alone."""
-        if len(self._known) + len(self._odd) > REMEMBERED:
-            self._known, self._odd = {}, set()
+        if self._bytes > REMEMBERED_BYTES:
+            self.forget()
         known, odd = self._known, self._odd
         new = list(set().union(*texts).difference(known, odd))
         for piece, data in zip(new, self._encode(new) if new else ()):
+            self._bytes += _ENTRY_BYTES + 4 * len(piece) + len(data or b"")
             if data is None:
                 odd.add(piece)
             else:
