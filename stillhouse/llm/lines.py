@@ -70,10 +70,14 @@ def remove_repeated_chunks(
     text are one place and stay alike. NULL ids come before all others. Other columns are ignored; an empty table gives no rows.
     """
     whole = F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("whole")
-    texts = keyed_text(docs, id_col, text_col, more).select("*", whole)
+    carried = F.to_json("more", {"ignoreNullFields": "false"}) if more else F.lit(None).cast("string")
+    # Text and what is carried are one array: both uses of the texts then shuffle the same column.
+    texts = keyed_text(docs, id_col, text_col, more).select(
+        "doc_id", "text", whole, F.array("text", carried).alias("load")
+    )
     piece = F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.n_lines")), "\n")
     keyed = (
-        _chunked(texts, mean_lines)
+        _chunked(texts.drop("load"), mean_lines)
         # There is always a chunk; a plain explode would filter by the whole expression first.
         .select("doc_id", "whole", "lines", F.explode_outer("chunks").alias("c"))
         .where(F.col("c.n_lines") >= min_lines)
@@ -94,6 +98,7 @@ def remove_repeated_chunks(
     removed = _per_row(_repeated_bytes(suspects).where(F.struct(*PLACE) != F.col("first")))
     parts = (
         _chunked(_with_marked(texts, removed), mean_lines)
+        .withColumn("more", F.from_json("carried", docs.select(*more).schema) if more else F.lit(None))
         .withColumn("numbers", F.transform("chunks", lambda c: c["chunk"]))
         .withColumn(
             "stay",
@@ -163,6 +168,13 @@ def _per_row(places: DataFrame) -> DataFrame:
 
 
 def _with_marked(texts: DataFrame, marked: DataFrame) -> DataFrame:
-    """Texts with their marked chunks; both uses shuffle the same columns, so Spark does it once."""
-    same = F.col("doc_id").eqNullSafe(F.col("marked_id")) & (F.col("whole") == F.col("marked_whole"))
-    return texts.join(marked, same, "left").select("doc_id", "whole", "text", "more", "marked")
+    """Texts with their marked chunks.
+
+    Both uses join the same columns by the same null-safe keys: nothing is filtered or left out on
+    one of the sides only, so Spark shuffles the texts once.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("marked_id")) & F.col("whole").eqNullSafe(F.col("marked_whole"))
+    joined = texts.select("doc_id", "whole", "load").join(marked, same, "left")
+    return joined.select(
+        "doc_id", "whole", F.get("load", F.lit(0)).alias("text"), F.get("load", F.lit(1)).alias("carried"), "marked"
+    )
