@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stillhouse.llm.columns import keyed_text, lower_ascii
@@ -23,36 +23,39 @@ def merge_runs(digests: DataFrame, nodes: int, fan_in: int = 4, keep: str = "sma
     """One row per distinct text: ``sha, check, n_bytes, keep_id, group_size``.
 
     ``digests`` has ``doc_id, sha, check, n_bytes``. Rows start on the node of their input
-    partition. In each round nodes whose numbers differ in one base ``fan_in`` digit exchange
-    runs: a row moves to the node that has its digest's digit there, and the runs that meet are
-    merged in digest order. After the last round a node holds one range of digests, each once. A
-    digest that a third of all rows share is one row per node from the first round on, so no
-    node ever gets more than ``fan_in`` rows of it.
+    partition, which counts equal ones and has them as a run in digest order. In each round nodes
+    whose numbers differ in one base ``fan_in`` digit exchange runs: a row moves to the node that
+    has its digest's digit there. The runs that meet are merged into one in the order of digest
+    and id; the first row of a digest has the id that stays and takes the counts of the others.
+    After the last round a node holds one range of digests, each once. A digest that a third of all
+    rows share is one row per node from the start, so no node ever gets more than ``fan_in`` rows of it.
 
     Rows merge only if SHA-256, an independent 64-bit hash and the length agree, at every level.
     """
-    pick = F.min if keep == "smallest" else F.max
+    smallest = keep == "smallest"
+    pick = F.min if smallest else F.max
     places = _places(nodes, fan_in)
     size = places[-1] * fan_in
     key = ("sha", "check", "n_bytes")
-    level = digests.select(
-        (F.spark_partition_id() % size).cast("long").alias("node"),
-        *key,
-        F.col("doc_id").alias("keep_id"),
-        F.lit(1).cast("long").alias("group_size"),
+    by_id = F.col("keep_id").asc_nulls_last() if smallest else F.col("keep_id").desc_nulls_last()
+    level = (
+        digests.select((F.spark_partition_id() % size).cast("long").alias("node"), *key, "doc_id")
+        .groupBy("node", *key)
+        .agg(pick("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     )
-
-    def merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("node", *key).agg(
-            pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")
-        )
-
-    level = merged(level)
+    same = Window.partitionBy("node", *key)
     for place in places:
         own = F.floor(F.col("node") / place) % fan_in
         wanted = F.floor(F.pmod(F.col("check"), F.lit(size)) / place) % fan_in
         moved = level.withColumn("node", (F.col("node") + (wanted - own) * place).cast("long"))
-        level = merged(moved.repartition(size, "node", "sha").sortWithinPartitions("node", *key))
+        # The windows read the merged run as it is sorted here; rows of one digest stand together.
+        run = moved.repartition(size, "node", "sha").sortWithinPartitions("node", *key, by_id)
+        level = (
+            run.withColumn("_first", F.row_number().over(same.orderBy(by_id)))
+            .withColumn("_all", F.sum("group_size").over(same))
+            .where("_first = 1")
+            .select("node", *key, "keep_id", F.col("_all").alias("group_size"))
+        )
     return level.drop("node")
 
 
