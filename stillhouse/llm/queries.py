@@ -69,7 +69,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archive_folder(spark)
     index = write_archives(table(spark, sf_dir, "pages"), folder)
-    records = read_archives(index, folder)
+    records = read_archives(index, folder, payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -8,6 +8,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -30,8 +31,10 @@ _HEAD = struct.Struct("<II")
 FRAME_BYTES = 256 << 10
 #: Bytes of frames in one bundle.
 BUNDLE_BYTES = 128 << 20
+#: Bytes of payloads, and records, that a reader hands on at once.
+READ_BYTES, READ_RECORDS = 16 << 20, 10_000
 
-_INDEX = "page_id long, record_type string, refers_to long, bundle string, frame_start long, frame_bytes long, record_start long, record_bytes long"
+_INDEX = "page_id long, record_type string, refers_to long, bundle string, frame long, record_start long, record_bytes long"
 
 
 def digest_of(payload: bytes) -> str:
@@ -117,7 +120,7 @@ class _Bundle:
         frame = self._press.compress(b"".join(self._plain))
         at = 0
         for key, size in self._waiting:
-            self.index.append((*key, self.name, self.written, len(frame), at, size))
+            self.index.append((*key, self.name, len(self._frames), at, size))
             at += size
         self._file.write(frame)
         self._frames.append((len(frame), self._size))
@@ -138,7 +141,7 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pd.Data
 
     def closed() -> pa.RecordBatch:
         columns = list(zip(*bundle.close())) or [()] * len(names)
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 4]
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
     for batch in batches:
@@ -167,8 +170,8 @@ def write_archives(
 ) -> DataFrame:
     """Write a record per row into bundles below ``folder``; returns the index, written there too.
 
-    The index maps each record to its bundle, the frame's place in the file and the record's
-    place in the frame. The payload is the html in UTF-8; NULL is empty. Of equal payloads of at
+    The index maps each record to its bundle, the frame's number there and the record's place in
+    the frame; where a frame lies is in the bundle's seek table. The payload is the html in UTF-8; NULL is empty. Of equal payloads of at
     least ``min_revisit_bytes`` the row with the largest id is the response and the others are
     revisits of it; a NULL id is below all others. Rows that repeat id and payload are all
     responses. Digests are pre-aggregated, and only revisits are joined back to the pages.
@@ -207,23 +210,49 @@ def write_archives(
     return pages.sparkSession.read.parquet(path)
 
 
-def _read(groups: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+class _Frames:
+    """Frames of a bundle by number, found by the seek table at its end; the last one read is kept."""
+
+    def __init__(self, fs: pa.fs.FileSystem, path: str):
+        self._file = fs.open_input_file(path)
+        self._sizes = read_seek_table(self._file)
+        self._starts = [0, *accumulate(packed for packed, _ in self._sizes)]
+        self._press = zstandard.ZstdDecompressor()
+        self._at, self._plain = -1, b""
+
+    def record(self, frame: int, first: int, length: int) -> bytes:
+        if frame != self._at:
+            packed, plain = self._sizes[frame]
+            self._file.seek(self._starts[frame])
+            self._plain = self._press.decompress(self._file.read(packed), max_output_size=plain)
+            if len(self._plain) != plain:
+                raise ValueError(f"frame {frame} has {len(self._plain)} bytes and not {plain}")
+            self._at = frame
+        return self._plain[first : first + length]
+
+    def close(self) -> None:
+        self._file.close()
+
+
+def _read(groups: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Iterator[pa.RecordBatch]:
     fs, place = pa.fs.FileSystem.from_uri(folder)
-    press = zstandard.ZstdDecompressor()
-    names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
+    names = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"][: 6 if payloads else 5]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-    name, file, at, plain = None, None, None, b""
+    name, frames = None, None
+    rows: list[tuple] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
     for batch in groups:
-        rows = []
-        for page_id, bundle, start, size, first, length in zip(*(c.to_pylist() for c in batch.columns)):
+        for page_id, bundle, frame, first, length in zip(*(c.to_pylist() for c in batch.columns)):
             if bundle != name:
-                if file is not None:
-                    file.close()
-                name, file, at = bundle, fs.open_input_file(f"{place}/{bundle}"), None
-            if start != at:
-                file.seek(start)
-                at, plain = start, press.decompress(file.read(size))
-            headers, block = read_record(plain[first : first + length])
+                if frames is not None:
+                    frames.close()
+                name, frames = bundle, _Frames(fs, f"{place}/{bundle}")
+            headers, block = read_record(frames.record(frame, first, length))
             own = headers["warc-record-id"][len("<urn:page:") : -1]
             if own != ("" if page_id is None else str(page_id)):
                 raise ValueError(f"record {own} where {page_id} should be")
@@ -233,26 +262,32 @@ def _read(groups: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBa
             if kind == "response" and digest_of(block) != stored:
                 raise ValueError(f"payload of {own} does not match its digest")
             n = len(block) if kind == "response" else int(headers["x-payload-length"])
-            rows.append((page_id, kind, int(refers_to) if refers_to else None, n, stored, block))
-        columns = list(zip(*rows)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
-    if file is not None:
-        file.close()
-
-
-def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """Records named in ``index``, read by seeking to their frames: ``page_id, record_type, refers_to, payload_bytes, payload_digest, payload``.
-
-    Any part of an index will do. Each response's digest is computed anew and compared; a revisit
-    has an empty ``payload``, and digest and length of the one it refers to. Index rows are dealt
-    out by frame and sorted, so a frame is unpacked once.
+            row = (page_id, kind, int(refers_to) if refers_to else None, n, stored)
+            rows.append((*row, block) if payloads else row)
+            held += len(block) if payloads else 0
+            if held >= READ_BYTES or len(rows) >= READ_RECORDS:
+                yield out()
+                rows, held = [], 0
+    if frames is not None:
+        frames.close()
+    yield out()
+
+
+def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
+    """Records named in ``index``: ``page_id, record_type, refers_to, payload_bytes, payload_digest`` and, if asked for, ``payload``.
+
+    Any part of an index will do. A task reads the seek tables of the bundles it needs and goes to
+    the frames; index rows are dealt out by frame and sorted, so a frame is unpacked once. Each
+    response's digest is computed anew and compared; a revisit has an empty ``payload``, and digest
+    and length of the one it refers to. A task holds one frame and ``READ_BYTES`` of payloads.
     """
     spark = index.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frames = index.select("page_id", "bundle", "frame_start", "frame_bytes", "record_start", "record_bytes")
-    dealt = frames.repartition(tasks, "bundle", "frame_start").sortWithinPartitions("bundle", "frame_start", "record_start")
-    schema = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-    return dealt.mapInArrow(partial(_read, folder=f"{folder}/bundles"), schema)
+    places = index.select("page_id", "bundle", "frame", "record_start", "record_bytes")
+    dealt = places.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "record_start")
+    schema = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string"
+    schema += ", payload binary" if payloads else ""
+    return dealt.mapInArrow(partial(_read, folder=f"{folder}/bundles", payloads=payloads), schema)
 
 
 def archive_folder(spark) -> str:
