@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from cases import ROWS, table
 
@@ -39,6 +40,15 @@ def test_exact(spark, keep):
     assert exact_groups(table(spark).limit(0)).count() == 0
 
 
+def test_runs_are_sorted_and_merged_in_every_round(spark):
+    """Each round has an exchange, a sort by digest and id, and takes the first row of a digest."""
+    done = exact_groups(table(spark), nodes=8, fan_in=2)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    rounds = 3
+    assert len(re.findall(r"Sort \[node#\d+L ASC NULLS FIRST, sha#\d+ ASC NULLS FIRST, check", plan)) >= rounds
+    assert len(re.findall(r"Exchange hashpartitioning\(node#\d+L, sha#\d+, 8\), REPARTITION_BY_NUM", plan)) == rounds
+
+
 def test_exact_hot_group(spark):
     rows = [(i, "same" if i % 3 else f"own {i}") for i in range(900)]
     got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_groups(table(spark, rows)).collect()}
@@ -310,3 +320,67 @@ def test_window_minima_over_several_arrays(monkeypatch):
     values, bounds = suffix.window_minima(texts, docs)
     for k, text in enumerate(texts):
         assert values[bounds[k] : bounds[k + 1]].tolist() == [first[text[i : i + 50]] for i in range(len(text) - 49)]
+
+
+def _passage_docs(seed, n=40):
+    rng = random.Random(seed)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = []
+    for i in range(n):
+        own = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(0, 200)))
+        a = rng.randrange(0, 200)
+        rows.append((i // 2 if i % 5 else None, own + passage[a : a + rng.randrange(40, 300)] + own[:30]))
+    return rows
+
+
+def test_strings_have_the_same_numbers_however_documents_were_cut():
+    """A shard that is read again in other blobs, as after a lost executor, tells the same strings."""
+    rows = _passage_docs(4)
+
+    def blobs(order, size):
+        out = []
+        for at in range(0, len(order), size):
+            part = [rows[k] for k in order[at : at + size]]
+            batch = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([r[0] for r in part], pa.int64()),
+                    pa.array([r[1].encode() for r in part], pa.binary()),
+                    pa.array([0] * len(part), pa.int64()),
+                    pa.array([f"m{k}" for k in order[at : at + size]], pa.string()),
+                ],
+                names=["doc_id", "data", "shard", "more"],
+            )
+            out += [b for done in suffix._dealt(iter([batch])) for b in done.column(1).to_pylist()]
+        return out
+
+    def told(parts):
+        docs = pd.DataFrame({"docs": parts})
+        names = suffix._names((0,), docs, 3)
+        back = pd.concat([suffix._repeated((b,), g) for b, g in names.groupby("bucket")])
+        return docs, back, suffix._strings((0,), docs, back, 3)
+
+    order = list(range(len(rows)))
+    docs, back, strings = told(blobs(order, 100))
+    other = order[:]
+    random.Random(9).shuffle(other)
+    docs2, back2, strings2 = told(blobs(other, 7))
+    key = lambda f: sorted(zip(f["bucket"], f["entries"]))
+    assert key(strings) == key(strings2) and len(strings)
+    minima = pd.concat([suffix._minima((b,), g) for b, g in strings.groupby("bucket")])
+    # strings told by one reading, removed by another
+    one = suffix._removed((0,), docs, pd.concat([back, minima]), 3, True)
+    two = suffix._removed((0,), docs2, pd.concat([back2, minima]), 3, True)
+    assert sorted(map(repr, one.itertuples(index=False))) == sorted(map(repr, two.itertuples(index=False)))
+    assert one["n_removed"].sum() > 0
+
+
+@pytest.mark.parametrize("more", [[], ["lang", "source"]])
+def test_line_dedup_shuffles_texts_once(spark, more):
+    common = "\n".join(f"line {k} of the common text" for k in range(20))
+    docs = table(spark, [(i, f"{common}\nown {i}\nand {i}") for i in range(30)])
+    done = remove_repeated_chunks(docs, more=more)
+    done.collect()
+    plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n")
+    by_row = [line for line in plan if "Exchange hashpartitioning(coalesce(doc_id" in line]
+    assert len([line for line in by_row if "ReusedExchange" not in line]) == 1
+    assert any("ReusedExchange" in line and "load" in line for line in by_row)

@@ -21,4 +21,13 @@ def test_query_equals_sql(spark, sf_dir, sql, name):
 def test_all_operators_are_registered():
     names = entry_points.queries()
     assert "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
+
+
+def test_queries_after_the_teachers_were_called(spark, sf_dir):
+    """What is sent along with the teachers' tasks doesn't change how these queries reach the workers."""
+    from stillhouse.plans.queries import QUERIES as OTHERS
+
+    assert OTHERS["complete_with_retries"](spark, sf_dir).count() > 0
+    for name in ("op6_warc", "op11_source_divergence", "op13_conversation_repair"):
+        assert QUERIES[name](spark, sf_dir).count() > 0
