@@ -23,10 +23,12 @@ TOP_TERMS = 50
 PARTS, PRIOR = 1_000_000_000, 5
 #: Characters of a term: letters of ASCII and all beyond it; in UTF-8 those are bytes from 0x80.
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
-#: Counters that a task holds before it hands them on.
-HELD = 200_000
+#: Counters that a task holds before it hands them on, some 100 MB.
+HELD = 500_000
+#: A counter is one number: documents in the lower bits, occurrences above them.
+_DOC_BITS = 40
 #: Sources whose pairs are added up in one matrix, and rows of counts that share a matrix.
-BLOCK_SOURCES, BUCKET_ROWS = 256, 100_000
+BLOCK_SOURCES, BUCKET_ROWS = 256, 20_000
 
 
 def _share(count: Column | str, total: str, terms: str) -> str:
@@ -57,7 +59,7 @@ def term_counts(texts: DataFrame) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict[bytes, list[int]]] = {}
+        held: dict[tuple, dict[bytes, int]] = {}
         size = 0
 
         def out() -> pa.RecordBatch:
@@ -66,8 +68,8 @@ def term_counts(texts: DataFrame) -> DataFrame:
                 langs += [lang] * len(found)
                 sources += [source] * len(found)
                 terms += found
-                ns += [v[0] for v in found.values()]
-                docs += [v[1] for v in found.values()]
+                ns += [v >> _DOC_BITS for v in found.values()]
+                docs += [v & ((1 << _DOC_BITS) - 1) for v in found.values()]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(langs, pa.string()),
@@ -87,12 +89,7 @@ def term_counts(texts: DataFrame) -> DataFrame:
                     found = held.setdefault((lang, entry["source"]), {})
                     size -= len(found)
                     for term, n in once.items():
-                        seen = found.get(term)
-                        if seen is None:
-                            found[term] = [n * rows, rows]
-                        else:
-                            seen[0] += n * rows
-                            seen[1] += rows
+                        found[term] = found.get(term, 0) + ((n * rows) << _DOC_BITS) + rows
                     size += len(found)
                     if size >= HELD:
                         yield out()
