@@ -13,8 +13,9 @@ from stillhouse import fixed
 from stillhouse.functions.text import SPACE, strip, strip_marker
 
 MARKED = rf"{fixed.ANSWER_MARK}{SPACE}*({fixed.NUMBER})"
-STATED = rf"(?i)(?:answer is|answer:){SPACE}*({fixed.NUMBER})"
-TRAILING = rf"[=:]{SPACE}*({fixed.NUMBER}){SPACE}*$"
+# A number with what stands before it if that makes it an answer, and the white space after it. The
+# first character is looked at alone, so that most places of a text cost one comparison.
+CLAIMED = rf"(?i)(?=[a=:\-0-9])(?:(?:answer is|answer:|[=:]){SPACE}*)?{fixed.NUMBER}{SPACE}*"
 
 SHORT_STATED = (
     rf"[Tt]he answer is{SPACE}*({fixed.PLAIN_NUMBER})",
@@ -46,15 +47,32 @@ def answer_hit(text: Column) -> Column:
     """Rule digit followed by the number that rule found; ``0`` when none did.
 
     Rules in order: 1 number after the answer mark, 2 number after "answer is" / "answer:",
-    3 number after ``=`` or ``:`` at the end, 4 last number anywhere. ``coalesce`` stops at the
-    first hit, so later patterns only run on texts the earlier ones missed, and each runs once.
+    3 number after ``=`` or ``:`` at the end, 4 last number anywhere. Marks are looked for first,
+    which is cheap. A text without one is scanned once more: its numbers, each with the words or
+    sign before it, are one list, in which the other rules are told apart. No two of them can claim
+    the same characters, so the list is the same whichever rule it is read for.
     Use :func:`hit_rule` and :func:`hit_answer` on the materialized column.
     """
+
+    def number(claim: Column) -> Column:
+        return F.regexp_extract(claim, fixed.NUMBER, 0)
+
+    def first_rule(claims: Column) -> Column:
+        stated = F.get(F.filter(claims, lambda c: F.lower(F.left(c, F.lit(1))) == "a"), F.lit(0))
+        last = F.try_element_at(claims, F.lit(-1))
+        # White space after a number is part of its claim, so the claim of a trailing one ends the text.
+        trailing = F.left(last, F.lit(1)).isin("=", ":") & F.endswith(text, last)
+        return (
+            F.when(stated.isNotNull(), F.concat(F.lit("2"), number(stated)))
+            .when(trailing, F.concat(F.lit("3"), number(last)))
+            .when(last.isNotNull(), F.concat(F.lit("4"), number(last)))
+        )
+
+    # The list is an element of an array so that it is made once for all its uses.
+    claims = F.array(F.regexp_extract_all(text, F.lit(CLAIMED), 0))
     return F.coalesce(
         F.concat(F.lit("1"), _first(text, MARKED)),
-        F.concat(F.lit("2"), _first(text, STATED)),
-        F.concat(F.lit("3"), _first(text, TRAILING)),
-        F.concat(F.lit("4"), _last_number(text, fixed.NUMBER)),
+        F.get(F.transform(claims, first_rule), F.lit(0)),
         F.lit("0"),
     )
 
@@ -69,14 +87,7 @@ def hit_answer(hit: Column) -> Column:
 
 def extract_answer(text: Column) -> Column:
     """The answer by the four rules, commas dropped, '' when the text holds no number."""
-    found = F.coalesce(
-        _first(text, MARKED),
-        _first(text, STATED),
-        _first(text, TRAILING),
-        _last_number(text, fixed.NUMBER),
-        F.lit(""),
-    )
-    return F.replace(found, F.lit(","), F.lit(""))
+    return hit_answer(answer_hit(text))
 
 
 def extract_answer_short(text: Column, end_marker: str = fixed.END_OF_TURN) -> Column:

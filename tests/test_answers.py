@@ -36,6 +36,20 @@ EXTRACTED = [
     ("#### 6.67", "6.67", 1),
     ("#### 12,34", "12", 1),
     ("#### ٣", "", 0),
+    ("answer is answer: 5 then 6", "5", 2),
+    ("answer is 5 #### 6", "6", 1),
+    ("x=####", "", 0),
+    ("5=5", "5", 3),
+    ("a: -3", "-3", 3),
+    ("= 7 \t\n", "7", 3),
+    ("=--5", "-5", 4),
+    ("= 7 or so", "7", 4),
+    ("1-5=", "-5", 4),
+    (":5 = 6 ", "6", 3),
+    ("ANSWER:\n1,234.5 = 9", "1234.5", 2),
+    ("answer is x, answer: 9 = 3", "9", 2),
+    ("=1,2345", "5", 4),
+    (None, "", 0),
 ]
 
 SHORT = [
