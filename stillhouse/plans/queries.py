@@ -48,7 +48,8 @@ VARIANTS = TEACHERS.for_training("all")
 OUTPUT = "completions"
 SMALL_ROWS = 100
 ROUND_ROWS = 50_000
-FILES = 5
+#: Files at least, and rows of a file at most.
+FILES, ROWS_PER_FILE = 5, 250_000
 
 QUERIES: dict[str, Query] = {}
 
@@ -543,9 +544,10 @@ def teacher_file_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _in_files(rows: DataFrame) -> DataFrame:
-    """Rows in the order of ``idx`` in files that get larger from one to the next."""
+    """Rows in the order of ``idx`` in uneven files, more of them the more rows there are."""
     part = F.floor(F.log2(1 + F.col("idx"))).alias("part")
-    return rows.repartitionByRange(FILES, part, "idx").sortWithinPartitions("idx")
+    files = max(FILES, -(-rows.count() // ROWS_PER_FILE))
+    return rows.repartitionByRange(files, part, "idx").sortWithinPartitions("idx")
 
 
 @query

@@ -29,8 +29,9 @@ def index_rows(scan: DataFrame, name: str = "idx") -> DataFrame:
 
     Rows are numbered within their stretch of a file and shifted by the counts of the stretches
     before it, in the order of path and start: Spark deals stretches to tasks by size, so the
-    number of a task says nothing. The shift table has one row per stretch. Use it straight on a
-    scan, and write the result before building on it.
+    number of a task says nothing. The shift table has one row per stretch and is broadcast: few
+    stretches would send all rows to few tasks. Use it straight on a scan, and write the result
+    before building on it.
     """
     place = F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_place")
     # The id grows along a task, which reads a stretch from its beginning to its end.
@@ -41,7 +42,7 @@ def index_rows(scan: DataFrame, name: str = "idx") -> DataFrame:
         .agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
         .select("_place", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
     )
-    return own.join(shifts, "_place").select(
+    return own.join(F.broadcast(shifts), "_place").select(
         (F.col("_row") - F.col("_first") + F.col("_shift")).alias(name), *scan.columns
     )
 

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stillhouse.operators import grading
+from stillhouse.plans import queries
 from stillhouse.plans.queries import QUERIES
+from stillhouse.sources import completions as store
 from stillhouse.sources import tables
 
 #: these act while they are built (they write, or run a stream), their frame is only the reading
@@ -92,3 +94,25 @@ def test_sample_texts_are_bounded_by_index(spark, tmp_path):
     assert samples.count() == 5
     scans = re.findall(r"DataFilters: \[([^\]]*)\]", _plan(samples))
     assert any("subquery" in s for s in scans)
+
+
+def test_numbering_a_teacher_file_does_not_shuffle_texts(spark, tmp_path, monkeypatch):
+    """Files hold a bounded number of rows; few files or stretches don't send all rows to few tasks."""
+    monkeypatch.setattr(queries, "ROWS_PER_FILE", 100, raising=False)
+    rows = spark.range(2_000).selectExpr(
+        "id as idx", "cast(id as string) as question", "'a' as answer", "'s' as synthetic_answer", "'gpt' as teacher"
+    )
+    files = queries._in_files(rows)
+    assert files.rdd.getNumPartitions() == 20
+    files.drop("idx").write.parquet(str(tmp_path / "t"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        numbered = store.read_teacher_file(spark, str(tmp_path / "t"))
+        plan = _plan(numbered)
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert all(str(r["idx"]) == r["question"] for r in numbered.collect())
+        assert numbered.agg(F.count_distinct("idx")).first()[0] == 2_000
+    finally:
+        spark.conf.set(threshold, before)
