@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,11 @@ from stillhouse.sources.stats import stats_lines, write_stats
 #: is down is noticed early, and at most. Each round is ten times the one before until then.
 FIRST_ROWS, ROUND_ROWS = 20, 1_000
 _GROWTH = 10
+#: Problems of a file of the queue, so that several tasks ask those of a large round.
+_QUEUE_FILE_ROWS = 10_000
+#: Problems of a round up to which one task judges a teacher's calls.
+_ONE_TASK_ROWS = 100_000
+_QUEUE_SCHEMA = "idx bigint, question string, missing array<string>"
 
 
 def generate(
@@ -65,28 +71,36 @@ def generate(
     run = 0 if log is None else log.agg(F.coalesce(F.max("run"), F.lit(-1))).first()[0] + 1
     queue = new_path(spark, "queue")
     rounds = _deal_rounds(spark, problems, teachers, log, queue, first_rows, round_rows)
-    active, state = teachers, None
-    for number in range(rounds):
-        asked = spark.read.parquet(f"{queue}/round={number}")
-        work = asked.select(
-            "idx", "question", F.explode(F.array_intersect("missing", F.array(*map(F.lit, active)))).alias("teacher")
-        )
-        if work.isEmpty():
-            continue
-        prompts = work.select("teacher", "idx", template.render(F.col("question")).alias("prompt"))
-        called = complete(prompts, providers, teachers, retry, tasks, sleep, clock)
-        own_path = f"{log_path}/run={run}"
-        called.write.mode("append").parquet(own_path)
-        own = L.outcomes(spark.read.schema(ATTEMPT_SCHEMA).parquet(own_path), retry)
-        state_path = f"{root}/breaker/run={run}"
-        stretches.advance(own, state, breaker).write.mode("overwrite").parquet(state_path)
-        state = spark.read.schema(stretches.STATE_SCHEMA).parquet(state_path)
-        run += 1
-        # One row per teacher at most.
-        tripped = {r["teacher"] for r in stretches.cuts(state).collect()}
-        active = [t for t in active if t not in tripped]
-        if not active:
-            break
+    active, state, kept = teachers, None, []
+    with ThreadPoolExecutor(1) as keeping:
+        for number in range(rounds):
+            asked = spark.read.schema(_QUEUE_SCHEMA).parquet(f"{queue}/round={number}")
+            work = asked.select(
+                "idx", "question", F.explode(F.array_intersect("missing", F.array(*map(F.lit, active)))).alias("teacher")
+            )
+            # Without a log every teacher lacks every problem.
+            if log is not None and work.isEmpty():
+                continue
+            prompts = work.select("teacher", "idx", template.render(F.col("question")).alias("prompt"))
+            called = complete(prompts, providers, teachers, retry, tasks, sleep, clock)
+            own_path = f"{log_path}/run={run}"
+            called.write.mode("append").parquet(own_path)
+            own = L.outcomes(spark.read.schema(ATTEMPT_SCHEMA).parquet(own_path), retry)
+            if round_rows <= _ONE_TASK_ROWS:
+                own = stretches.in_one_round(own)
+            # One row per teacher at most: the next round takes it from here while it is written.
+            seen = stretches.advance(own, state, breaker).toArrow()
+            state = spark.createDataFrame(seen, stretches.STATE_SCHEMA)
+            for write in kept:
+                write.result()
+            kept = [keeping.submit(_keep_state, state, f"{root}/breaker/run={run}")]
+            run += 1
+            tripped = {r["teacher"] for r in seen.to_pylist() if r["trip_idx"] is not None}
+            active = [t for t in active if t not in tripped]
+            if not active:
+                break
+        for write in kept:
+            write.result()
     remove(spark, queue)
 
     log = _read_log(spark, log_path)
@@ -116,6 +130,10 @@ def generate(
     return report
 
 
+def _keep_state(state: DataFrame, path: str) -> None:
+    state.coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def _round_starts(rows: int, first_rows: int, round_rows: int) -> tuple[list[int], int]:
     """Where the rounds that still grow begin, and the number of rounds for so many rows."""
     starts, size = [0], min(first_rows, round_rows)
@@ -157,7 +175,8 @@ def _deal_rounds(
         number = F.when(pos < starts[n + 1], n).otherwise(number)
     dealt = placed.select("idx", "question", "missing", number.cast("int").alias("round"))
     # Rows of a round come from few tasks as they lie next to each other; a round is a few files.
-    dealt.repartitionByRange("round", "idx").write.partitionBy("round").parquet(path)
+    files = -(-rows // _QUEUE_FILE_ROWS)
+    dealt.repartitionByRange(files, "round", "idx").write.partitionBy("round").parquet(path)
     return rounds
 
 

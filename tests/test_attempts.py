@@ -96,6 +96,20 @@ def test_breaker_carried_through_rounds(spark, outcome, sequences, tmp_path, cut
     assert got == {t: _stop(good) for t, good in sequences.items()}
 
 
+@pytest.mark.parametrize("reach, block, cuts", [(10, 100, (5, 103, 207)), (25, 10, (1, 2, 349)), (130, 100, (95, 200))])
+def test_a_small_round_is_judged_as_any_other(spark, outcome, reach, block, cuts):
+    """Also where a teacher has tripped, has no rows in a round, or comes in later."""
+    config = BreakerConfig(max_consecutive=reach, block_rows=block, block_error_rate=0.5)
+    missing = (F.col("teacher") == "t00") & (F.col("idx") < cuts[0]) | (F.col("teacher") == "t01") & (F.col("idx") >= cuts[0])
+    low, states = 0, [None, None]
+    for high in (*cuts, 400):
+        own = outcome.where((F.col("idx") >= low) & (F.col("idx") < high) & ~missing)
+        new = [breaker.advance(f, s, config).toArrow() for f, s in zip((own, breaker.in_one_round(own)), states)]
+        by_teacher = [sorted(map(str, t.to_pylist())) for t in new]
+        assert by_teacher[0] == by_teacher[1]
+        states, low = [spark.createDataFrame(t, breaker.STATE_SCHEMA) for t in new], high
+
+
 @pytest.mark.parametrize("reach, block", [(1, 10), (3, 7), (25, 10), (130, 100)])
 def test_breaker_settings(spark, outcome, sequences, monkeypatch, reach, block):
     """Runs longer than a block and than a stretch, and runs of one."""

@@ -131,6 +131,19 @@ def test_a_round_reads_only_its_own_calls(spark, problems, tmp_path, monkeypatch
     assert {(r["teacher"], r["rows"]) for r in states.collect()} == {(t, 105) for t in _teachers(set())}
 
 
+def test_a_round_is_a_handful_of_spark_jobs(spark, problems, tmp_path):
+    """What a round costs whatever its size."""
+    context, count = spark.sparkContext, {}
+    for rounds, rows in ((2, 60), (8, 15)):
+        context.setJobGroup(f"rounds-{rounds}", "")
+        root = str(tmp_path / f"gen{rounds}")
+        quiet = {"sleep": lambda _s: None, "round_rows": rows, "first_rows": rows}
+        jobs.generate(spark, problems, _teachers(set()), root, **quiet)
+        count[rounds] = len(context.statusTracker().getJobIdsForGroup(f"rounds-{rounds}"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert (count[8] - count[2]) / 6 <= 8
+
+
 def test_a_dead_teacher_costs_a_small_round(spark, problems, tmp_path):
     root = str(tmp_path / "gen")
     dead = {("gemini", i) for i in range(120)}
