@@ -2,12 +2,15 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import types as T
 
 from stillhouse.config import BreakerConfig
 from stillhouse.operators import breaker
 from stillhouse.sources.results import ResultsDocument
+from stillhouse.streaming import stateful
 from stillhouse.streaming.live import keep_results
 from stillhouse.streaming.stateful import keep_corrected, live_breaker, own_state, verdict_changes
 
@@ -85,6 +88,53 @@ def test_waiting_rows_are_bounded(spark, tmp_path):
         query.awaitTermination()
 
 
+def _held(frames):
+    return stateful._Runs(
+        [f["start"].to_numpy(np.int64) for f in frames],
+        [np.array([len(o) for o in f["oks"]], dtype=np.int64) for f in frames],
+        [b"".join(f["oks"]) for f in frames],
+    )
+
+
+def test_rows_of_a_stream_are_handed_on_as_runs():
+    """The one task of a teacher gets a row per run of consecutive rows, not a row per row."""
+    rows = [(t, i, i % 7 > 0) for i in range(3_000) for t in "ab"]
+    frames = list(stateful._in_runs(iter([pd.DataFrame(rows, columns=["teacher", "idx", "ok"])])))
+    assert [(f["teacher"][0], len(f), f["start"][0], len(f["oks"][0])) for f in frames] == [
+        ("a", 1, 0, 3_000), ("b", 1, 0, 3_000),
+    ]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_runs_that_overlap_hold_each_row_once(seed):
+    """Gaps, repeats that disagree, rows without idx and below zero: the row that came first counts."""
+    rng, size = random.Random(seed), 1 + seed % 9
+    rows = [(rng.choice([None, -1.0, *map(float, range(40))]), rng.random() < 0.5) for _ in range(rng.randint(1, 60))]
+    frames = [pd.DataFrame([("a", *r) for r in rows[n : n + size]], columns=["teacher", "idx", "ok"]) for n in range(0, len(rows), size)]
+    held, seen, want = _held(list(stateful._in_runs(iter(frames)))), rng.randint(0, 3), {}
+    for idx, ok in rows:
+        if idx is not None and idx >= seen:
+            want.setdefault(int(idx), ok)
+    ready = next(i for i in range(seen, 50) if i not in want)
+    late = sorted((i, ok) for i, ok in want.items() if i >= ready)
+    assert (held.ready(seen), held.count(ready)) == (ready, len(late))
+    got = [list(zip(*(part.tolist() for part in held.cut(*cut)))) for cut in [(seen, ready), *([(ready, None)] if late else [])]]
+    assert got == [sorted((i, ok) for i, ok in want.items() if i < ready), *([late] if late else [])]
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 130])
+def test_rows_judged_in_parts_equal_batch(spark, tmp_path, monkeypatch, at_once):
+    monkeypatch.setattr(stateful, "ROWS_AT_ONCE", at_once, raising=False)
+    rows = _outcomes(9)
+    _files(spark, rows, OUTCOME, str(tmp_path / "in"), 2)
+    live = live_breaker(_stream(spark, OUTCOME, str(tmp_path / "in")))
+    document = ResultsDocument(spark, str(tmp_path / "out"), live.schema)
+    with own_state(spark):
+        query = keep_results(live, document, str(tmp_path / "state"))
+    query.awaitTermination()
+    assert _state(document.read()) == _state(breaker.advance(spark.createDataFrame(rows, OUTCOME)))
+
+
 GRADED = "teacher string, idx bigint, seq bigint, correct boolean"
 FIGURES = (
     T.StructType().add("teacher", "string").add("correct", "long").add("total", "long").add("accuracy", "double")
